@@ -1,7 +1,7 @@
 from emberlog.functions.net import (  # noqa: F401
     ip_to_long, is_private, is_external, is_rfc1918, is_bogon, provider, port_category,
     port_service, port_annotation, registered_parent, split_parent, tld, suspicious_tld,
-    ends_with_any,
+    ends_with_any, let,
 )
 from emberlog.functions.text import (  # noqa: F401
     shannon_entropy, refang, has_repeat_run, distinct_chars, win_basename, is_user_writable,

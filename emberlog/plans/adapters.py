@@ -10,9 +10,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from emberlog.plans.finding_seeds import FINDING_EXPRESSIONS, K
 from emberlog.session import configure
 
-K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
+# `k` is computed below the projections, so that CASE branches read a column instead of repeating it
+EVENT_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k"
 
 # name -> (base table, [expressions])
 PROJECTIONS: dict[str, tuple[str, list[str]]] = {
@@ -83,6 +85,7 @@ PROJECTIONS: dict[str, tuple[str, list[str]]] = {
         "l_orderkey AS device", "l_suppkey AS app", "l_linenumber AS seq", "l_shipdate AS t_start",
         "CAST(l_quantity AS INT) AS days",
     ]),
+    "findings": ("events", FINDING_EXPRESSIONS),
     "points": ("orders", ["o_orderkey AS device", "o_custkey AS owner", "o_orderdate AS t"]),
 }
 
@@ -127,15 +130,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").selectExpr("*", EVENT_K)
+
+
 def adapter(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A canonical table."""
     if name in PROJECTIONS:
         base, exprs = PROJECTIONS[name]
-        return table(spark, sf, base).selectExpr(*[_spark_text(e) for e in exprs])
+        rows = events(spark, sf) if base == "events" else table(spark, sf, base)
+        return rows.selectExpr(*[_spark_text(e) for e in exprs])
     pages = table(spark, sf, "pages").select("page_id", "url")
-    events = table(spark, sf, "events").withColumn(
+    rows = events(spark, sf).withColumn(
         "page_id", F.col("event_id") % pages.agg(F.count("*").alias("n")).scalar())
-    return events.join(pages, "page_id").selectExpr(*[_spark_text(e) for e in JOINED[name]])
+    return rows.join(pages, "page_id").selectExpr(*[_spark_text(e) for e in JOINED[name]])
 
 
 def _spark_text(expr: str) -> str:
@@ -146,10 +154,12 @@ def cte(name: str) -> str:
     """The same canonical table as a common table expression."""
     if name in PROJECTIONS:
         base, exprs = PROJECTIONS[name]
+        if base == "events":
+            base = f"(SELECT *, {EVENT_K} FROM events)"
         return f"{name} AS (SELECT {', '.join(exprs)} FROM {base})"
     exprs = ", ".join(JOINED[name])
-    return (f"{name} AS (SELECT {exprs} FROM events JOIN pages "
-            "ON pages.page_id = events.event_id % (SELECT count(*) FROM pages))")
+    return (f"{name} AS (SELECT {exprs} FROM (SELECT *, {EVENT_K} FROM events) e JOIN pages "
+            "ON pages.page_id = e.event_id % (SELECT count(*) FROM pages))")
 
 
 def sql(uses: str, body: str) -> str:
