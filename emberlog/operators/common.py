@@ -81,7 +81,7 @@ def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
 
 def size_of(df: DataFrame) -> int:
     """Bytes Catalyst expects of this DataFrame."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:

@@ -440,8 +440,8 @@ def best_rating(ratings: Column) -> Column:
     """The strongest of a list of ratings."""
     valid = F.filter(ratings, lambda r: r.rlike("^[A-FX][1-6X]$"))
     return F.coalesce(F.array_min(F.transform(valid, lambda r: F.struct(
-        F.locate(F.substring(r, 1, 1), F.lit(fc.RELIABILITY)).alias("a"),
-        F.locate(F.substring(r, 2, 1), F.lit(fc.CREDIBILITY)).alias("b"), r.alias("r"))))["r"],
+        F.position(F.substring(r, 1, 1), F.lit(fc.RELIABILITY)).alias("a"),
+        F.position(F.substring(r, 2, 1), F.lit(fc.CREDIBILITY)).alias("b"), r.alias("r"))))["r"],
         F.lit("XX"))
 
 

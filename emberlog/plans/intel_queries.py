@@ -353,10 +353,10 @@ def story_beats(spark, sf):
 @query("activity_thread", sql("findings", "WITH " + SCORES + ", " + TACTIC_CTE + """,
 p AS (SELECT f.case_id, finding_id, confidence, o, a.tactic, list_contains(tags, leader) AS s
   FROM findings f JOIN tactics a ON a.t = techniques[1] JOIN leaders USING (case_id)),
-g AS (SELECT case_id, bool_or(s) AS some FROM p GROUP BY case_id)
-SELECT case_id, finding_id, CAST(o AS INT) AS phase_order, tactic AS phase, NOT some AS widened,
+g AS (SELECT case_id, bool_or(s) AS found FROM p GROUP BY case_id)
+SELECT case_id, finding_id, CAST(o AS INT) AS phase_order, tactic AS phase, NOT found AS widened,
   CASE WHEN confidence = 'insufficient' THEN 'Hypothesis' ELSE 'Actual' END AS status
-FROM p JOIN g USING (case_id) WHERE s OR NOT some"""))
+FROM p JOIN g USING (case_id) WHERE s OR NOT found"""))
 def activity_thread(spark, sf):
     return intel.activity_thread(findings(spark, sf))
 
