@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -16,9 +17,13 @@ def _any(tests) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def suffix_pattern(suffixes) -> str:
+    return "(?:^|\\.)(" + "|".join(re.escape(x) for x in suffixes) + ")$"
+
+
 def ends_with_any(host: Column, suffixes) -> Column:
     """Host equals one of the suffixes or is a name below one."""
-    return _any([(host == s) | host.endswith("." + s) for s in suffixes])
+    return host.rlike(suffix_pattern(suffixes))
 
 
 def ip_to_long(addr: Column) -> Column:
@@ -120,11 +125,7 @@ def registered_parent(host: Column) -> Column:
 
 
 def _ddns(h: Column) -> Column:
-    chain = None
-    for s in fx.DDNS_SUFFIXES:
-        test = (h == s) | h.endswith("." + s)
-        chain = F.when(test, s) if chain is None else chain.when(test, s)
-    return chain
+    return F.nullif(F.regexp_extract(h, suffix_pattern(fx.DDNS_SUFFIXES), 1), F.lit(""))
 
 
 def split_parent(host: Column) -> Column:
