@@ -13,7 +13,7 @@ APPLE_EPOCH_S = 978307200
 def from_filetime(ticks: Column) -> Column:
     """100-ns ticks since 1601; null for zero."""
     return F.when(ticks != 0, F.timestamp_micros(
-        F.floor(ticks / 10).cast("bigint") - FILETIME_OFFSET_US))
+        F.floor(ticks.cast("decimal(20,0)") / 10).cast("bigint") - FILETIME_OFFSET_US))
 
 
 def from_prtime(us: Column) -> Column:

@@ -59,10 +59,13 @@ def script_matches(rows: DataFrame, families: dict, text: str = "text") -> DataF
 
 # --- lexicons ---------------------------------------------------------------------------------------
 
-def word_hits(text: Column, words) -> Column:
-    """Words of a list that occur on their own (no letter before or after)."""
-    low = F.lower(text)
-    return _present({w: low.rlike(r"(?<![a-z])" + re.escape(w) + r"(?![a-z])") for w in words})
+def word_hits(low: Column, words) -> Column:
+    """Words of a list that occur on their own (no letter before or after) in lower-cased text.
+
+    A plain substring test comes first; the boundary pattern runs on texts that hold the word.
+    """
+    return _present({w: low.contains(w) & low.rlike(r"(?<![a-z])" + re.escape(w) + r"(?![a-z])")
+                     for w in words})
 
 
 def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
@@ -74,14 +77,13 @@ def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
     """
     words = fx.PLANNING_WORDS if words is None else words
     patterns = fx.PLANNING_PATTERNS if patterns is None else patterns
-    any_word = "|".join(re.escape(w) for ws in words.values() for w in ws)
-    gate = F.lower(text).rlike(any_word)
+    gate = fn.any_contains(F.col("_low"), [w for ws in words.values() for w in ws])
     for p in patterns.values():
         gate = gate | F.col(text).rlike(p)
-    out = rows.filter(gate)
+    out = rows.withColumn("_low", F.lower(text)).filter(gate)
     sizes = []
     for name, ws in words.items():
-        out = out.withColumn(f"{name}_hits", word_hits(F.col(text), ws))
+        out = out.withColumn(f"{name}_hits", word_hits(F.col("_low"), ws))
         sizes.append(F.size(f"{name}_hits"))
     for name, p in patterns.items():
         out = out.withColumn(f"{name}_hits", F.slice(F.regexp_extract_all(
@@ -94,7 +96,7 @@ def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
                 .when((F.col("categories") >= 2) & (F.col("total_hits") >= 3), "medium")
                 .when((F.col("categories") == 1) & (F.col("total_hits") >= 4), "medium"))
     return out.withColumn("total_hits", total).withColumn("categories", fired).withColumn(
-        "strength", strength).filter(F.col("strength").isNotNull())
+        "strength", strength).filter(F.col("strength").isNotNull()).drop("_low")
 
 
 def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), common=(),
@@ -115,7 +117,8 @@ def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), com
 
     def all_of(p):
         return F.slice(F.regexp_extract_all(t, F.lit(p), F.lit(0)), 1, cap)
-    out = (rows.withColumn("word_hits", word_hits(t, fx.TRADE_WORDS if words is None else words))
+    low = F.lower(t)
+    out = (rows.withColumn("word_hits", word_hits(low, fx.TRADE_WORDS if words is None else words))
            .withColumn("unit_hits", all_of(fx.UNIT_PATTERN))
            .withColumn("price_hits", all_of(fx.PRICE_PATTERN))
            .withColumn("symbol_hits", _present({s: t.contains(s) for s in fx.TRADE_SYMBOLS}))

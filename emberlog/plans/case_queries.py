@@ -227,10 +227,26 @@ def regex_families(spark, sf):
     return r.withColumn("top", common.show_top(F.col("top")))
 
 
-@query("shell_families")
+def planted(spark, sf, phrases):
+    """Documents with a phrase after the text, picked by the document's number."""
+    pick = F.element_at(F.array(*[F.lit(p) for p in phrases]),
+                        (F.col("doc_id") % len(phrases) + 1).cast("int"))
+    return table(spark, sf, "documents").select(
+        "doc_id", "source", F.concat("text", F.lit("\n"), pick).alias("text"))
+
+
+SHELL_PHRASES = ["nc -e /bin/bash 1.2.3.4", "unset HISTFILE", "nothing here",
+                 "cat /etc/shadow | gpg -c", "systemsetup -setremotelogin on"]
+
+
+@query("shell_families", """
+SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['reverse_shell'] WHEN 1
+  THEN ['defense_evasion'] WHEN 3 THEN ['credential_access', 'concealment_tooling'] WHEN 4
+  THEN ['remote_access_screensharing'] ELSE [] END) AS family FROM documents""")
 def shell_families(spark, sf):
-    return patterns.family_matches(lines(spark, sf), {**fp.SHELL_FAMILIES, **fp.MAC_FAMILIES}
-                                   ).groupBy("family").agg(F.count("*").alias("n"))
+    rows = patterns.text_lines(planted(spark, sf, SHELL_PHRASES), keep=["doc_id"])
+    return patterns.family_matches(rows, {**fp.SHELL_FAMILIES, **fp.MAC_FAMILIES}).select(
+        "doc_id", "family").distinct()
 
 
 LEXICON = {"a": ["idiot", "token", "password"], "b": ["clown", "copyright", "license"],
@@ -258,15 +274,25 @@ def lexicon_categories(spark, sf):
     return r.select("doc_id", "total_hits", "categories", "strength")
 
 
-@query("planning_lexicon")
+PLANNING = ["a glock 19 with 500 rounds and a burner phone", "the manifesto",
+            "escape route to bali indonesia over vpn", "plain words"]
+
+
+@query("planning_lexicon", """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 3 ELSE 3 END AS total_hits, CASE doc_id % 4 WHEN 0 THEN 3
+  ELSE 2 END AS categories, CASE doc_id % 4 WHEN 0 THEN 'high' ELSE 'medium' END AS strength
+FROM documents WHERE doc_id % 4 IN (0, 2)""")
 def planning_lexicon(spark, sf):
-    return patterns.lexicon_hits(table(spark, sf, "documents")).select(
+    return patterns.lexicon_hits(planted(spark, sf, PLANNING)).select(
         "doc_id", "total_hits", "categories", "strength")
 
 
+TRADE = ["blue dream and og kush", "sour diesel, molly, haze, snow at $10/gram", "plain words"]
+
+
 @query("trade_lexicon")
 def trade_lexicon(spark, sf):
-    return patterns.trade_hits(table(spark, sf, "documents")).select(
+    return patterns.trade_hits(planted(spark, sf, TRADE)).select(
         "doc_id", "total_hits", "categories", "strength")
 
 
@@ -283,10 +309,17 @@ def string_families(spark, sf):
         F.count("*").alias("n"))
 
 
-@query("malware_fingerprints")
+MALWARE = ["ran Invoke-Mimikatz twice", "GET /__utm.gif google-analytics", "GET /__utm.gif",
+           "plain", "remcos and trickbot"]
+
+
+@query("malware_fingerprints", """
+SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['mimikatz', 'empire_powershell'] WHEN 2
+  THEN ['cobalt_strike'] WHEN 4 THEN ['remcos_rat', 'trickbot'] ELSE [] END) AS family
+FROM documents""")
 def malware_fingerprints(spark, sf):
-    return patterns.fingerprint_families(lines(spark, sf)).groupBy("family").agg(
-        F.count("*").alias("n"))
+    rows = patterns.text_lines(planted(spark, sf, MALWARE), keep=["doc_id"])
+    return patterns.fingerprint_families(rows).select("doc_id", "family").distinct()
 
 
 @query("keyword_tags", f"""WITH {LINES}
