@@ -7,10 +7,7 @@ out. Gzip files are read transparently, one task per file; split very large ones
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-
-V = F.lit  # short name for constants in patterns
-
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 def read_lines(spark: SparkSession, path, whole_tree: bool = True) -> DataFrame:
     """Lines of text files with the file they come from."""
@@ -23,13 +20,9 @@ def _cut(pattern: str, names: dict[str, int], value: str = "value"):
 
 
 def _parsed(lines: DataFrame, pattern: str, names) -> DataFrame:
-    """Rows of the lines that match, one column per named group; the pattern runs once per line.
-
-    The groups are pulled out of one match through a separator that cannot occur in a line.
-    """
-    groups = {n: i for i, n in enumerate(names, 1)} if not isinstance(names, dict) else names
+    """Rows of the lines that match, one column per named group, null where a group is empty."""
     kept = lines.filter(F.col("value").rlike(pattern))
-    return kept.withColumns(_cut(pattern, groups))
+    return kept.withColumns(_cut(pattern, {n: i for i, n in enumerate(names, 1)}))
 
 
 SYSLOG_5424 = (r"^<(\d{1,3})>\d+ (\S+) (\S+) (\S+) (\S+) (\S+) "
@@ -322,7 +315,7 @@ def read_evtx_csv(spark: SparkSession, path) -> DataFrame:
         "escape", '"').csv(path))
 
 
-EVENT_XML_SCHEMA = T.StructType.fromDDL(
+EVENT_XML_SCHEMA = (
     "System STRUCT<EventID: STRING, Channel: STRING, Computer: STRING, "
     "TimeCreated: STRUCT<_SystemTime: STRING>, Provider: STRUCT<_Name: STRING>>, "
     "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>")
