@@ -160,3 +160,66 @@ def fuzzy_neighbours(digests: DataFrame, min_score: int = 20, column: str = "ssd
         F.col("hash_a") < F.col("hash_b")).select("hash_a", "hash_b").distinct()
     return pairs.withColumn("score", _fuzzy_score("hash_a", "hash_b")).filter(
         F.col("score") >= min_score)
+
+
+# --- locality-sensitive hashes ---------------------------------------------------------------------
+
+def _ring(a: Column, b: Column, size: int) -> Column:
+    d = F.abs(a - b)
+    return F.least(d, size - d)
+
+
+def _header(h: Column) -> dict[str, Column]:
+    h = F.regexp_replace(F.lower(h), "^t1", "")
+
+    def nibble(i):
+        return F.conv(F.substring(h, i, 1), 16, 10).cast("int")
+    # bytes are written with their two digits swapped
+    return {"check": F.substring(h, 1, 2), "length": nibble(4) * 16 + nibble(3),
+            "q1": nibble(5), "q2": nibble(6), "body": F.substring(h, 7, 64)}
+
+
+@F.pandas_udf(T.IntegerType())
+def _body_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    import numpy as np
+    pairs = np.array([[(v >> s) & 3 for s in (0, 2, 4, 6)] for v in range(256)], dtype="int8")
+
+    def codes(s):
+        raw = np.frombuffer(bytes.fromhex("".join(s)), dtype="uint8").reshape(len(s), 32)
+        return pairs[raw].reshape(len(s), 128)
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    d = np.abs(codes(a) - codes(b))
+    d[d == 3] = 6
+    return pd.Series(d.sum(axis=1).astype("int32"))
+
+
+def tlsh_neighbours(digests: DataFrame, wanted: DataFrame, max_distance: int = 70,
+                    column: str = "tlsh") -> DataFrame:
+    """Stored hashes within a distance of the wanted ones (a case's hashes against the store).
+
+    A length step of n > 1 costs 12 n, so only hashes whose length byte lies within
+    max_distance // 12 can match; that byte is the join key. The header distance is taken next, and
+    only pairs it leaves room for have their bodies compared.
+    """
+    def split(df, tag):
+        h = df.select(F.col(column).alias("h")).filter(F.col("h").rlike("(?i)^(t1)?[0-9a-f]{70}$")
+                                                       ).distinct()
+        return h.select(F.col("h").alias(f"hash_{tag}"), *[
+            c.alias(f"_{n}_{tag}") for n, c in _header(F.col("h")).items()])
+    reach = max(max_distance // 12, 1)
+    a = split(digests, "a")
+    b = split(wanted, "b").withColumn("_length_a", F.explode(F.transform(
+        F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.pmod(
+            F.col("_length_b") + i, F.lit(256)))))
+    step = _ring(F.col("_length_a"), F.col("_length_b"), 256)
+    head = F.when(step <= 1, step).otherwise(step * 12)
+    for q in ("q1", "q2"):
+        s = _ring(F.col(f"_{q}_a"), F.col(f"_{q}_b"), 16)
+        head = head + F.when(s <= 1, s).otherwise((s - 1) * 12)
+    head = head + (F.col("_check_a") != F.col("_check_b")).cast("int")
+    pairs = a.join(b, "_length_a").filter(F.col("hash_a") != F.col("hash_b")).withColumn(
+        "_head", head).filter(F.col("_head") <= max_distance)
+    return pairs.withColumn("distance", F.col("_head") + _body_distance("_body_a", "_body_b")
+                            ).filter(F.col("distance") <= max_distance).select(
+        "hash_a", "hash_b", "distance").distinct()
