@@ -1,7 +1,5 @@
 """Fixed values about processes, files and mail; the endpoint detectors depend on them literally."""
 
-import json
-
 # --- fixed values: expected process table -------------------------------------------------------
 PROCESS_PROFILE = {
     "wininit.exe": {"parents": ["smss.exe"], "exact": 1},
@@ -16,7 +14,6 @@ PROCESS_PROFILE = {
     "runtimebroker.exe": {"parents": ["svchost.exe"]},
     "taskhostw.exe": {"parents": ["svchost.exe"]},
 }
-PROFILE_JSON = json.dumps(PROCESS_PROFILE)
 
 OFFICE_PARENTS = ["winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "acrord32.exe"]
 SHELL_CHILDREN = ["cmd.exe", "powershell.exe", "wscript.exe", "cscript.exe", "mshta.exe",

@@ -169,7 +169,18 @@ MALWARE_FAMILIES = {
     "nuclear_ek": [
         (r"(?i)\bnuclear[\s_-]?pack\b|\bnuclearek\b", ANY, None),
         (r"(?i)/index\.php\?i=[A-Za-z0-9+/=]{50,}", URLS, None)],
-    "fiesta_ek": [(r"(?i)\bfiesta[\s_-]?ek\b", ANY, None)],
+    "fiesta_ek": [
+        (r"(?i)\bfiesta[\s_-]?ek\b", ANY, None),
+        (r"(?i)/ai_[a-z0-9]{4,8}/[a-f0-9]{32,}(?:;\d+)*\b", URLS, None)],
+    "asprox_botnet": [
+        (r"(?i)\basprox\b|\bkuluoz\b", ANY, None),
+        (r"/b/(?:eve|opt|letr|news|scr)/[A-Fa-f0-9]{16,40}\b", URLS, None)],
+    "dyre": [
+        (r"(?i)\bdyre\b|\bdyreza\b|\bupatre\b", ANY, None),
+        (r"/[a-z0-9]{4,16}/[A-Z0-9-]+-PC/\d+/[A-Z0-9.-]+/\d+/?", URLS, None)],
+    "hiddencobra_lazarus": [
+        (r"q45tyu6hgvhi7|ghfghjuyufgdgftr|m\*\^&\^ghfge4wer", ANY, None),
+        (r"\b(?:Wating|Reamin|laptos)\b", ANY, None)],
 }
 
 # --- fixed values: console keywords -> (tag, label) --------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import detectors as fx
+from emberlog.operators.common import explode_rows
 
 
 def summary(rows: DataFrame, rule: str, by: str, ts: str = "ts") -> DataFrame:
@@ -155,7 +156,7 @@ def k8s_hits(rows: DataFrame, min_secrets: int = 50, min_rbac: int = 100,
     }
     found = F.filter(F.array(*[F.when(t, F.struct(F.lit(n).alias("rule_id"), F.lit(c).alias(
         "confidence"))) for n, (t, c) in simple.items()]), lambda x: x.isNotNull())
-    direct = e.withColumn("_h", F.explode(found)).groupBy(
+    direct = explode_rows(e, found, "_h").groupBy(
         "_h.rule_id", "_h.confidence", F.coalesce("user", F.lit("")).alias("entity")).agg(
         F.count("*").alias("event_count"))
     named = e.filter(F.coalesce("user", F.lit("")) != "")

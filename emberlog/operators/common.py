@@ -79,6 +79,16 @@ def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.withColumn("_t", packed).select("*", "_t.*").drop("_t")
 
 
+def explode_rows(df: DataFrame, array: Column, name: str, *keep) -> DataFrame:
+    """One row per element of a computed array; rows with an empty one drop out.
+
+    A plain `explode` makes Catalyst add a test that the array is not empty and push it down, which
+    computes the array twice with all columns below it inlined; the outer form does not.
+    """
+    return df.select(*(keep or df.columns), F.explode_outer(array).alias(name)).filter(
+        F.col(name).isNotNull())
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes Catalyst expects of this DataFrame."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -89,22 +99,29 @@ def small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= limit else df
 
 
-def split_lag(df: DataFrame, keys, ts: str, tie: str, columns, bucket_seconds: int = 86400):
+def split_lag(df: DataFrame, keys, ts: str, tie: str, columns, piece_rows: int = 1_000_000):
     """`lag` of several columns per key in time order without one task per key.
 
-    Each key is cut into time buckets, so the lag window sorts (key, bucket) pieces. The first row of
-    a piece takes its values from the last row of the key's previous piece, found in a table of one
-    row per piece. The pieces per key are bounded by the covered time span, whatever the row count.
-    Adds `prev_<column>` for every listed column.
+    A key with more than `piece_rows` rows is cut into time pieces, so the lag window sorts
+    (key, piece) and not the whole key; other keys stay whole. The first row of a piece takes its
+    values from the last row of the key's previous piece, found in a table of one row per piece of
+    the large keys. Adds `prev_<column>` for every listed column.
     """
-    cols = list(columns)
+    cols, keys = list(columns), list(keys)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us).alias("_t0"),
+                                  F.max(us).alias("_t1"))
+    large = sizes.filter(F.col("_n") > piece_rows).select(
+        *keys, F.ceil(F.col("_n") / piece_rows).alias("_pieces"), "_t0",
+        (F.col("_t1") - F.col("_t0") + 1).alias("_span"))
+    piece_no = F.floor((us - F.col("_t0")) / F.col("_span") * F.col("_pieces"))
+    rows = df.join(large, keys, "left").withColumn(
+        "_b", F.coalesce(piece_no, F.lit(0).cast("bigint"))).drop("_t0", "_span")
     piece = W.partitionBy(*keys, "_b").orderBy(ts, tie)
-    rows = df.withColumn("_b", F.floor(F.unix_micros(F.col(ts).cast("timestamp"))
-                                       / (bucket_seconds * 1_000_000)))
     lagged = rows.withColumn("_first", F.row_number().over(piece) == 1)
     for c in cols:
         lagged = lagged.withColumn(f"prev_{c}", F.lag(c).over(piece))
-    ends = rows.groupBy(*keys, "_b").agg(
+    ends = rows.filter(F.col("_pieces").isNotNull()).groupBy(*keys, "_b").agg(
         F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_end"))
     carried = ends.withColumn(
         "_carry", F.lag("_end").over(W.partitionBy(*keys).orderBy("_b"))).select(

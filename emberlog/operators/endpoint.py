@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import detectors as fx
-from emberlog.operators.common import top_list
+from emberlog.operators.common import explode_rows, top_list
 
 
 def _blob() -> Column:
@@ -61,7 +61,7 @@ def lateral_events(events: DataFrame) -> DataFrame:
     ip = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("remote_host", F.lit("")),
                                               r"(\d+\.\d+\.\d+\.\d+)", 1), F.lit("")),
                     F.nullif(F.regexp_extract(b, r"(\d+\.\d+\.\d+\.\d+)", 1), F.lit("")))
-    return e.withColumn("technique", F.explode(found)).withColumn("source_ip", ip).drop("_blob")
+    return explode_rows(e, found, "technique").withColumn("source_ip", ip).drop("_blob")
 
 
 def lateral_summary(events: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def technique_probes(events: DataFrame, by=("case_id",)) -> DataFrame:
     """Techniques with at least one matching event per case, and how many there are."""
     found = F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), n)
                                for n, t in probe_columns().items()]), lambda x: x.isNotNull())
-    return events.select(*by, F.explode(found).alias("technique")).groupBy(
+    return explode_rows(events, found, "technique", *by).groupBy(
         *by, "technique").agg(F.count("*").alias("event_count"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import indicators as fx
-from emberlog.operators.common import small
+from emberlog.operators.common import explode_rows, small
 
 WORD = r"\p{L}\p{N}_"
 HASH_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64}
@@ -135,8 +135,7 @@ def extract_indicators(rows: DataFrame, text: str = "text", keep=(), drop_noise:
         return F.transform(F.array_distinct(values), lambda v: F.struct(
             F.lit(name).alias("ioc_type"), v.alias("value")))
     pairs = F.concat(*[tagged(k, v) for k, v in found.items()])
-    return refanged.select(*keep, F.explode(pairs).alias("i")).select(
-        *keep, "i.ioc_type", "i.value")
+    return explode_rows(refanged, pairs, "i", *keep).select(*keep, "i.ioc_type", "i.value")
 
 
 def extract_more(rows: DataFrame, text: str = "text", keep=()) -> DataFrame:
@@ -146,8 +145,7 @@ def extract_more(rows: DataFrame, text: str = "text", keep=()) -> DataFrame:
         return F.transform(F.filter(hits, lambda v: varied(v, kind)), lambda v: F.struct(
             F.lit(kind).alias("ioc_type"), v.alias("value")))
     pairs = F.concat(*[found(k, p) for k, p in fx.EXTRA_PATTERNS.items()])
-    return rows.select(*keep, F.explode(pairs).alias("i")).select(
-        *keep, "i.ioc_type", "i.value")
+    return explode_rows(rows, pairs, "i", *keep).select(*keep, "i.ioc_type", "i.value")
 
 
 def fact_addresses(facts: DataFrame, keep=("case_id",)) -> DataFrame:

@@ -6,21 +6,35 @@ severity, techniques, evidence_count, facts (map), notes, created.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import case as fc, hypotheses as fh, techniques as ft
+from emberlog.operators.common import explode_rows
 
 RULE_TYPE = ("array<struct<hypothesis:string,weight:int,words:array<string>,any_of:array<string>,"
              "all_of:array<string>,unless:array<string>>>")
 
 
 def literal(value, ddl: str) -> Column:
-    """A nested constant; Catalyst folds it into one literal."""
-    return F.from_json(F.lit(json.dumps(value)), ddl)
+    """A nested constant built from literals, which Catalyst folds into one (parsed JSON it keeps)."""
+    def text(v) -> str:
+        if isinstance(v, bool) or v is None:
+            return str(v).lower()
+        if isinstance(v, (int, float)):
+            return str(v)
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if isinstance(v, list):
+            return "array(" + ", ".join(text(x) for x in v) + ")"
+        pairs = ", ".join(f"{text(k)}, {text(x)}" for k, x in v.items())
+        return f"{'map' if is_map(v) else 'named_struct'}({pairs})"
+
+    def is_map(v) -> bool:
+        return ddl.startswith("map<") and v is value
+    return F.expr(f"CAST({text(value)} AS {ddl})")
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -106,7 +120,7 @@ def finding_deltas(findings: DataFrame) -> DataFrame:
 
 def hypothesis_scores(findings: DataFrame, by=("case_id",)) -> DataFrame:
     """Raw score, supporting and refuting findings per case and hypothesis (all 33 rows)."""
-    cells = finding_deltas(findings).select(*by, F.explode("deltas").alias("d"))
+    cells = explode_rows(finding_deltas(findings), F.col("deltas"), "d", *by)
     return cells.groupBy(*by, F.col("d.hypothesis").alias("hypothesis")).agg(
         F.sum("d.delta").cast("bigint").alias("raw_score"),
         F.count_if(F.col("d.delta") > 0).alias("support"),
@@ -130,7 +144,7 @@ def ranked_hypotheses(findings: DataFrame, by=("case_id",)) -> DataFrame:
 
 def tampering_context(findings: DataFrame) -> DataFrame:
     """Per case: modifier index, discount of the benign hypothesis and contributing modifiers."""
-    cells = finding_deltas(findings).select("case_id", F.explode("deltas").alias("d")).filter(
+    cells = explode_rows(finding_deltas(findings), F.col("deltas"), "d", "case_id").filter(
         F.col("d.hypothesis").isin(fh.MODIFIERS) & (F.col("d.delta") > 0))
     per = cells.groupBy("case_id", F.col("d.hypothesis").alias("h")).agg(
         F.sum("d.delta").alias("s"), F.count("*").alias("n"))
@@ -166,7 +180,7 @@ def diagnostic_findings(findings: DataFrame, n: int = 5) -> DataFrame:
 
 def score_matrix(findings: DataFrame, by: str = "finding_id") -> DataFrame:
     """Grid of scores: one column per hypothesis, rows without any score dropped."""
-    cells = finding_deltas(findings).select(by, F.explode("deltas").alias("d")).select(
+    cells = explode_rows(finding_deltas(findings), F.col("deltas"), "d", by).select(
         by, "d.hypothesis", "d.delta").filter(F.col("delta") != 0)
     grid = cells.groupBy(by).pivot("hypothesis", list(fh.HYPOTHESES)).agg(F.sum("delta"))
     return grid.na.fill(0)
@@ -191,8 +205,8 @@ def with_technique_ids(findings: DataFrame) -> DataFrame:
 
 def technique_findings(findings: DataFrame) -> DataFrame:
     """One row per case, technique and finding."""
-    return with_technique_ids(findings).select(
-        "case_id", "finding_id", F.explode("technique_ids").alias("technique"))
+    return explode_rows(with_technique_ids(findings), F.col("technique_ids"), "technique",
+                        "case_id", "finding_id")
 
 
 def technique_map(findings: DataFrame) -> DataFrame:
@@ -245,7 +259,7 @@ def playbook_coverage(observed: DataFrame, min_coverage: float = 0.0,
     sub = F.when(t.contains("."), F.concat(F.lit("under:"), parent_technique(t)))
     hits = F.concat(F.coalesce(F.try_element_at(table, F.concat(F.lit("is:"), t)), none),
                     F.coalesce(F.try_element_at(table, sub), none))
-    matched = observed.select("case_id", F.explode(hits).alias("m")).select(
+    matched = explode_rows(observed, hits, "m", "case_id").select(
         "case_id", "m.actor", "m.technique").distinct()
     full = _lists(ft.PLAYBOOKS)
     per = matched.groupBy("case_id", "actor").agg(
@@ -266,7 +280,7 @@ def written_techniques(findings: DataFrame) -> DataFrame:
     found = F.array_distinct(F.concat(
         by_tag, F.regexp_extract_all("claim", F.lit(ft.WRITTEN_TECHNIQUE), F.lit(0)),
         F.coalesce("techniques", none)))
-    return findings.select("case_id", "finding_id", F.explode(found).alias("technique"))
+    return explode_rows(findings, found, "technique", "case_id", "finding_id")
 
 
 def technique_union(findings: DataFrame) -> DataFrame:
@@ -529,7 +543,7 @@ def signal_hits(findings: DataFrame) -> DataFrame:
     claim = F.lower(F.coalesce("claim", F.lit("")))
     found = F.filter(F.array(*[F.when(fn.any_contains(claim, words), name)
                                for name, words in fc.CLAIM_SIGNALS]), lambda x: x.isNotNull())
-    return findings.select("host", F.explode(found).alias("signal")).groupBy(
+    return explode_rows(findings, found, "signal", "host").groupBy(
         "signal", "host").agg(F.count("*").alias("hits"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from emberlog import functions as fn
 from emberlog.fixed import endpoint as fx
 from emberlog.operators.common import small
+from emberlog.operators.intel import literal
 
 
 # --- scan against list ---------------------------------------------------------------------------
@@ -129,8 +130,9 @@ def process_profile(processes: DataFrame, by=("host",)) -> DataFrame:
     """
     rows = with_parents(processes, by)
     names = list(fx.PROCESS_PROFILE)
-    profile = F.from_json(F.lit(fx.PROFILE_JSON), "map<string,struct<parents:array<string>,"
-                          "exact:int,min:int,max:int>>")
+    profile = literal({n: {"parents": p["parents"], "exact": p.get("exact"), "min": p.get("min"),
+                           "max": p.get("max")} for n, p in fx.PROCESS_PROFILE.items()},
+                      "map<string,struct<parents:array<string>,exact:int,min:int,max:int>>")
     want = F.try_element_at(profile, F.col("name"))
     bad_parent = F.col("parent_name").isNotNull() & (F.size(want["parents"]) > 0) & ~F.exists(
         want["parents"], lambda x: x == F.col("parent_name"))

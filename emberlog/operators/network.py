@@ -22,33 +22,66 @@ def connection_intervals(flows: DataFrame, keys=FLOW_KEY, tie="flow_id") -> Data
                 - F.unix_micros(F.col("prev_ts").cast("timestamp"))).alias("gap_us"))
 
 
+def _small_key_spreads(rows: DataFrame, keys) -> DataFrame:
+    """Interval statistics of keys with a bounded number of rows: one shuffle, arrays per key."""
+    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.unix_micros(
+        F.col("ts").cast("timestamp")))).alias("_t"))
+    gaps = times.withColumn("_g", F.array_sort(F.zip_with(
+        F.slice("_t", 2, F.size("_t")), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))),
+        lambda later, earlier: later - earlier)))
+    n = F.size("_g")
+    mid = F.when(n > 0, (F.get("_g", F.floor((n - 1) / 2).cast("int")) + F.get(
+        "_g", F.floor(n / 2).cast("int"))) / 2)
+
+    def mean(f):
+        return F.try_divide(F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + f(g)), n)
+    with_mid = gaps.withColumns({"_m": mid, "_mean": mean(lambda g: g)})
+    var = F.try_divide(F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + (
+        g - F.col("_mean")) * (g - F.col("_mean"))), n - 1)
+    return with_mid.select(
+        *keys, n.cast("bigint").alias("_intervals"), (F.col("_mean") / 1e6).alias(
+            "mean_interval"), (F.sqrt(var) / 1e6).alias("stdev_interval"),
+        mean(lambda g: F.abs(g - F.col("_m"))).alias("mad"))
+
+
+def _large_key_spreads(rows: DataFrame, keys, tie: str) -> DataFrame:
+    """The same for keys of any size: intervals by pieces, median and deviation by counting."""
+    gaps = connection_intervals(rows, keys, tie)
+    moments = gaps.groupBy(*keys).agg(
+        F.count("*").alias("_intervals"), (F.avg("gap_us") / 1e6).alias("mean_interval"),
+        (F.stddev_samp("gap_us") / 1e6).alias("stdev_interval"))
+    return moments.join(spread_around_median(gaps, keys, "gap_us").drop("median"), keys)
+
+
 def beacon_scores(flows: DataFrame, min_connections: int = 10, min_intervals: int = 5,
-                  keys=FLOW_KEY, tie: str = "flow_id") -> DataFrame:
+                  keys=FLOW_KEY, tie: str = "flow_id", large_key: int = 200_000) -> DataFrame:
     """Score of every key with enough connections; 1 is perfectly periodic.
 
     The time score is one minus the mean absolute deviation from the median interval over the mean
     interval, the dispersion score one minus the sample deviation over the mean; both lie in [0, 1].
+    Keys with more than `large_key` rows take a way that never gathers a key in one task; there are
+    few of them by arithmetic (rows / large_key), and with none AQE drops that branch.
     """
+    keys = list(keys)
     clean = flows.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()
                          & F.col("dport").isNotNull() & F.col("ts").isNotNull())
     busy = clean.groupBy(*keys).agg(
         F.count("*").alias("connections"), F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen")).filter(F.col("connections") >= min_connections)
-    gaps = connection_intervals(clean.join(busy.select(*keys), keys, "left_semi"), keys, tie)
-    moments = gaps.groupBy(*keys).agg(
-        F.count("*").alias("_intervals"), (F.avg("gap_us") / 1e6).alias("mean_interval"),
-        (F.stddev_samp("gap_us") / 1e6).alias("stdev_interval"))
-    spread = spread_around_median(gaps, keys, "gap_us")
+    large = busy.filter(F.col("connections") > large_key).select(*keys)
+    rows = clean.select(*keys, "ts", tie)
+    spreads = _small_key_spreads(rows.join(large, keys, "left_anti"), keys).unionByName(
+        _large_key_spreads(rows.join(large, keys, "left_semi"), keys, tie))
     scorable = (F.col("_intervals") >= min_intervals) & (F.col("mean_interval") > 0)
 
     def clamp(ratio):
         return F.when(scorable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ratio))).otherwise(
             0.0)
 
-    return (busy.join(moments, keys).join(spread, keys)
-            .withColumn("ts_score", clamp(F.col("mad") / 1e6 / F.col("mean_interval")))
-            .withColumn("dispersion_score", clamp(
-                F.col("stdev_interval") / F.col("mean_interval")))
+    return (busy.join(spreads, keys)
+            .withColumn("ts_score", clamp(F.try_divide(F.col("mad") / 1e6, "mean_interval")))
+            .withColumn("dispersion_score", clamp(F.try_divide(
+                "stdev_interval", "mean_interval")))
             .withColumn("score", (F.col("ts_score") + F.col("dispersion_score")) / 2)
             .withColumn("duration_seconds", fn.epoch_seconds(F.col("last_seen"))
                         - fn.epoch_seconds(F.col("first_seen")))
@@ -191,7 +224,7 @@ def http_post_ratio(http: DataFrame, min_requests: int = 30, min_share: float =
     method = F.upper(F.coalesce("method", F.lit("")))
     n = http.agg(F.count("*").alias("total"), F.count_if(method == "GET").alias("gets"),
                  F.count_if(method == "POST").alias("posts"))
-    share = F.col("posts") / F.col("total")
+    share = F.try_divide("posts", "total")
     return n.filter((F.col("total") >= min_requests) & (F.col("posts") > 0) & (share >= min_share)
                     & (F.col("posts") > F.col("gets"))).withColumn(
         "post_share", F.round(share, 3))

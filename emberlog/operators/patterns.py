@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import patterns as fx
-from emberlog.operators.common import top_list
+from emberlog.operators.common import explode_rows, top_list
 
 NONE = "array<string>"
 
@@ -35,7 +35,7 @@ def family_matches(lines: DataFrame, families: dict, line: str = "line") -> Data
     """
     tests = {name: F.col(line).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
              for name, patterns in families.items()}
-    return lines.withColumn("family", F.explode(_present(tests)))
+    return explode_rows(lines, _present(tests), "family")
 
 
 def family_summary(lines: DataFrame, families: dict, user: str, line: str = "line",
@@ -51,8 +51,8 @@ def family_summary(lines: DataFrame, families: dict, user: str, line: str = "lin
 
 def script_matches(rows: DataFrame, families: dict, text: str = "text") -> DataFrame:
     """Families found in a script or in what its base64 runs decode to."""
-    forms = rows.withColumn("_form", F.explode(F.concat(
-        F.array(text), fn.decode_base64_text(F.col(text)))))
+    forms = explode_rows(rows, F.concat(
+        F.array(text), fn.decode_base64_text(F.col(text))), "_form")
     found = family_matches(forms, families, "_form").drop("_form")
     return found.dropDuplicates()
 
@@ -154,7 +154,7 @@ def fingerprint_families(lines: DataFrame, context: str | None = None, line: str
             test = hit if test is None else test | hit
         if test is not None:
             tests[name] = test
-    return lines.withColumn("family", F.explode(_present(tests)))
+    return explode_rows(lines, _present(tests), "family")
 
 
 def keyword_tags(lines: DataFrame, line: str = "line", keywords=None) -> DataFrame:
@@ -163,7 +163,7 @@ def keyword_tags(lines: DataFrame, line: str = "line", keywords=None) -> DataFra
         F.when(F.col(line).rlike("(?i)" + p), F.struct(F.lit(tag).alias("tag"),
                                                       F.lit(label).alias("label")))
         for p, tag, label in (keywords or fx.CONSOLE_KEYWORDS)]), lambda x: x.isNotNull())
-    return lines.withColumn("_k", F.explode(found)).select("*", "_k.tag", "_k.label").drop("_k")
+    return explode_rows(lines, found, "_k").select("*", "_k.tag", "_k.label").drop("_k")
 
 
 # --- URLs --------------------------------------------------------------------------------------------------

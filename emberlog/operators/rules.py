@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from emberlog.operators.common import explode_rows
+
 MODIFIERS = {"contains", "startswith", "endswith", "re", "all", "cased", "gt", "gte", "lt", "lte"}
 LEVELS = ["critical", "high", "medium", "low", "informational"]
 
@@ -122,7 +124,7 @@ def match_rules(events: DataFrame, rules, fields: dict[str, Column], blob: Colum
         hits.append(F.when(gate & F.expr(text), F.struct(
             F.lit(rule["id"]).alias("rule_id"), F.lit(rule.get("level", "medium")).alias("level"))))
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return rows.withColumn("_hit", F.explode(found)).select(
+    return explode_rows(rows, found, "_hit").select(
         *events.columns, "_hit.rule_id", "_hit.level")
 
 

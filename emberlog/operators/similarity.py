@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from emberlog import functions as fn
+from emberlog.operators.common import explode_rows
 
 BANDS = 4  # bands of 16 bits; distance <= 8 leaves one band with at most two differing bits
 
@@ -38,18 +38,21 @@ def hash_neighbours(digests: DataFrame, other: DataFrame | None = None, max_dist
     def banded(df, name, r):
         h = df.select(F.lower(F.col(column)).alias(name)).filter(
             F.col(name).rlike("^[0-9a-f]{16}$")).distinct()
+        halves = {f"_{name}_{i}": F.conv(F.substring(name, i, 8), 16, 10).cast("bigint")
+                  for i in (1, 9)}
         keys = F.concat(*[_tagged(_probes(_band(F.col(name), i), r), i) for i in range(BANDS)])
-        return h.select(name, F.explode(keys).alias("_key"))
+        return explode_rows(h.withColumns(halves), keys, "_key", name, *halves)
     a = banded(digests, "hash_a", left_radius)
     b = banded(digests if other is None else other, "hash_b", right_radius)
-    joined = a.join(b, "_key")
+    distance = (F.bit_count(F.col("_hash_a_1").bitwiseXOR(F.col("_hash_b_1")))
+                + F.bit_count(F.col("_hash_a_9").bitwiseXOR(F.col("_hash_b_9")))).cast("int")
+    joined = a.join(b, "_key").withColumn("distance", distance).filter(
+        F.col("distance") <= max_distance).select("hash_a", "hash_b", "distance")
     if other is None:
         joined = joined.filter(F.col("hash_a") != F.col("hash_b")).select(
             F.least("hash_a", "hash_b").alias("hash_a"),
-            F.greatest("hash_a", "hash_b").alias("hash_b"))
-    distance = fn.phash_distance(F.col("hash_a"), F.col("hash_b"))
-    return joined.withColumn("distance", distance).filter(
-        F.col("distance") <= max_distance).distinct()
+            F.greatest("hash_a", "hash_b").alias("hash_b"), "distance")
+    return joined.distinct()
 
 
 def _tagged(values: Column, band: int) -> Column:
@@ -94,14 +97,19 @@ def similar_across_cases(digests: DataFrame, max_distance: int = 8) -> DataFrame
 # --- context-triggered hashes ------------------------------------------------------------------
 
 def _edit_cost(a: str, b: str) -> int:
-    """Insert and delete cost one, replace costs two (length of both minus twice the common part)."""
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b, 1):
-            row.append(prev[j - 1] + 1 if x == y else max(prev[j], row[j - 1]))
-        prev = row
-    return len(a) + len(b) - 2 * prev[-1]
+    """Insert and delete cost one, replace costs two: both lengths minus twice the common part.
+
+    The longest common subsequence is counted on the bits of one integer.
+    """
+    full = (1 << len(a)) - 1
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    row = full
+    for ch in b:
+        hit = row & where.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) + len(b) - 2 * (len(a) - row.bit_count())
 
 
 def _squeeze(s: str) -> str:
@@ -153,8 +161,8 @@ def fuzzy_neighbours(digests: DataFrame, min_score: int = 20, column: str = "ssd
         return F.when(F.length(s) >= 7, F.transform(
             F.sequence(F.lit(1), F.length(s) - 6), lambda i: F.concat_ws(
                 ":", size, F.substr(s, i, F.lit(7))))).otherwise(F.array().cast("array<string>"))
-    keyed = h.select("h", F.explode(F.array_distinct(F.concat(
-        grams(parts[1], block), grams(F.split(parts[2], ",")[0], block * 2)))).alias("_key"))
+    keyed = explode_rows(h, F.array_distinct(F.concat(
+        grams(parts[1], block), grams(F.split(parts[2], ",")[0], block * 2))), "_key", "h")
     pairs = keyed.select(F.col("h").alias("hash_a"), "_key").join(
         keyed.select(F.col("h").alias("hash_b"), "_key"), "_key").filter(
         F.col("hash_a") < F.col("hash_b")).select("hash_a", "hash_b").distinct()

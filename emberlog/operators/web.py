@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import web as fx
+from emberlog.operators.common import explode_rows
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def _prepared(rows: DataFrame) -> DataFrame:
 
 
 def request_flags(rows: DataFrame, rules: WebRules = UNIX) -> DataFrame:
-    """Requests with the list of patterns each one matches (only requests that match any)."""
+    """Requests with the list of patterns each one matches (empty for most)."""
     r = _prepared(rows)
     low = F.lower("path")
     ok = F.col("status").startswith("2")
@@ -76,13 +77,13 @@ def request_flags(rows: DataFrame, rules: WebRules = UNIX) -> DataFrame:
     }
     flags = F.filter(F.array(*[F.when(t, f"{rules.prefix}_{k}") for k, t in tests.items()]),
                      lambda x: x.isNotNull())
-    return r.withColumn("flags", flags).filter(F.size("flags") > 0)
+    return r.withColumn("flags", flags)
 
 
 def request_hits(rows: DataFrame, rules: WebRules = UNIX) -> DataFrame:
     """Matching requests per pattern and client."""
-    return request_flags(rows, rules).select(F.explode("flags").alias("rule_id"), "src", "ts"
-                                             ).groupBy("rule_id", "src").agg(
+    flagged = explode_rows(request_flags(rows, rules), F.col("flags"), "rule_id", "src", "ts")
+    return flagged.groupBy("rule_id", "src").agg(
         F.count("*").alias("event_count"), F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"))
 
