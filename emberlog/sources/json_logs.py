@@ -136,8 +136,8 @@ def cloudtrail_rows(files: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path) -> DataFrame:
     """Whole JSON files (plain or gzip), one per row."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(
-        path).select("value", F.col("_metadata.file_path").alias("path"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("path"))
 
 
 WRAPPERS = ["value", "records", "Records", "logs", "items", "entries"]

@@ -187,7 +187,7 @@ def read_w3c(spark: SparkSession, path) -> DataFrame:
     The header in force depends on line order, so a file is read by one task; split such logs by
     file (they are rotated daily or by size) for parallelism.
     """
-    whole = spark.read.option("wholetext", "true").text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("path"))
     return parse_w3c(whole)
 
