@@ -26,9 +26,13 @@ PROBE_PATHS = ["/livez", "/readyz", "/healthz", "/version"]
 EXEC_RESOURCES = ["pods/exec", "pods/attach", "pods/portforward"]
 RBAC_RESOURCES = ["clusterrolebindings", "rolebindings", "clusterroles", "roles"]
 OPERATOR_NAMES = ["operator", "controller", "cert-manager", "prometheus"]
-ESCAPE_WORDS = ["container escape", "escape", "nsenter", "release_agent", "docker.sock",
-                "mount", "ptrace", "kernel module"]
-PRIVILEGE_WORDS = ["privilege", "setuid", "sudo", "capabilit", "root"]
+ESCAPE_WORDS = ["container escape", "container drift", "mount on suspicious filesystem",
+                "write below /proc", "write below /sys", "load kernel module", "module loaded",
+                "unprivileged delegation", "docker.sock", "containerd.sock",
+                "host pid namespace", "host network namespace"]
+PRIVILEGE_WORDS = ["create privileged pod", "create hostnetwork pod", "create hostpath",
+                   "attach to cluster-admin", "exec to pod", "service account", "k8s privileged",
+                   "k8s sensitive mount", "k8s rbac", "k8s clusterrolebinding"]
 HIGH_PRIORITIES = ["emergency", "alert", "critical", "error"]
 
 # --- fixed values: event-log detectors ------------------------------------------------------------------
@@ -58,12 +62,14 @@ RUNDLL_BENIGN = ["control_rundll", "bthudtask.exe", "windowsupdateelevatedinstal
                  "advapi32.dll,processidletasks", "appwiz.cpl", "ncpa.cpl", "inetcpl.cpl",
                  "main.cpl", "system32\\printui.dll", "shell32.dll,shellexec_rundll"]
 ENCODED_FLAGS = [" -enc ", " -e ", " -encodedcommand", "/enc ", " -encoded "]
-WEB_PARENTS = ["w3wp.exe", "httpd.exe", "nginx.exe", "tomcat.exe", "java.exe", "php-cgi.exe",
-               "php.exe", "umworkerprocess.exe"]
-WEB_CHILDREN = ["cmd.exe", "powershell.exe", "pwsh.exe", "cscript.exe", "wscript.exe",
-                "certutil.exe", "bitsadmin.exe", "nslookup.exe", "net.exe", "ipconfig.exe",
-                "whoami.exe", "systeminfo.exe", "tasklist.exe", "hostname.exe"]
-SCRIPT_FILES = [".vbs", ".vbe", ".js", ".jse", ".wsf"]
+WEB_PARENTS = ["w3wp.exe", "httpd.exe", "nginx.exe", "tomcat.exe", "tomcat9.exe", "javaw.exe",
+               "java.exe", "msexchangehmworker.exe", "msexchangemailboxassistants.exe",
+               "umworkerprocess.exe", "crushftpservice.exe", "manageenginedesktopcentral.exe",
+               "ws_tomcat.exe", "tomcatw.exe", "phpcgi.exe", "fpm.exe", "splunkd.exe"]
+WEB_CHILDREN = ["cmd.exe", "powershell.exe", "pwsh.exe", "wmic.exe", "rundll32.exe",
+                "regsvr32.exe", "certutil.exe", "bitsadmin.exe", "nslookup.exe", "net.exe",
+                "ipconfig.exe", "whoami.exe", "systeminfo.exe", "tasklist.exe", "hostname.exe"]
+SCRIPT_FILES = [".vbs", ".vbe", ".vba", ".js", ".jse", ".wsf", ".hta"]
 MSHTA_ARGUMENTS = [".hta", "javascript:", "vbscript:", "http:", "https:"]
 RANSOM_EXTENSIONS = [".lockbit", ".conti", ".ryk", ".lock", ".crypt", ".encrypted", ".enc"]
 RANSOM_NOTES = ["readme", "decrypt", "ransom"]
@@ -76,10 +82,11 @@ DEFENDER_COMMANDS = ["set-mppreference -disablerealtimemonitoring",
 
 # --- fixed values: programs worth a look in process audit records ---------------------------------------------
 WATCHED_PROGRAMS = """
-nc ncat netcat socat nmap wget curl python python3 perl ruby gcc base64 xxd ssh scp rsync tcpdump
-strace gdb insmod modprobe chattr useradd usermod passwd sudo su iptables crontab at
+nc ncat netcat socat wget curl tftp powershell pwsh msfconsole msfvenom chattr shred wipe dd
+iptables nft ufw useradd usermod passwd auditctl service systemctl base64 xxd python python3 perl
+ruby bash sh
 """.split()
-PENTEST_COMMENTS = ["kali", "parrot", "pentoo", "blackarch"]
+PENTEST_COMMENT = r"(?i)\b(kali|parrot|backbox|metasploit|msfuser|pentest)\b"
 
 # --- fixed values: memory regions ---------------------------------------------------------------------------------
 CREDENTIAL_PROCESSES = ["lsass.exe", "winlogon.exe", "services.exe", "csrss.exe", "wininit.exe",
@@ -104,32 +111,58 @@ ROOT_MARKERS = {
 SUSPICIOUS_PLACES = (r"(?i)(^|[\s\"'=])(/tmp/|/var/tmp/|/dev/shm/|/users/shared/)"
                      r"|\\temp\\|\\appdata\\|\\users\\public\\|\\programdata\\|\\downloads\\")
 
-# --- fixed values: path patterns of file listings (lower-cased, forward slashes) ------------------------------------------
+# --- fixed values: path patterns of file listings (either separator, case does not matter) ----
+SEP, PART = r"[/\\]", r"[^/\\\r\n|]"
 PATH_PATTERNS = {
-    "exe_in_temp": r"/(?:temp|tmp)/[^:]*\.(?:exe|dll|scr|bat|ps1|vbs)$",
-    "service_binary": r"/windows/psexesvc\.exe$",
-    "scheduled_task": r"/windows/(?:system32/)?tasks/[^/]+$",
-    "svchost_outside_system32": r"^(?!.*/windows/(?:system32|syswow64|winsxs)/).*/svchost\.exe$",
-    "pyinstaller_temp_dir": r"/_mei\d+/",
-    "alternate_stream": r"\.(?:exe|dll|docx?|xlsx?|pdf|ps1|js)(?::(?!zone\.identifier)[^:/]+)$",
-    "prefetch": r"/windows/prefetch/[^/]+\.pf$",
-    "key_file": r"\.(?:pem|ppk|key|pfx|p12|kdbx)$",
-    "ssh_key": r"/\.ssh/id_(?:rsa|dsa|ecdsa|ed25519)$",
-    "credential_dump": r"/(?:lsass|ntds)[^/]*\.(?:dmp|dit)$",
-    "archive_in_user": r"/users/[^/]+/[^:]*\.(?:7z|rar|zip)$",
-    "mail_store": r"\.(?:ost|pst)$",
-    "web_shell": r"/(?:inetpub|www|htdocs)/[^:]*/(?:cmd|shell|c99|r57)\.(?:aspx?|php|jsp)$",
-    "startup_item": r"/start menu/programs/startup/[^/]+$",
+    "PSEXEC_SERVICE_ARTIFACT": rf"(?i){SEP}PSEXESVC(?:\.EXE)?\b",
+    "PYINSTALLER_TEMP_DIR": rf"(?i){SEP}_MEI\d{{2,8}}{SEP}",
+    "SVCHOST_OUTSIDE_SYSTEM32": rf"(?i){SEP}({PART}+){SEP}svchost\.exe(?=[|\s]|$)",
+    "LSASS_OUTSIDE_SYSTEM32": rf"(?i){SEP}({PART}+){SEP}lsass\.exe(?=[|\s]|$)",
+    "EXE_IN_TEMP": rf"(?i){SEP}(?:Temp|AppData{SEP}Local{SEP}Temp){SEP}{PART}+"
+                   r"\.(?:exe|dll|scr|bat|ps1|hta|js|vbs)(?=[|\s]|$)",
+    "SCHEDULED_TASK_NONMS": rf"(?i){SEP}Windows{SEP}Tasks{SEP}(?!Microsoft)[A-Za-z0-9_.-]+",
+    "MIMIKATZ_NAMED_BINARY": rf"(?i){SEP}(?:mimikatz|sekurlsa|kiwi)(?:[.\-_][a-z0-9]+)?"
+                             r"\.(?:exe|dll|kirbi)\b",
+    "RECYCLE_BIN_EXE": rf"(?i){SEP}\$Recycle\.Bin{SEP}{PART}+\.(?:exe|dll|scr|bat)\b",
+    "VSSADMIN_DELETE_SHADOWS_TRACE":
+        r"(?i)(?:vssadmin(?:\.exe)?\s+delete\s+shadows"
+        r"|wbadmin(?:\.exe)?\s+delete\s+(?:catalog|backup|systemstate)"
+        r"|shadowcopy[^|\n]{0,40}delete|delete\s+shadows\s*/all)",
+    "NTFS_ALTERNATE_DATA_STREAM":
+        rf"(?i){SEP}{PART}+\.(?:exe|dll|sys|com|scr|bat|cmd|ps1|vbs|js|jse|wsf|wsh|hta|jar|py|pyc"
+        r"|pyw|docx?|xlsx?|pptx?|pdf|rtf|zip|rar|7z|cab|msi):(?!Zone\.Identifier(?:[\s|:]|$))"
+        r"[A-Za-z0-9_.\-$]+(?=[\s|]|$)",
+    "BITLOCKER_RECOVERY_KEY_FILE": rf"(?i){SEP}BitLocker Recovery Key {PART}*\.txt\b",
+    "AESCRYPT_ENCRYPTED_FILE": rf"(?i){SEP}{PART}+\.aes\b",
+    "PGP_GPG_KEY_MATERIAL": rf"(?i){SEP}(?:pubring\.(?:kbx|gpg)|secring\.gpg|trustdb\.gpg"
+                            rf"|private-keys-v1\.d(?={SEP})|{PART}+\.(?:asc|gpg|pgp))\b",
+    "VERACRYPT_TRUECRYPT_CONTAINER": rf"(?i){SEP}{PART}+\.(?:tc|hc)\b",
 }
+SYSTEM_PLACES = r"(?i)[/\\](?:system32|syswow64|winsxs|servicing|softwaredistribution)[/\\]"
+SYSTEM_ONLY = ["SVCHOST_OUTSIDE_SYSTEM32", "LSASS_OUTSIDE_SYSTEM32"]
 
-# --- fixed values: script families ---------------------------------------------------------------------------------------------
+# --- fixed values: script families (matched without regard to case) ------------------------------
 SCRIPT_FAMILIES = {
-    "mimikatz": [r"invoke-mimikatz", r"sekurlsa::", r"lsadump::"],
-    "c2_framework": [r"invoke-empire", r"cobaltstrike", r"\bbeacon\.dll", r"meterpreter"],
-    "amsi_bypass": [r"amsiutils", r"amsiinitfailed", r"amsiscanbuffer"],
-    "encoded_command": [r"-e(?:nc|ncodedcommand)?\s+[a-z0-9+/=]{20,}", r"frombase64string"],
-    "download_cradle": [r"downloadstring", r"downloadfile", r"invoke-webrequest",
-                        r"net\.webclient"],
-    "persistence": [r"new-scheduledtask", r"register-scheduledtask", r"currentversion\\run"],
-    "obfuscation": [r"-join\s*\(", r"\[char\]\s*\d+", r"`[a-z]`[a-z]"],
+    "mimikatz": [r"\binvoke-?mimikatz\b", r"\bsekurlsa\s*::", r"\bkerberos\s*::",
+                 r"\blsadump\s*::", r"\bcrypto\s*::", r"\bpth\s*::",
+                 r"\bmisc\s*::\s*memssp\b"],
+    "amsi_bypass": [r"AmsiUtils\b", r"amsiInitFailed",
+                    r"System\.Management\.Automation\.AmsiUtils", r"\bPatchAmsi\b",
+                    r"\[Ref\]\.Assembly\.GetType\("],
+    "download_cradle": [r"\(New-Object\s+Net\.WebClient\)\.DownloadString\(",
+                        r"\(New-Object\s+Net\.WebClient\)\.DownloadFile\(",
+                        r"\bIEX\s*\(\s*\(", r"\bIEX\s*\(\s*New-Object\b",
+                        r"\bInvoke-Expression\b.*(DownloadString|DownloadFile)",
+                        r"\bInvoke-WebRequest\b.*\.Content", r"\bStart-BitsTransfer\b",
+                        r"\bcertutil\b.*-urlcache"],
+    "encoded_command": [
+        r"-(?:EncodedCommand|Enc|E|EncodedArguments)\s+[A-Za-z0-9+/=]{32,}",
+        r"\bFromBase64String\s*\("],
+    "c2_framework": [r"\bEmpire\b.*Launcher", r"\bCobalt\s*Strike\b", r"\bCovenant\b",
+                     r"\bpowersploit\b", r"\bpowerview\b", r"\bpowercat\b",
+                     r"\bSharphound\b", r"\bBloodHound\b", r"\bRubeus\b"],
+    "persistence": [r"\bRegister-ScheduledTask\b", r"\bNew-ScheduledTaskAction\b",
+                    r"\bSet-ItemProperty\b.*CurrentVersion\\Run", r"\bNew-Service\b",
+                    r"\bReg\s+add\b.*CurrentVersion\\Run"],
+    "obfuscation": [r"(?:`[A-Z]){5,}", r"(?:\"\+\"|\+'){6,}", r"\bchar\](?:\s*\d+){5,}"],
 }

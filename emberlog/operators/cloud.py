@@ -187,7 +187,7 @@ def k8s_hits(rows: DataFrame, min_secrets: int = 50, min_rbac: int = 100,
 
 def falco_summary(rows: DataFrame) -> DataFrame:
     """Alerts per rule and priority with containers, pods and keyword classes."""
-    text = F.lower(F.concat_ws(" ", "rule", "output"))
+    text = F.lower("rule")
     return rows.groupBy("rule", "priority").agg(
         F.count("*").alias("event_count"), F.count_distinct("container_id").alias("containers"),
         F.count_distinct("pod").alias("pods"),

@@ -210,7 +210,7 @@ def watched_executions(events: DataFrame) -> DataFrame:
 
 def key_anomalies(keys: DataFrame, min_keys: int = 3) -> DataFrame:
     """Accounts with many authorized keys or a key made on an attack distribution."""
-    odd = fn.any_contains(F.lower("comment"), fx.PENTEST_COMMENTS)
+    odd = F.coalesce(F.col("comment").rlike(fx.PENTEST_COMMENT), F.lit(False))
     return keys.groupBy("user").agg(F.count("*").alias("keys"), F.bool_or(odd).alias(
         "odd_comment")).filter((F.col("keys") >= min_keys) | F.col("odd_comment"))
 

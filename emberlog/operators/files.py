@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import endpoint as fx
-from emberlog.operators.common import top_list
+from emberlog.operators.common import explode_rows, top_list
 from emberlog.operators.intel import lookup
 
 DAY = 86400
@@ -101,13 +101,21 @@ def backdated_files(listing: DataFrame, min_days: int = 7) -> DataFrame:
     ).withColumn("skew_days", F.floor(skew / DAY))
 
 
-def path_patterns(listing: DataFrame, patterns: dict, benign=()) -> DataFrame:
-    """Listing rows per path pattern with count, earliest and latest row time and a sample."""
-    low = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
-    found = F.filter(F.array(*[F.when(low.rlike(p), name) for name, p in patterns.items()]),
-                     lambda x: x.isNotNull())
-    kept = listing.filter(~fn.any_contains(low, benign)) if benign else listing
-    return kept.withColumn("pattern", F.explode(found)).groupBy("pattern").agg(
+def path_patterns(listing: DataFrame, patterns: dict, system_only=(), system_places=None,
+                  benign=()) -> DataFrame:
+    """Listing rows per path pattern with count, earliest and latest row time and a sample.
+
+    Patterns named in `system_only` do not count inside the system places.
+    """
+    path = F.col("path")
+    tests = {}
+    for name, p in patterns.items():
+        tests[name] = path.rlike(p)
+        if name in system_only and system_places:
+            tests[name] = tests[name] & ~path.rlike(system_places)
+    found = F.filter(F.array(*[F.when(t, n) for n, t in tests.items()]), lambda x: x.isNotNull())
+    kept = listing.filter(~fn.any_contains(F.lower(path), benign)) if benign else listing
+    return explode_rows(kept, found, "pattern").groupBy("pattern").agg(
         F.count("*").alias("event_count"), F.min("mtime").alias("earliest"),
         F.max("mtime").alias("latest"), F.min("path").alias("sample_path"))
 
@@ -116,7 +124,7 @@ def markers_present(listing: DataFrame, markers: dict) -> DataFrame:
     """Known paths or packages found in a listing: marker kind, files and a sample."""
     found = F.filter(F.array(*[F.when(fn.any_contains(F.lower("path"), paths), kind)
                                for kind, paths in markers.items()]), lambda x: x.isNotNull())
-    return listing.withColumn("kind", F.explode(found)).groupBy("kind").agg(
+    return explode_rows(listing, found, "kind").groupBy("kind").agg(
         F.count("*").alias("files"), F.min("path").alias("sample_path"))
 
 
@@ -163,22 +171,23 @@ def execution_corroboration(hits: DataFrame, min_sources: int = 2) -> DataFrame:
 
 # --- seals -------------------------------------------------------------------------------------------
 
-def seal(manifest: DataFrame, digits: int = 2) -> DataFrame:
-    """Root digest of a manifest (columns path, sha256), built as a two-level digest tree.
+def seal(manifest: DataFrame) -> DataFrame:
+    """Root digest of a manifest (columns path, sha256), built as a three-level digest tree.
 
-    Files are grouped by the first digits of the digest of their path; every group is digested in
-    path order, and the root is the digest of the group digests. Groups stay small when `digits`
-    grows with the file count, so no task holds the whole manifest.
+    Files fall into 65,536 leaves by the digest of their path, leaves into 256 branches, branches
+    into the root; every level is digested in order. A billion files put some 15,000 lines in a leaf,
+    so no task holds the whole manifest.
     """
-    bucket = F.substring(F.sha2("path", 256), 1, digits)
-    line = F.struct("path", F.concat_ws(" ", "path", "sha256").alias("line"))
-    groups = manifest.groupBy(bucket.alias("b")).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(line)),
-                                        lambda s: s["line"]), "\n"), 256).alias("d"),
-        F.count("*").alias("n"))
-    return groups.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(
-        F.struct("b", "d"))), lambda s: s["d"]), "\n"), 256).alias("root"),
-        F.sum("n").alias("files"))
+    def digest(items):
+        return F.sha2(F.array_join(F.transform(F.sort_array(items), lambda s: s["v"]), "\n"), 256)
+    key = F.sha2("path", 256)
+    leaves = manifest.groupBy(F.substring(key, 1, 4).alias("leaf")).agg(
+        digest(F.collect_list(F.struct("path", F.concat_ws(" ", "path", "sha256").alias("v"))))
+        .alias("v"), F.count("*").alias("n"))
+    branches = leaves.groupBy(F.substring("leaf", 1, 2).alias("branch")).agg(
+        digest(F.collect_list(F.struct("leaf", "v"))).alias("v"), F.sum("n").alias("n"))
+    return branches.agg(digest(F.collect_list(F.struct("branch", "v"))).alias("root"),
+                        F.sum("n").alias("files"))
 
 
 def verify_seal(sealed: DataFrame, current: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ RULE_TYPE = ("array<struct<hypothesis:string,weight:int,words:array<string>,any_
 def literal(value, ddl: str) -> Column:
     """A nested constant built from literals, which Catalyst folds into one (parsed JSON it keeps)."""
     def text(v) -> str:
-        if isinstance(v, bool) or v is None:
-            return str(v).lower()
+        if v is None:
+            return "null"
         if isinstance(v, (int, float)):
             return str(v)
         if isinstance(v, str):

@@ -693,9 +693,11 @@ def verify_seal(spark, sf):
 
 @query("seal_root", """
 WITH m AS (SELECT 'f' || doc_id AS path, sha256(text) AS s FROM documents),
-g AS (SELECT sha256(path)[1:2] AS b, sha256(string_agg(path || ' ' || s, chr(10) ORDER BY path))
-  AS d, count(*) AS n FROM m GROUP BY 1)
-SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS root, CAST(sum(n) AS BIGINT) AS files FROM g""")
+l AS (SELECT sha256(path)[1:4] AS leaf, sha256(string_agg(path || ' ' || s, chr(10) ORDER BY path))
+  AS v, count(*) AS n FROM m GROUP BY 1),
+g AS (SELECT leaf[1:2] AS b, sha256(string_agg(v, chr(10) ORDER BY leaf)) AS v, sum(n) AS n FROM l
+  GROUP BY 1)
+SELECT sha256(string_agg(v, chr(10) ORDER BY b)) AS root, CAST(sum(n) AS BIGINT) AS files FROM g""")
 def seal_root(spark, sf):
     return fl.seal(table(spark, sf, "documents").select(
         F.concat(F.lit("f"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256")))

@@ -58,7 +58,7 @@ TEXTS = {
   CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS code,
   CASE WHEN k % 10 = 0 THEN '198.51.100.4' ELSE '10.0.0.1' END AS ip FROM {ev}""",
     "falco": """SELECT CASE k % 3 WHEN 0 THEN 'Container Escape via mount' WHEN 1
-    THEN 'Sudo privilege use' ELSE 'Shell in pod' END AS rule,
+    THEN 'Create privileged pod' ELSE 'Shell in pod' END AS rule,
   CASE k % 2 WHEN 0 THEN 'Critical' ELSE 'Notice' END AS priority, 'plain text' AS output,
   concat('c', CAST(user_id AS STRING)) AS container_id,
   concat('pod', CAST(user_id % 20 AS STRING)) AS pod FROM {ev}""",
@@ -325,7 +325,7 @@ PROBE_SQL = {
     "T1003.001": "eid = 10 AND source_image LIKE '%evil%'", "T1027": "k10 = 0", "T1059.001": "k10 = 0",
     "T1059.003": "k10 = 1", "T1218.011": "k10 = 2", "T1490": "k10 = 3", "T1218.005": "k10 = 8",
     "T1547.001": "eid = 13", "T1486": "eid = 11 AND target LIKE '%lockbit'", "T1055": "eid = 8",
-    "T1190": "eid = 1 AND parent_image LIKE '%w3wp%' AND k10 IN (0, 1)"}
+    "T1190": "eid = 1 AND parent_image LIKE '%w3wp%' AND k10 IN (0, 1, 2)"}
 
 
 @query("technique_probes", f"WITH {cte('proc')}, p AS (SELECT *, CASE WHEN eid <> 1 THEN -1 WHEN "
@@ -351,21 +351,21 @@ def process_search(spark, sf):
         "event_id", "command_line")
 
 
-SCRIPTS = """s AS (SELECT event_id, CASE k % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'IEX DownloadString'
-WHEN 2 THEN 'decoded' ELSE '-join (1)' END AS kind FROM {ev})"""
+SCRIPTS = """s AS (SELECT event_id, CASE k % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'cradle'
+WHEN 2 THEN 'decoded' ELSE 'task' END AS kind FROM {ev})"""
 
 
 @query("script_families", f"WITH {SCRIPTS.format(ev=EV)} SELECT event_id, CASE kind "
-       "WHEN 'IEX DownloadString' THEN 'download_cradle' WHEN 'decoded' THEN 'mimikatz' ELSE "
-       "'obfuscation' END AS family FROM s WHERE kind <> 'plain'")
+       "WHEN 'cradle' THEN 'download_cradle' WHEN 'decoded' THEN 'mimikatz' ELSE "
+       "'persistence' END AS family FROM s WHERE kind <> 'plain'")
 def script_families(spark, sf):
     blob = F.regexp_replace(F.base64(F.encode(F.concat(
         F.lit("Invoke-Mimikatz now and again "), F.col("event_id").cast("string")), "UTF-16LE")),
         r"\s", "")
     k = F.col("k") % 4
     s = events(spark, sf).select("event_id", F.when(k == 0, "plain").when(
-        k == 1, "IEX DownloadString").when(k == 2, F.concat(F.lit("run "), blob)).otherwise(
-        "-join (1)").alias("text"))
+        k == 1, "Start-BitsTransfer x").when(k == 2, F.concat(F.lit("run "), blob)).otherwise(
+        "Register-ScheduledTask y").alias("text"))
     return patterns.script_matches(s, fd.SCRIPT_FAMILIES).select("event_id", "family").distinct()
 
 
@@ -392,13 +392,13 @@ def backdated_files(spark, sf):
     return fl.backdated_files(rows(spark, sf, "listing")).select("path", "skew_days")
 
 
-@query("path_patterns", f"""WITH {cte('listing')}, h AS (SELECT *, CASE WHEN path LIKE '%/Temp/%' OR
-path LIKE '%/tmp/%' THEN 'exe_in_temp' WHEN path LIKE '%PSEXESVC.exe' THEN 'service_binary' WHEN
-path LIKE '%id_rsa' THEN 'ssh_key' END AS pattern FROM listing)
+@query("path_patterns", f"""WITH {cte('listing')}, h AS (SELECT *, CASE WHEN path LIKE '%/Temp/%'
+THEN 'EXE_IN_TEMP' WHEN path LIKE '%PSEXESVC.exe' THEN 'PSEXEC_SERVICE_ARTIFACT' END AS pattern FROM listing)
 SELECT pattern, count(*) AS event_count, min(mtime) AS earliest, max(mtime) AS latest,
 min(path) AS sample_path FROM h WHERE pattern IS NOT NULL GROUP BY pattern""")
 def path_patterns(spark, sf):
-    return fl.path_patterns(rows(spark, sf, "listing"), fd.PATH_PATTERNS)
+    return fl.path_patterns(rows(spark, sf, "listing"), fd.PATH_PATTERNS, fd.SYSTEM_ONLY,
+                            fd.SYSTEM_PLACES)
 
 
 @query("marker_presence", f"""WITH {cte('listing')} SELECT 'staged_executable' AS kind, count(*)
