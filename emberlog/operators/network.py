@@ -22,10 +22,16 @@ def connection_intervals(flows: DataFrame, keys=FLOW_KEY, tie="flow_id") -> Data
                 - F.unix_micros(F.col("prev_ts").cast("timestamp"))).alias("gap_us"))
 
 
-def _small_key_spreads(rows: DataFrame, keys) -> DataFrame:
+def _sizes():
+    return [F.count("*").alias("connections"), F.min("ts").alias("first_seen"),
+            F.max("ts").alias("last_seen")]
+
+
+def _small_key_spreads(rows: DataFrame, keys, min_connections: int) -> DataFrame:
     """Interval statistics of keys with a bounded number of rows: one shuffle, arrays per key."""
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.unix_micros(
-        F.col("ts").cast("timestamp")))).alias("_t"))
+    times = rows.groupBy(*keys).agg(*_sizes(), F.array_sort(F.collect_list(F.unix_micros(
+        F.col("ts").cast("timestamp")))).alias("_t")).filter(
+        F.col("connections") >= min_connections)
     gaps = times.withColumn("_g", F.array_sort(F.zip_with(
         F.slice("_t", 2, F.size("_t")), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))),
         lambda later, earlier: later - earlier)))
@@ -39,7 +45,7 @@ def _small_key_spreads(rows: DataFrame, keys) -> DataFrame:
     var = F.try_divide(F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + (
         g - F.col("_mean")) * (g - F.col("_mean"))), n - 1)
     return with_mid.select(
-        *keys, n.cast("bigint").alias("_intervals"), (F.col("_mean") / 1e6).alias(
+        *keys, "connections", "first_seen", "last_seen", n.cast("bigint").alias("_intervals"), (F.col("_mean") / 1e6).alias(
             "mean_interval"), (F.sqrt(var) / 1e6).alias("stdev_interval"),
         mean(lambda g: F.abs(g - F.col("_m"))).alias("mad"))
 
@@ -50,7 +56,8 @@ def _large_key_spreads(rows: DataFrame, keys, tie: str) -> DataFrame:
     moments = gaps.groupBy(*keys).agg(
         F.count("*").alias("_intervals"), (F.avg("gap_us") / 1e6).alias("mean_interval"),
         (F.stddev_samp("gap_us") / 1e6).alias("stdev_interval"))
-    return moments.join(spread_around_median(gaps, keys, "gap_us").drop("median"), keys)
+    return rows.groupBy(*keys).agg(*_sizes()).join(moments, keys).join(
+        spread_around_median(gaps, keys, "gap_us").drop("median"), keys)
 
 
 def beacon_scores(flows: DataFrame, min_connections: int = 10, min_intervals: int = 5,
@@ -65,21 +72,19 @@ def beacon_scores(flows: DataFrame, min_connections: int = 10, min_intervals: in
     keys = list(keys)
     clean = flows.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()
                          & F.col("dport").isNotNull() & F.col("ts").isNotNull())
-    busy = clean.groupBy(*keys).agg(
-        F.count("*").alias("connections"), F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen")).filter(F.col("connections") >= min_connections)
-    large = busy.filter(F.col("connections") > large_key).select(*keys)
+    large = clean.groupBy(*keys).agg(F.count("*").alias("n")).filter(
+        F.col("n") > max(large_key, min_connections)).select(*keys)
     rows = clean.select(*keys, "ts", tie)
-    spreads = _small_key_spreads(rows.join(large, keys, "left_anti"), keys).unionByName(
-        _large_key_spreads(rows.join(large, keys, "left_semi"), keys, tie))
+    spreads = _small_key_spreads(rows.join(large, keys, "left_anti"), keys, min_connections
+                                 ).unionByName(_large_key_spreads(
+                                     rows.join(large, keys, "left_semi"), keys, tie))
     scorable = (F.col("_intervals") >= min_intervals) & (F.col("mean_interval") > 0)
 
     def clamp(ratio):
         return F.when(scorable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ratio))).otherwise(
             0.0)
 
-    return (busy.join(spreads, keys)
-            .withColumn("ts_score", clamp(F.try_divide(F.col("mad") / 1e6, "mean_interval")))
+    return (spreads.withColumn("ts_score", clamp(F.try_divide(F.col("mad") / 1e6, "mean_interval")))
             .withColumn("dispersion_score", clamp(F.try_divide(
                 "stdev_interval", "mean_interval")))
             .withColumn("score", (F.col("ts_score") + F.col("dispersion_score")) / 2)

@@ -290,7 +290,10 @@ def planning_lexicon(spark, sf):
 TRADE = ["blue dream and og kush", "sour diesel, molly, haze, snow at $10/gram", "plain words"]
 
 
-@query("trade_lexicon")
+@query("trade_lexicon", """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 3 ELSE 5 END AS total_hits, CASE doc_id % 3 WHEN 0 THEN 1
+  ELSE 2 END AS categories, CASE doc_id % 3 WHEN 0 THEN 'medium' ELSE 'high' END AS strength
+FROM documents WHERE doc_id % 3 < 2""")
 def trade_lexicon(spark, sf):
     return patterns.trade_hits(planted(spark, sf, TRADE)).select(
         "doc_id", "total_hits", "categories", "strength")

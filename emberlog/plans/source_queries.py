@@ -185,6 +185,16 @@ def src_evtx_csv(spark, sf):
         F.element_at("payload", "PayloadData1").alias("p1"), "ts")
 
 
+@query("src_event_xml", f"""WITH {E} SELECT CAST(4600 + k AS INT) AS event_id, 'pc' || user_id
+AS computer, 'u' || event_id AS target, {SECOND} AS ts FROM e""")
+def src_event_xml(spark, sf):
+    text = ("concat('<Event><System><EventID>', 4600 + k, '</EventID><Computer>pc', user_id, "
+            f"'</Computer><TimeCreated SystemTime=\"', {ISO}, '\"/></System><EventData>"
+            "<Data Name=\"Target\">u', event_id, '</Data></EventData></Event>')")
+    return ln.parse_event_xml(lines(spark, sf, text)).select(
+        "event_id", "computer", F.element_at("data", "Target").alias("target"), "ts")
+
+
 @query("src_install_log", f"""WITH {E} SELECT event_id, 'App ' || k AS installed,
 {SECOND} + INTERVAL 7 HOUR AS ts FROM e""")
 def src_install_log(spark, sf):

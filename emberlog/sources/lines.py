@@ -323,7 +323,17 @@ EVENT_XML_SCHEMA = (
 
 def read_event_xml(spark: SparkSession, path) -> DataFrame:
     """Exported event XML: id, time, computer, channel and the named data as a map."""
-    raw = spark.read.format("xml").option("rowTag", "Event").schema(EVENT_XML_SCHEMA).load(path)
+    return _event_rows(spark.read.format("xml").option("rowTag", "Event").schema(
+        EVENT_XML_SCHEMA).load(path))
+
+
+def parse_event_xml(texts: DataFrame) -> DataFrame:
+    """The same for one event text per row (column value)."""
+    doc = F.from_xml("value", EVENT_XML_SCHEMA)
+    return _event_rows(texts.select(doc.alias("_d")).select("_d.*"))
+
+
+def _event_rows(raw: DataFrame) -> DataFrame:
     named = F.filter(F.coalesce("EventData.Data", F.array().cast(
         "array<struct<_Name:string,_VALUE:string>>")), lambda d: d["_Name"].isNotNull())
     data = F.map_from_entries(F.transform(named, lambda d: F.struct(d["_Name"], d["_VALUE"])))
