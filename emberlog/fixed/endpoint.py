@@ -8,7 +8,7 @@ PROCESS_PROFILE = {
     "lsaiso.exe": {"parents": ["wininit.exe"], "max": 1},
     "winlogon.exe": {"parents": ["smss.exe"], "min": 1},
     "csrss.exe": {"parents": ["smss.exe"], "min": 2},
-    "smss.exe": {"parents": ["system"], "min": 1},
+    "smss.exe": {"parents": ["system"], "exact": 1},
     "explorer.exe": {"parents": ["userinit.exe"]},
     "svchost.exe": {"parents": ["services.exe"], "min": 3},
     "runtimebroker.exe": {"parents": ["svchost.exe"]},

@@ -485,7 +485,7 @@ w AS (SELECT l.*, p.name AS parent FROM l LEFT JOIN l p ON p.host = l.host AND p
 x(name, parents, ex, mn, mx) AS (VALUES ('wininit.exe', ['smss.exe'], 1, NULL, NULL),
  ('services.exe', ['wininit.exe'], 1, NULL, NULL), ('lsass.exe', ['wininit.exe'], 1, NULL, NULL),
  ('lsaiso.exe', ['wininit.exe'], NULL, NULL, 1), ('winlogon.exe', ['smss.exe'], NULL, 1, NULL),
- ('csrss.exe', ['smss.exe'], NULL, 2, NULL), ('smss.exe', ['system'], NULL, 1, NULL),
+ ('csrss.exe', ['smss.exe'], NULL, 2, NULL), ('smss.exe', ['system'], 1, NULL, NULL),
  ('explorer.exe', ['userinit.exe'], NULL, NULL, NULL),
  ('svchost.exe', ['services.exe'], NULL, 3, NULL),
  ('runtimebroker.exe', ['svchost.exe'], NULL, NULL, NULL),
