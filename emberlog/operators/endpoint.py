@@ -185,10 +185,9 @@ def unknown_owners(entries: DataFrame) -> DataFrame:
 
 # --- audit records, keys, sessions --------------------------------------------------------------------------------
 
-def audit_rollups(events: DataFrame) -> DataFrame:
-    """Records per type, audit user and rule key."""
-    r = events.select(F.explode("records").alias("r")).select(
-        F.col("r.type").alias("type"), F.map_from_entries("r.fields").alias("f"))
+def audit_rollups(records: DataFrame) -> DataFrame:
+    """Records per type, audit user and rule key (columns type, fields)."""
+    r = records.select("type", F.col("fields").alias("f"))
 
     def part(kind, column):
         return r.filter(column.isNotNull()).groupBy(F.lit(kind).alias("kind"), column.alias(
@@ -198,11 +197,10 @@ def audit_rollups(events: DataFrame) -> DataFrame:
         part("key", F.try_element_at("f", F.lit("key")))])
 
 
-def watched_executions(events: DataFrame) -> DataFrame:
+def watched_executions(records: DataFrame) -> DataFrame:
     """Execution records of watched programs."""
-    r = events.select("serial", "ts", F.explode("records").alias("r")).filter(
-        F.col("r.type") == "EXECVE").select("serial", "ts", F.map_from_entries("r.fields").alias(
-            "f"))
+    r = records.filter(F.col("type") == "EXECVE").select(
+        "serial", "ts", F.col("fields").alias("f"))
     program = fn.win_basename(F.try_element_at("f", F.lit("a0")))
     return r.withColumn("program", program).filter(
         F.col("program").isin(fx.WATCHED_PROGRAMS)).select("serial", "ts", "program")

@@ -77,8 +77,10 @@ def src_auditd(spark, sf):
     text = ("concat('type=', CASE WHEN event_id % 2 = 0 THEN 'EXECVE' ELSE 'SYSCALL' END, "
             "' msg=audit(1700000000.123:', floor(event_id / 2), '): argc=2 a0=\"/usr/bin/wget\" "
             "auid=', user_id)")
-    e = ln.parse_auditd(lines(spark, sf, text))
-    watched = endpoint.watched_executions(e).select("serial", "program")
+    rows = lines(spark, sf, text)
+    e = ln.parse_auditd(rows)
+    watched = endpoint.watched_executions(ln.parse_audit_records(rows)).select(
+        "serial", "program")
     return e.select("serial", F.size("records").cast("bigint").alias("records")).join(
         watched, "serial", "left")
 
@@ -89,7 +91,7 @@ THEN 'EXECVE' ELSE 'SYSCALL' END, count(*) FROM e GROUP BY 2""")
 def auditd_rollups(spark, sf):
     text = ("concat('type=', CASE WHEN event_id % 2 = 0 THEN 'EXECVE' ELSE 'SYSCALL' END, "
             "' msg=audit(1700000000.123:', floor(event_id / 2), '): auid=', user_id)")
-    return endpoint.audit_rollups(ln.parse_auditd(lines(spark, sf, text)))
+    return endpoint.audit_rollups(ln.parse_audit_records(lines(spark, sf, text)))
 
 
 @query("src_zeek_tsv", f"""WITH {E} SELECT '1.1.1.' || k AS src, CAST(event_id AS VARCHAR) AS ts,

@@ -103,8 +103,8 @@ AUDIT = r"type=(\S+)\s+msg=audit\((\d+\.\d+):(\d+)\):\s*(.*)$"
 AUDIT_FIELD = r"([A-Za-z0-9_-]+)=(\"[^\"]*\"|'[^']*'|\S+)"
 
 
-def parse_auditd(lines: DataFrame, by=()) -> DataFrame:
-    """Records grouped into events by (time, serial); each record has its type and fields."""
+def parse_audit_records(lines: DataFrame) -> DataFrame:
+    """Audit records one per row: type, serial, time and fields; counts need no grouping."""
     rows = _parsed(lines, AUDIT, ["type", "epoch", "serial", "body"])
     keys = F.regexp_extract_all("body", F.lit(AUDIT_FIELD), F.lit(1))
     values = F.transform(F.regexp_extract_all("body", F.lit(AUDIT_FIELD), F.lit(2)),
@@ -112,11 +112,19 @@ def parse_auditd(lines: DataFrame, by=()) -> DataFrame:
     pairs = F.array_distinct(keys)
     fields = F.map_from_arrays(pairs, F.transform(pairs, lambda k: F.get(
         values, F.array_position(keys, k).cast("int") - 1)))
-    return rows.withColumn("fields", fields).groupBy(*by, "epoch", "serial").agg(
-        F.sort_array(F.collect_list(F.struct("type", F.map_entries("fields").alias("fields"))))
-        .alias("records")).withColumn(
-        "ts", F.timestamp_micros((F.col("epoch").cast("decimal(20,6)") * 1_000_000).cast(
-            "bigint")))
+    return rows.withColumn("fields", fields).withColumn("ts", F.timestamp_micros((F.col(
+        "epoch").cast("decimal(20,6)") * 1_000_000).cast("bigint"))).drop("body", "value")
+
+
+def parse_auditd(lines: DataFrame, by=()) -> DataFrame:
+    """Records gathered into events by (time, serial); each record has its type and fields.
+
+    One event is a handful of records when `by` names the host the serial belongs to. Roll-ups work
+    on `parse_audit_records` and gather nothing.
+    """
+    return parse_audit_records(lines).groupBy(*by, "epoch", "serial").agg(
+        F.min("ts").alias("ts"), F.sort_array(F.collect_list(F.struct(
+            "type", F.map_entries("fields").alias("fields")))).alias("records"))
 
 
 HISTOGRAM = r"^n=(\d+)\t(.+?)(?:\t.*)?$"
