@@ -89,22 +89,25 @@ ruby bash sh
 PENTEST_COMMENT = r"(?i)\b(kali|parrot|backbox|metasploit|msfuser|pentest)\b"
 
 # --- fixed values: memory regions ---------------------------------------------------------------------------------
-CREDENTIAL_PROCESSES = ["lsass.exe", "winlogon.exe", "services.exe", "csrss.exe", "wininit.exe",
-                        "smss.exe"]
+CREDENTIAL_PROCESSES = ["lsass.exe", "winlogon.exe", "services.exe", "wininit.exe", "csrss.exe",
+                        "smss.exe", "lsaiso.exe"]
 JIT_PROCESSES = ["chrome.exe", "msedge.exe", "firefox.exe", "w3wp.exe", "java.exe", "dotnet.exe",
                  "powershell.exe", "msmpeng.exe", "searchui.exe", "smartscreen.exe"]
 
 # --- fixed values: packages, markers and places on phones and Unix hosts ----------------------------------------------
-FIRST_PARTY_INSTALLERS = ["com.android.vending", "com.google.android.packageinstaller",
-                          "com.amazon.venezia", "com.samsung.android.app.omcagent",
-                          "com.sec.android.app.samsungapps", "com.huawei.appmarket",
-                          "com.xiaomi.mipicks"]
+FIRST_PARTY_INSTALLERS = ["com.android.vending", "com.android.packageinstaller", ""]
+OEM_INSTALLERS = ["asus", "samsung", "xiaomi", "huawei", "oppo", "vivo", "oneplus", "lenovo",
+                  "motorola"]
 ROOT_MARKERS = {
-    "rooted": ["/system/xbin/su", "/system/bin/su", "/sbin/su", "/magisk", "supersu.apk"],
-    "jailbroken": ["/applications/cydia.app", "/library/mobilesubstrate", "/bin/bash",
-                   "/etc/apt", "/applications/sileo.app"],
-    "messenger": ["org.telegram.messenger", "com.whatsapp", "org.thoughtcrime.securesms",
-                  "com.wire"],
+    "rooted": ["data/adb/magisk.db", "data/adb/modules/"],
+    "jailbroken": ["applications/cydia.app", "applications/sileo.app", "applications/zebra.app",
+                   "applications/installer.app", "applications/unc0ver.app",
+                   "applications/checkra1n.app", "applications/taurine.app", "usr/libexec/cydia",
+                   "private/var/lib/apt", "private/var/lib/dpkg", "private/var/jb",
+                   "private/var/mobile/library/cydia", "usr/bin/ssh"],
+    "messenger": ["com.whatsapp", "org.thoughtcrime.securesms", "org.telegram.messenger",
+                  "com.wickr.pro", "org.wickr.pro", "org.session.securesms", "com.discord",
+                  "com.viber.voip"],
     "staged_executable": ["/data/local/tmp/"],
     "provisioning_profile": [".mobileconfig", ".mobileprovision"],
 }

@@ -15,9 +15,10 @@ PROCESS_PROFILE = {
     "taskhostw.exe": {"parents": ["svchost.exe"]},
 }
 
-OFFICE_PARENTS = ["winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "acrord32.exe"]
-SHELL_CHILDREN = ["cmd.exe", "powershell.exe", "wscript.exe", "cscript.exe", "mshta.exe",
-                  "rundll32.exe", "regsvr32.exe"]
+OFFICE_PARENTS = ["winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "acrord32.exe",
+                  "wmic.exe"]
+SHELL_CHILDREN = ["powershell.exe", "cmd.exe", "wscript.exe", "cscript.exe", "rundll32.exe",
+                  "regsvr32.exe", "mshta.exe", "bitsadmin.exe"]
 NOISY_SHORT_LIVED = ["conhost.exe", "consent.exe", "backgroundtaskhost.exe"]
 
 # --- fixed values: sensitive attachments -------------------------------------------------------------

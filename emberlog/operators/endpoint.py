@@ -247,10 +247,14 @@ def suspicious_places(rows: DataFrame, column: str, by: str) -> DataFrame:
         F.count("*").alias("event_count"), F.min(column).alias("sample"))
 
 
-def sideloaded(packages: DataFrame, oem=()) -> DataFrame:
-    """Packages installed by neither a store nor the maker (columns package, installer)."""
-    first = list(fx.FIRST_PARTY_INSTALLERS) + list(oem)
-    return packages.filter(~F.coalesce(F.col("installer").isin(first), F.lit(False)))
+def sideloaded(packages: DataFrame, oem=tuple(fx.OEM_INSTALLERS)) -> DataFrame:
+    """Packages installed by neither a store nor the maker (columns package, installer).
+
+    A package without an installer came with the system; `oem` are parts of makers' installer names.
+    """
+    who = F.lower(F.coalesce("installer", F.lit("")))
+    kept = packages.filter(~who.isin(fx.FIRST_PARTY_INSTALLERS))
+    return kept.filter(~fn.any_contains(who, oem)) if oem else kept
 
 
 # --- alerts ----------------------------------------------------------------------------------------------------------

@@ -468,7 +468,7 @@ def authorized_keys(spark, sf):
 
 
 @query("sideloaded_apps", f"""WITH {cte('packages')} SELECT package, installer FROM packages
-WHERE installer IS NULL OR installer <> 'com.android.vending'""")
+WHERE installer <> 'com.android.vending'""")
 def sideloaded_apps(spark, sf):
     return endpoint.sideloaded(rows(spark, sf, "packages"))
 
