@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: dict[str, str] = {}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin what results depend on; leave sizing to the cluster's own settings.
@@ -27,3 +33,22 @@ def local(cores: str | int = "*", memory: str = "8g", **conf) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return configure(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by reference, so workers must be able to import
+    this package even if it is not installed there and the session was started from another folder.
+    """
+    context = spark.sparkContext
+    if _SHIPPED.get("to") == context.applicationId:
+        return spark
+    package = Path(__file__).resolve().parent
+    zipped = Path(tempfile.mkdtemp(prefix="emberlog-")) / "emberlog.zip"
+    with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(str(zipped))
+    _SHIPPED["to"] = context.applicationId
+    return spark
