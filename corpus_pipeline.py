@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import exact_dedup, packing, toxicity
+from emberlog.llm import exact_dedup, order_minhash, packing, toxicity
 from emberlog.llm.common import read, saved
 
 
@@ -25,12 +25,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each connected group of texts with an edit similarity of 0.8 or more."""
+    return order_minhash.without_near_copies(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, packed into sequences of 4096."""
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies),
+          ("minhash_near_dedup", drop_near_copies), ("packing", pack)]
 
 #: The classifier and the edit-similarity stage have no SQL form; tests/llm compares them with brute force.
 ORACLE_SQL = None

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberlog.llm import exact_dedup, multi_index, packing, sharding, tag_paths, toxicity, warc
+from emberlog.llm import (exact_dedup, interpolation, multi_index, order_minhash, packing, sharding, tag_paths,
+                          toxicity, warc)
 from emberlog.llm.bpe import decoded, encoded
 from emberlog.llm.common import read
 from emberlog.plans.registry import query
@@ -34,6 +36,18 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_order_minhash")
+def order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_copies(read(spark, sf_dir, "documents")).drop("sha")
+
+
+@query("op4_deleted_interpolation")
+def deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = remainder("doc_id", 10)
+    part = F.when(rest == 0, 2).when(rest == 1, 1).otherwise(0)
+    return interpolation.scored(read(spark, sf_dir, "documents"), part)
+
+
 @query("op5_tag_path_ratios")
 def tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extracted(read(spark, sf_dir, "pages"))
@@ -54,9 +68,10 @@ def stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: Base32 of a hex digest `h`: every five hex digits are four letters.
 BASE32 = " || ".join(
-    "array_to_string(list_transform([15, 10, 5, 0], b -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
-    f"((('0x' || substr(h, {at}, 5))::BIGINT >> b) & 31)::INT + 1, 1)), '')" for at in range(1, 41, 5))
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {at}, 5))::BIGINT >> {by}) & 31)::INT + 1, 1)"
+    for at in range(1, 41, 5) for by in (15, 10, 5, 0))
 
 
 @query("op8_arc_to_warc", f"""
@@ -85,3 +100,8 @@ def heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_inverted_multi_index")
 def inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
