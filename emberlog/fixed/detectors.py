@@ -141,8 +141,27 @@ PATH_PATTERNS = {
                             rf"|private-keys-v1\.d(?={SEP})|{PART}+\.(?:asc|gpg|pgp))\b",
     "VERACRYPT_TRUECRYPT_CONTAINER": rf"(?i){SEP}{PART}+\.(?:tc|hc)\b",
 }
-SYSTEM_PLACES = r"(?i)[/\\](?:system32|syswow64|winsxs|servicing|softwaredistribution)[/\\]"
-SYSTEM_ONLY = ["SVCHOST_OUTSIDE_SYSTEM32", "LSASS_OUTSIDE_SYSTEM32"]
+# --- fixed values: where such paths are usual (matched on lower-case paths with slashes) -----------
+PROGRAM_FOLDERS = ["system32", "syswow64", "dllcache", "i386", "amd64"]  # as direct parent only
+BACKUP_TREES = ["servicepackfiles", "ntservicepackuninstall", "winsxs", "$hf_mig$"]
+COMPONENT_FOLDER = r"\.[0-9]{4,5}\.[0-9]+_none_[a-f0-9]{12,}"
+INSTALLER_FOLDER = (r"temp/(?:[0-9a-f]{6,}|_is[a-z0-9]+|\{[0-9a-f-]{8,}\}|installer[0-9]*"
+                    r"|msi[0-9a-z]{2,}\.tmp)/")
+STOCK_TASKS = ["/tasks/desktop.ini", "/tasks/sa.dat"]
+UNPACK_MARKERS = ["drive.v2internal.rest.json", "com.google.drive.nativeproxy.json.template",
+                  "anaconda-navigator", "conda-meta", "obs-studio", "spyderlib"]
+
+# --- fixed values: places whose files are tested for back-dating, and places of system programs --------
+PROGRAM_EXTENSIONS = (r"\.(?:exe|dll|scr|bat|ps1|hta|js|vbs|cmd|com|pif|sys|jsp|aspx?|elf|so)"
+                      r"(?=\s|$)")
+BACKDATE_PLACES = [
+    r"/users/[^/]+/downloads/", r"/inetpub/wwwroot/", r"^/var/www/", r"^/tmp/", r"^/var/tmp/",
+    r"^/home/[^/]+/", r"^/root/", r"/windows/temp/.*" + PROGRAM_EXTENSIONS,
+    r"/users/[^/]+/appdata/local/temp/[^/]*" + PROGRAM_EXTENSIONS,
+    r"/users/[^/]+/appdata/roaming/.*" + PROGRAM_EXTENSIONS,
+]
+SYSTEM_PROGRAMS = (r"/windows/(?:system32(?:/dllcache)?|servicepackfiles/(?:i386|amd64))"
+                   r"/[^/]+\.(?:exe|dll|sys)\b")
 
 # --- fixed values: script families (matched without regard to case) ------------------------------
 SCRIPT_FAMILIES = {

@@ -47,14 +47,6 @@ INTERNAL_TLDS = "lan local corp home intranet private example test invalid local
 
 # Generic top-level domains accepted without a list; two-letter ones always are. Pass the full
 # public list as a parameter where one is at hand.
-GENERIC_TLDS = """
-com net org edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post
-xxx arpa app dev page cloud online site store shop tech club live news blog top xyz click link
-work science stream party trade racing accountant download cricket bid men faith ren mom lol wtf
-review win date kim gdn country webcam loan space website host press fun rocks group world today
-life email agency digital solutions network systems services support company center email media
-onion bank zone guru ninja expert wiki
-""".split()
 
 # --- fixed values: names that are no indicators --------------------------------------------------------
 NOISE_DOMAINS = """

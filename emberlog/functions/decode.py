@@ -11,7 +11,9 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, SparkSession, functions as F, types as T
+
+from emberlog.session import ship
 
 BLOB = r"[A-Za-z0-9+/]{40,}={0,2}"
 
@@ -34,7 +36,7 @@ def _candidates(blob: str):
             pass
 
 
-def _decode(text: str, limit: int = 10) -> list[str]:
+def _decode(text: str) -> list[str]:
     found: dict[str, None] = {}
     for blob in re.findall(BLOB, text or ""):
         try:
@@ -43,7 +45,7 @@ def _decode(text: str, limit: int = 10) -> list[str]:
                     found.setdefault(s)
         except ValueError:
             continue
-    return list(found)[:limit]
+    return list(found)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -52,6 +54,7 @@ def _decode_udf(texts: pd.Series) -> pd.Series:
 
 
 def decode_base64_text(text: Column) -> Column:
-    """Decoded forms of base64 runs of 40 or more characters (at most 10 per row)."""
+    """Decoded forms of base64 runs of 40 or more characters."""
+    ship(SparkSession.active())  # the workers import this module
     return F.when(text.rlike(BLOB), _decode_udf(F.when(text.rlike(BLOB), text))).otherwise(
         F.array().cast("array<string>"))

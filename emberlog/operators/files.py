@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import functions as fn
-from emberlog.fixed import endpoint as fx
+from emberlog.fixed import detectors as fd, endpoint as fx
 from emberlog.operators.common import explode_rows, top_list
 from emberlog.operators.intel import lookup
 
@@ -80,8 +80,8 @@ def path_priority(path: Column) -> Column:
 
 def zeroed_system_files(listing: DataFrame) -> DataFrame:
     """System programs of size zero, or with all four times zero."""
-    low = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
-    system = low.rlike(r"/windows/(system32|syswow64)/[^:]*\.(exe|dll|sys)( \(deleted\))?$")
+    low = slashed(F.col("path"))
+    system = low.rlike(fd.SYSTEM_PROGRAMS)
     usual = low.contains("windows.old") | low.contains("($file_name)")
     timeless = ((F.col("atime") == 0) & (F.col("mtime") == 0) & (F.col("ctime") == 0)
                 & (F.col("crtime") == 0))
@@ -91,31 +91,53 @@ def zeroed_system_files(listing: DataFrame) -> DataFrame:
 
 
 def backdated_files(listing: DataFrame, min_days: int = 7) -> DataFrame:
-    """Files in user-writable places created at least a week before their modification."""
+    """Files in staging places created at least a week before their modification.
+
+    Only places and file kinds count where such a gap tells of planted files; caches, logs and
+    updaters rewrite theirs in place.
+    """
     skew = F.col("mtime") - F.col("crtime")
     every = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in
                                         ("atime", "mtime", "ctime", "crtime")])
     return listing.filter(
-        every & fn.is_user_writable(F.col("path")) & ~F.lower("path").contains("($file_name)")
+        every & slashed(F.col("path")).rlike("|".join(fd.BACKDATE_PLACES)) & ~F.lower("path").contains("($file_name)")
         & ~F.coalesce(F.col("mode").startswith("d"), F.lit(False)) & (skew >= min_days * DAY)
     ).withColumn("skew_days", F.floor(skew / DAY))
 
 
-def path_patterns(listing: DataFrame, patterns: dict, system_only=(), system_places=None,
-                  benign=()) -> DataFrame:
+def slashed(path: Column) -> Column:
+    """A path in lower case with forward slashes."""
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+
+
+def usual_paths(path: Column) -> dict[str, Column]:
+    """For some patterns, the paths that match them on a clean system.
+
+    A program folder exempts only what lies directly in it; backup and component trees exempt all below.
+    """
+    low = slashed(path)
+    parent = F.regexp_extract(low, r"([^/]+)/(?:svchost|lsass)\.exe", 1)
+    program = (parent.isin(fd.PROGRAM_FOLDERS) | fn.any_contains(low, fd.BACKUP_TREES)
+               | low.rlike(fd.COMPONENT_FOLDER))
+    return {"SVCHOST_OUTSIDE_SYSTEM32": program, "LSASS_OUTSIDE_SYSTEM32": program,
+            "EXE_IN_TEMP": low.rlike(fd.INSTALLER_FOLDER),
+            "SCHEDULED_TASK_NONMS": fn.any_contains(low, fd.STOCK_TASKS)}
+
+
+def path_patterns(listing: DataFrame, patterns: dict, by=()) -> DataFrame:
     """Listing rows per path pattern with count, earliest and latest row time and a sample.
 
-    Patterns named in `system_only` do not count inside the system places.
+    Usual paths don't count, nor do unpack folders that anywhere hold a marker of a known product (told
+    apart by the `by` columns of the listing, such as the host).
     """
-    path = F.col("path")
-    tests = {}
-    for name, p in patterns.items():
-        tests[name] = path.rlike(p)
-        if name in system_only and system_places:
-            tests[name] = tests[name] & ~path.rlike(system_places)
+    path, usual = F.col("path"), usual_paths(F.col("path"))
+    tests = {name: path.rlike(p) & ~usual.get(name, F.lit(False)) for name, p in patterns.items()}
     found = F.filter(F.array(*[F.when(t, n) for n, t in tests.items()]), lambda x: x.isNotNull())
-    kept = listing.filter(~fn.any_contains(F.lower(path), benign)) if benign else listing
-    return explode_rows(kept, found, "pattern").groupBy("pattern").agg(
+    folder = F.regexp_extract(slashed(path), r"_mei([0-9]{2,8})/", 1)
+    hits = explode_rows(listing.withColumn("_folder", folder), found, "pattern")
+    known = listing.filter((folder != "") & fn.any_contains(slashed(path), fd.UNPACK_MARKERS)).select(
+        *by, folder.alias("_folder"), F.lit("PYINSTALLER_TEMP_DIR").alias("pattern")).distinct()
+    return hits.join(known, [*by, "_folder", "pattern"], "left_anti").groupBy(*by, "pattern").agg(
         F.count("*").alias("event_count"), F.min("mtime").alias("earliest"),
         F.max("mtime").alias("latest"), F.min("path").alias("sample_path"))
 

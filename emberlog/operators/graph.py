@@ -39,8 +39,8 @@ def degrees(edge_table: DataFrame) -> DataFrame:
     return ends.groupBy("kind", "id").agg(F.count("*").alias("degree"))
 
 
-def capped_graph(node_table: DataFrame, edge_table: DataFrame, max_nodes: int = 500):
-    """The best-connected nodes (ties by id) and the edges among them, for export."""
+def capped_graph(node_table: DataFrame, edge_table: DataFrame, max_nodes: int):
+    """The `max_nodes` best-connected nodes (ties by id) and the edges among them, a picture of the whole."""
     ranked = node_table.join(degrees(edge_table), ["kind", "id"], "left").na.fill(0, ["degree"])
     keep = ranked.orderBy(F.desc("degree"), "id", "kind").limit(max_nodes)
     src = small(keep.select(F.col("kind").alias("src_kind"), F.col("id").alias("src")))
@@ -50,8 +50,8 @@ def capped_graph(node_table: DataFrame, edge_table: DataFrame, max_nodes: int =
     return keep, among
 
 
-def top_destinations(flows: DataFrame, n: int = 20) -> DataFrame:
-    """Addresses with the most flows, external ones marked."""
+def top_destinations(flows: DataFrame, n: int) -> DataFrame:
+    """The `n` addresses with the most flows, external ones marked."""
     return flows.groupBy(F.col("dst").alias("addr")).agg(F.count("*").alias("flows")).orderBy(
         F.desc("flows"), "addr").limit(n).withColumn("external", ~fn.is_private(F.col("addr")))
 
@@ -71,11 +71,10 @@ def stage_chain(stages: DataFrame, order=("scan_recon", "brute_force", "web_shel
                     lambda s: s["stage"]), " -> ").alias("chain")).filter(F.col("stages") >= 2)
 
 
-def pivot_addresses(signals: DataFrame, min_hosts: int = 2, n: int = 10) -> DataFrame:
+def pivot_addresses(signals: DataFrame, min_hosts: int = 2) -> DataFrame:
     """External addresses in the signals of several hosts (columns host, ip)."""
     return signals.filter(fn.is_external(F.col("ip"))).select("host", "ip").distinct().groupBy(
-        "ip").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= min_hosts).orderBy(
-        F.desc("hosts"), "ip").limit(n)
+        "ip").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= min_hosts)
 
 
 def new_edges(candidate: DataFrame, existing: DataFrame) -> DataFrame:

@@ -75,13 +75,13 @@ def ipv4_ok(ip: Column) -> Column:
 def domain_ok(name: Column, tlds=None) -> Column:
     """A name that is no file name, protocol field, system name or padding.
 
-    `tlds` is the list of public top-level domains; without it two-letter ones and the common
-    generic ones pass.
+    `tlds` is the list of public top-level domains, over a thousand and ever changing; without it
+    every last label of two letters or more passes that is no file extension.
     """
     d = F.regexp_replace(F.lower(name), r"\.+$", "")
     last = F.substring_index(d, ".", -1)
     listed = last.isin(list(tlds)) if tlds is not None else (
-        last.rlike("^[a-z]{2}$") | last.isin(fx.GENERIC_TLDS))
+        last.rlike("^(?:[a-z]{2,63}|xn--[a-z0-9-]{1,59})$"))
     prefixes = "|".join(p.replace(".", r"\.") for p in fx.NOISE_PREFIXES)
     noise = "|".join(n.replace(".", r"\.") for n in fx.NOISE_DOMAINS)
     return (d.contains(".") & ~last.rlike("^[0-9]+$")

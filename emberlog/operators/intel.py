@@ -330,12 +330,12 @@ def indicator_rarity(iocs: DataFrame) -> DataFrame:
         "suppressed", F.col("bucket") == "ubiquitous").drop("_all")
 
 
-def indicator_overlap(iocs: DataFrame, min_cases: int = 2, limit: int = 500) -> DataFrame:
-    """Indicators shared by cases, the most widely shared first."""
+def indicator_overlap(iocs: DataFrame, min_cases: int = 2) -> DataFrame:
+    """Indicators shared by cases with the number of cases and the first one."""
     per_case = iocs.select("ioc_type", "value", "case_id").distinct()
     return per_case.groupBy("ioc_type", "value").agg(
         F.count("*").alias("cases"), F.min("case_id").alias("first_case")).filter(
-        F.col("cases") >= min_cases).orderBy(F.desc("cases"), "ioc_type", "value").limit(limit)
+        F.col("cases") >= min_cases)
 
 
 # --- review -------------------------------------------------------------------------------------------------
@@ -416,7 +416,7 @@ def assumptions(findings: DataFrame) -> DataFrame:
     ).select("case_id", F.lit("baseline").alias("kind"), "a.text", "a.confidence", "a.impact",
              "a.status", F.lit(None).cast("string").alias("finding_id"))
     lead = rows(leaders(findings), "leader", F.col("leader"), "Solid", "High", "Valid")
-    claim = F.substring("claim", 1, 140)
+    claim = F.col("claim")
     low = rows(findings.filter(F.col("confidence") == "low"), "low", claim, "Caveats", "Medium",
                "Conditional", F.col("finding_id"))
     gap = rows(findings.filter(F.col("confidence") == "insufficient"), "gap", claim, "Caveats",

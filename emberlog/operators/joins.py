@@ -164,16 +164,15 @@ def orphans(processes: DataFrame, by=("host",)) -> DataFrame:
         known, [*by, "ppid"], "left_anti")
 
 
-def shared_names(processes: DataFrame, limit: int = 20) -> DataFrame:
-    """Program names on several hosts, most widely spread first, with the first two hosts.
+def shared_names(processes: DataFrame) -> DataFrame:
+    """Program names on several hosts, with the number of hosts, the first and the last one.
 
     A name is reduced to its hosts before anything is counted, so no host pairs are formed.
     """
     per = processes.select("name", "host").distinct()
     return per.groupBy("name").agg(
         F.count("*").alias("hosts"), F.min("host").alias("host_a"),
-        F.max("host").alias("host_b")).filter(F.col("hosts") > 1).orderBy(
-        F.desc("hosts"), "name").limit(limit)
+        F.max("host").alias("host_b")).filter(F.col("hosts") > 1)
 
 
 def short_lived(processes: DataFrame, seconds: int = 5) -> DataFrame:

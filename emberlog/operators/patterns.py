@@ -43,7 +43,7 @@ def family_summary(lines: DataFrame, families: dict, user: str, line: str = "lin
     """Lines per family, the busiest users and one sample line."""
     hits = family_matches(lines, families, line)
     per_user = hits.groupBy("family", user).agg(
-        F.count("*").alias("n"), F.min(F.substring(line, 1, 200)).alias("sample"))
+        F.count("*").alias("n"), F.min(line).alias("sample"))
     totals = per_user.groupBy("family").agg(F.sum("n").alias("event_count"),
                                             F.min("sample").alias("sample"))
     return totals.join(top_list(per_user, ["family"], user, "n", k), "family")
@@ -69,7 +69,7 @@ def word_hits(low: Column, words) -> Column:
 
 
 def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
-                 patterns: dict | None = None, cap: int = 20) -> DataFrame:
+                 patterns: dict | None = None) -> DataFrame:
     """Texts with hits in enough categories: hits per category, category count and strength.
 
     Three categories are high; two with three hits, or one with four hits, are medium; the rest is
@@ -86,8 +86,7 @@ def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
         out = out.withColumn(f"{name}_hits", word_hits(F.col("_low"), ws))
         sizes.append(F.size(f"{name}_hits"))
     for name, p in patterns.items():
-        out = out.withColumn(f"{name}_hits", F.slice(F.regexp_extract_all(
-            text, F.lit(p), F.lit(0)), 1, cap))
+        out = out.withColumn(f"{name}_hits", F.regexp_extract_all(text, F.lit(p), F.lit(0)))
         sizes.append(F.size(f"{name}_hits"))
     total, fired = sizes[0], (sizes[0] > 0).cast("int")
     for s in sizes[1:]:
@@ -99,8 +98,8 @@ def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
         "strength", strength).filter(F.col("strength").isNotNull()).drop("_low")
 
 
-def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), common=(),
-               cap: int = 20) -> DataFrame:
+def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), common=()
+               ) -> DataFrame:
     """Trade lexicon: words, units, prices, symbols and substance names; two hits at least.
 
     Common substance names count only beside another hit. `specific` and `common` are name lists.
@@ -116,7 +115,7 @@ def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), com
             F.regexp_extract_all(t, F.lit(p), F.lit(0)), F.lower)))
 
     def all_of(p):
-        return F.slice(F.regexp_extract_all(t, F.lit(p), F.lit(0)), 1, cap)
+        return F.regexp_extract_all(t, F.lit(p), F.lit(0))
     low = F.lower(t)
     out = (rows.withColumn("word_hits", word_hits(low, fx.TRADE_WORDS if words is None else words))
            .withColumn("unit_hits", all_of(fx.UNIT_PATTERN))
@@ -125,8 +124,8 @@ def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), com
            .withColumn("_specific", names(list(specific))))
     groups = ["word_hits", "unit_hits", "price_hits", "symbol_hits", "_specific"]
     other = F.concat(*groups)
-    out = out.withColumn("substance_hits", F.slice(F.concat("_specific", F.when(
-        F.size(other) > 0, names(list(common))).otherwise(none)), 1, cap))
+    out = out.withColumn("substance_hits", F.concat("_specific", F.when(
+        F.size(other) > 0, names(list(common))).otherwise(none)))
     kinds = ["word_hits", "unit_hits", "price_hits", "symbol_hits", "substance_hits"]
     total, fired = F.lit(0), F.lit(0)
     for k in kinds:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from emberlog.operators.common import explode_rows
+from emberlog.session import ship
 
 BANDS = 4  # bands of 16 bits; distance <= 8 leaves one band with at most two differing bits
 
@@ -151,6 +152,7 @@ def fuzzy_neighbours(digests: DataFrame, min_score: int = 20, column: str = "ssd
     A score above zero needs a common run of seven characters at one block size, so candidates are
     the pairs that share (block size, seven characters); the rest cannot score.
     """
+    ship(digests.sparkSession)  # the workers import this module
     h = digests.select(F.col(column).alias("h")).filter(
         F.col("h").rlike(r"^[0-9]+:[^:]*:[^:]*$")).distinct()
     parts = F.split("h", ":")
@@ -210,6 +212,8 @@ def tlsh_neighbours(digests: DataFrame, wanted: DataFrame, max_distance: int = 7
     max_distance // 12 can match; that byte is the join key. The header distance is taken next, and
     only pairs it leaves room for have their bodies compared.
     """
+    ship(digests.sparkSession)
+
     def split(df, tag):
         h = df.select(F.col(column).alias("h")).filter(F.col("h").rlike("(?i)^(t1)?[0-9a-f]{70}$")
                                                        ).distinct()

@@ -218,7 +218,7 @@ FAMILY_SQL = " UNION ALL ".join(
 
 
 @query("regex_families", f"""WITH {LINES}, h AS ({FAMILY_SQL}),
-u AS (SELECT family, source, count(*) AS n, min(substr(line, 1, 200)) AS s FROM h GROUP BY ALL),
+u AS (SELECT family, source, count(*) AS n, min(line) AS s FROM h GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, source) AS rn FROM u)
 SELECT family, CAST(sum(n) AS BIGINT) AS event_count, min(s) AS sample, string_agg(source || '='
   || n, ';' ORDER BY rn) FILTER (rn <= 5) AS top FROM r GROUP BY family""")
@@ -518,8 +518,7 @@ def process_orphans(spark, sf):
 
 
 @query("shared_processes", f"""WITH {PROC_CTE} SELECT name, count(DISTINCT host) AS hosts,
-  min(host) AS host_a, max(host) AS host_b FROM pr GROUP BY name HAVING count(DISTINCT host) > 1
-ORDER BY hosts DESC, name LIMIT 20""")
+  min(host) AS host_a, max(host) AS host_b FROM pr GROUP BY name HAVING count(DISTINCT host) > 1""")
 def shared_processes(spark, sf):
     return joins.shared_names(processes(spark, sf))
 
@@ -577,12 +576,12 @@ def similar_across_cases(spark, sf):
 # --- files --------------------------------------------------------------------------------------------------
 
 @query("mirrored_files", """
-WITH f AS (SELECT md5(substr(text, 1, 1)) AS sha256, source AS provider, n_chars,
+WITH f AS (SELECT md5(text) AS sha256, source AS provider, n_chars,
   'C:/Users/' || source || '/doc' || doc_id || '.txt' AS path FROM documents WHERE n_chars >= 1024)
 SELECT sha256, count(DISTINCT provider) AS providers, count(*) AS copies, min(path) AS sample_path
 FROM f GROUP BY sha256 HAVING count(DISTINCT provider) >= 3""")
 def mirrored_files(spark, sf):
-    f = adapter(spark, sf, "files").withColumn("sha256", F.md5(F.substring("text", 1, 1)))
+    f = adapter(spark, sf, "files").withColumn("sha256", F.md5("text"))
     return fl.mirrored_files(f)
 
 
@@ -798,14 +797,14 @@ top AS (SELECT n.kind, n.id, coalesce(degree, 0) AS degree FROM n LEFT JOIN dg U
 
 @query("graph_nodes", sql("flows dns", f"WITH {GRAPH} SELECT kind, id, degree FROM top"))
 def graph_nodes(spark, sf):
-    return graph.capped_graph(*_graph(spark, sf))[0]
+    return graph.capped_graph(*_graph(spark, sf), 500)[0]
 
 
 @query("graph_edges", sql("flows dns", f"""WITH {GRAPH}
 SELECT e.* FROM e WHERE EXISTS (SELECT 1 FROM top WHERE kind = src_kind AND id = src)
 AND EXISTS (SELECT 1 FROM top WHERE kind = dst_kind AND id = dst)"""))
 def graph_edges(spark, sf):
-    return graph.capped_graph(*_graph(spark, sf))[1]
+    return graph.capped_graph(*_graph(spark, sf), 500)[1]
 
 
 @query("graph_entity_counts", sql("flows dns", f"""WITH {GRAPH}
@@ -818,7 +817,7 @@ def graph_entity_counts(spark, sf):
 SELECT dst AS addr, count(*) AS flows, NOT starts_with(dst, '10.') AS external FROM flows
 GROUP BY dst ORDER BY flows DESC, dst LIMIT 20"""))
 def graph_top_destinations(spark, sf):
-    return graph.top_destinations(adapter(spark, sf, "flows"))
+    return graph.top_destinations(adapter(spark, sf, "flows"), 20)
 
 
 STAGES = """SELECT DISTINCT host, CASE WHEN list_contains(tags, 'H_SCAN_RECON') THEN 'scan_recon'
@@ -841,7 +840,7 @@ def graph_stage_chain(spark, sf):
 
 @query("graph_pivot_addresses", sql("http", """
 SELECT src AS ip, count(DISTINCT host) AS hosts FROM http WHERE NOT starts_with(src, '10.')
-GROUP BY src HAVING count(DISTINCT host) >= 2 ORDER BY hosts DESC, src LIMIT 10"""))
+GROUP BY src HAVING count(DISTINCT host) >= 2"""))
 def graph_pivot_addresses(spark, sf):
     return graph.pivot_addresses(adapter(spark, sf, "http").select("host", F.col("src").alias("ip")))
 

@@ -106,6 +106,24 @@ TEXTS = {
   CASE WHEN k % 18 = 0 THEN 0 ELSE 1700000000 + event_id END AS ctime,
   CASE WHEN k % 18 = 0 THEN 0 WHEN k % 5 = 0 THEN 1600000000 ELSE 1700000000 + event_id END AS crtime
   FROM {ev}""",
+    "placed": """SELECT k, 1700000000 + event_id AS mtime, CASE k % 12
+    WHEN 0 THEN 'C:/Windows/System32/dllhost/svchost.exe'
+    WHEN 1 THEN 'C:/Windows/ServicePackFiles/i386/lsass.exe'
+    WHEN 2 THEN 'C:/Windows/x86_a.19041.546_none_9e094af3987dca57/f/svchost.exe'
+    WHEN 3 THEN 'C:/Users/u/AppData/Local/Temp/00006b1c/Temp/setup.exe'
+    WHEN 4 THEN 'C:/Windows/Tasks/SA.DAT' WHEN 5 THEN 'C:/Windows/Tasks/evil.job'
+    WHEN 6 THEN 'C:/Users/u/AppData/Local/Temp/_MEI123/x.dll'
+    WHEN 7 THEN 'C:/Users/u/AppData/Local/Temp/_MEI777/conda-meta/y.json'
+    WHEN 8 THEN 'C:/Users/u/AppData/Local/Temp/_MEI777/z.dll'
+    WHEN 9 THEN 'C:/Windows/Temp/x.exe' WHEN 10 THEN 'C:/Users/Public/lsass.exe'
+    ELSE 'C:/Windows/System32/lsass.exe' END AS path FROM {ev}""",
+    "staged": """SELECT k, '-rwx' AS mode, 1700000000 AS atime, 1700000000 + event_id AS mtime,
+  1700000000 AS ctime, CASE WHEN k % 3 = 0 THEN 1700000000 + event_id - 604799
+    ELSE 1690000000 END AS crtime, concat(CASE k % 10 WHEN 0 THEN '/tmp/x' WHEN 1 THEN '/var/www/a.php'
+    WHEN 2 THEN '/home/u/x' WHEN 3 THEN 'C:/Users/u/Downloads/a.pdf'
+    WHEN 4 THEN 'C:/Users/u/AppData/Local/Temp/a.exe' WHEN 5 THEN 'C:/Windows/Temp/sub/a.dll'
+    WHEN 6 THEN 'C:/Users/u/AppData/Local/Temp/a.log' WHEN 7 THEN '/data/tmp/x'
+    WHEN 8 THEN 'C:/Windows/Temp/a.dat' ELSE 'C:/Program Files/a.exe' END, '') AS path FROM {ev}""",
     "dots": """SELECT concat('/home/u', CAST(user_id % 10 AS STRING), CASE k % 4 WHEN 0 THEN '/.ssh/'
     WHEN 1 THEN '/.stash/' WHEN 2 THEN '/.x11b/sub/' ELSE '/docs/' END, CAST(event_id AS STRING),
     CASE k % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.txt' ELSE '.PDF' END) AS path FROM {ev}""",
@@ -386,7 +404,7 @@ def zeroed_system_files(spark, sf):
 
 
 @query("backdated_files", f"""WITH {cte('listing')} SELECT path, (mtime - crtime) // 86400
-AS skew_days FROM listing WHERE (path LIKE '%AppData%' OR path LIKE '%/Temp/%') AND atime > 0
+AS skew_days FROM listing WHERE path LIKE '%AppData%' AND atime > 0
 AND mtime - crtime >= 604800""")
 def backdated_files(spark, sf):
     return fl.backdated_files(rows(spark, sf, "listing")).select("path", "skew_days")
@@ -397,8 +415,23 @@ THEN 'EXE_IN_TEMP' WHEN path LIKE '%PSEXESVC.exe' THEN 'PSEXEC_SERVICE_ARTIFACT'
 SELECT pattern, count(*) AS event_count, min(mtime) AS earliest, max(mtime) AS latest,
 min(path) AS sample_path FROM h WHERE pattern IS NOT NULL GROUP BY pattern""")
 def path_patterns(spark, sf):
-    return fl.path_patterns(rows(spark, sf, "listing"), fd.PATH_PATTERNS, fd.SYSTEM_ONLY,
-                            fd.SYSTEM_PLACES)
+    return fl.path_patterns(rows(spark, sf, "listing"), fd.PATH_PATTERNS)
+
+
+@query("path_exceptions", f"""WITH {cte('placed')}, h AS (SELECT *, CASE k % 12
+  WHEN 0 THEN 'SVCHOST_OUTSIDE_SYSTEM32' WHEN 5 THEN 'SCHEDULED_TASK_NONMS'
+  WHEN 6 THEN 'PYINSTALLER_TEMP_DIR' WHEN 9 THEN 'EXE_IN_TEMP' WHEN 10 THEN 'LSASS_OUTSIDE_SYSTEM32'
+  END AS pattern FROM placed)
+SELECT pattern, count(*) AS event_count, min(mtime) AS earliest, max(mtime) AS latest,
+min(path) AS sample_path FROM h WHERE pattern IS NOT NULL GROUP BY pattern""")
+def path_exceptions(spark, sf):
+    return fl.path_patterns(rows(spark, sf, "placed"), fd.PATH_PATTERNS)
+
+
+@query("backdated_places", f"""WITH {cte('staged')} SELECT path, (mtime - crtime) // 86400
+AS skew_days FROM staged WHERE k % 10 <= 5 AND k % 3 > 0""")
+def backdated_places(spark, sf):
+    return fl.backdated_files(rows(spark, sf, "staged")).select("path", "skew_days")
 
 
 @query("marker_presence", f"""WITH {cte('listing')} SELECT 'staged_executable' AS kind, count(*)

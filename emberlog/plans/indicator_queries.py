@@ -58,7 +58,7 @@ def domain_ok(d: str) -> str:
     prefixes = "|".join(p.replace(".", "[.]") for p in fx.NOISE_PREFIXES)
     return (f"(contains({d}, '.') AND NOT regexp_full_match({last}, '[0-9]+') "
             f"AND {last} NOT IN ({lst(fx.FILE_EXTENSIONS)}) "
-            f"AND (regexp_full_match({last}, '[a-z]{{2}}') OR {last} IN ({lst(fx.GENERIC_TLDS)}) "
+            f"AND (regexp_full_match({last}, '[a-z]{{2,63}}|xn--[a-z0-9-]{{1,59}}') "
             f"OR {last} IN ({lst(fx.INTERNAL_TLDS)})) "
             f"AND NOT regexp_matches({d}, '(^|[.])({noise})$') AND {d} NOT IN ({lst(fx.OID_NAMES)}) "
             f"AND NOT regexp_matches({d}, '^({prefixes})') "
@@ -224,7 +224,7 @@ def ioc_rarity(spark, sf):
 
 @query("ioc_overlap", f"""WITH {DOC_IOCS}, {RARITY}
 SELECT ioc_type, value, count(*) AS cases, min(case_id) AS first_case FROM p GROUP BY ALL
-HAVING count(*) >= 2 ORDER BY cases DESC, ioc_type, value LIMIT 500""")
+HAVING count(*) >= 2 ORDER BY cases DESC, ioc_type, value""")
 def ioc_overlap(spark, sf):
     return intel.indicator_overlap(document_iocs(spark, sf))
 

@@ -90,20 +90,16 @@ PATTERN_PATHS = {
 }
 
 
-def stix_objects(iocs: DataFrame, per_class: int = 5000,
-                 namespace_hex: str = STIX_NAMESPACE) -> DataFrame:
-    """Indicator objects with deterministic ids and a recurrence label, at most `per_class` each.
+def stix_objects(iocs: DataFrame, namespace_hex: str = STIX_NAMESPACE) -> DataFrame:
+    """Indicator objects with deterministic ids and a recurrence label.
 
-    Columns ioc_type, value, case_id. The cap takes the smallest values of a class; Spark cuts every
-    map task to that many rows before the shuffle.
+    Columns ioc_type, value, case_id. Every indicator is exported; write the result as partitioned files.
     """
     per = iocs.filter(F.col("ioc_type").isin(list(PATTERN_PATHS))).select(
         "ioc_type", "value", "case_id").distinct().groupBy("ioc_type", "value").agg(
         F.count("*").alias("cases"))
-    w = W.partitionBy("ioc_type").orderBy("value")
-    kept = per.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_class)
     paths = F.create_map(*[F.lit(x) for kv in PATTERN_PATHS.items() for x in kv])
-    return kept.select(
+    return per.select(
         F.concat(F.lit("indicator--"), uuid5(namespace_hex, F.concat_ws(
             ":", "ioc_type", "value"))).alias("id"), "ioc_type", "value",
         F.concat(F.lit("["), F.element_at(paths, F.col("ioc_type")), F.lit(" = '"),
