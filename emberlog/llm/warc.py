@@ -21,7 +21,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm.common import new_path, only
+from emberlog.llm.common import new_path, only, saved
 from emberlog.session import ship
 
 #: The fields of ARC header lines by version.
@@ -144,7 +144,7 @@ def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], by
 
 def write_warc(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url", html: str = "html",
                least: int = 0, date: str = "20200101000000", ip: str = "0.0.0.0",
-               records_per_file: int = 10_000) -> None:
+               records_per_file: int = 10_000, frequent: int = 1000) -> None:
     """Pages as a legacy archive, converted to WARC files under `path`.
 
     Each page becomes an ARC record with an HTTP header (versions 1 and 2 in turn); `convert` then makes
@@ -156,10 +156,16 @@ def write_warc(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "
     rows = only(pages, id, url, html).toDF("page_id", "url", "html").withColumn(
         "html", F.coalesce("html", F.lit(""))).withColumn("sha", F.sha2(F.col("html"), 256))
     # counted before anything moves: one narrow row per payload and task
-    repeats = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    told = rows.join(repeats, "sha", "left").select("page_id", "url", "html", F.when(
-        F.col("first") < F.col("page_id"), F.col("first")).alias("first"))
+    repeats = saved(rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeats")
+    # payloads with many pages are told apart where they are; no other has many rows to gather
+    often = saved(repeats.orderBy(F.desc("n"), "sha").limit(frequent), "frequent")
+    seldom = repeats.join(F.broadcast(often.select("sha")), "sha", "left_anti").select(
+        F.col("sha").alias("key"), F.col("first").alias("second"))
+    known = rows.join(F.broadcast(often.select("sha", "first")), "sha", "left").withColumn("key", F.when(
+        F.col("first").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.coalesce("page_id", F.lit(0)))))
+    told = known.join(seldom, "key", "left").select("page_id", "url", "html", F.coalesce(
+        "first", "second").alias("first")).withColumn("first", F.when(F.col("first") < F.col("page_id"), F.col("first")))
 
     def legacy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
