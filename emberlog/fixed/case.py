@@ -5,17 +5,18 @@ BEATS = ["prologue", "trigger", "execution", "persistence", "discovery", "latera
          "command_control", "impact", "aftermath"]
 
 TAG_BEATS = {
-    "trigger": "H_INITIAL_ACCESS_DOC_MACRO H_INITIAL_ACCESS_WEB H_INITIAL_ACCESS_PHISHING "
-               "H_BRUTE_FORCE",
-    "execution": "H_PROCESS_INJECTION H_LIVING_OFF_THE_LAND H_PROCESS_HOLLOWING",
-    "persistence": "H_PERSISTENCE_SCHEDULED_TASK H_PERSISTENCE_SERVICE H_PERSISTENCE_AUTORUN "
-                   "H_PERSISTENCE_STARTUP H_ACCOUNT_CREATED",
-    "discovery": "H_CREDENTIAL_ACCESS",
-    "lateral": "H_LATERAL_MOVEMENT",
-    "command_control": "H_C2_OR_REVERSE_SHELL H_BEACONING",
-    "impact": "H_INSIDER_EMAIL_EXFIL H_INSIDER_USB_EXFIL H_CLOUD_EXFIL H_RANSOMWARE "
-              "H_DATA_DESTRUCTION H_APT_ESPIONAGE H_OPPORTUNISTIC_COMMODITY",
-    "aftermath": "H_LOG_CLEARED H_ANTI_FORENSICS",
+    "H_INITIAL_ACCESS_DOC_MACRO": "trigger", "H_INITIAL_ACCESS_WEB": "trigger",
+    "H_INITIAL_ACCESS_PHISHING": "trigger", "H_BRUTE_FORCE": "trigger",
+    "H_PROCESS_INJECTION": "execution", "H_LIVING_OFF_THE_LAND": "execution",
+    "H_PROCESS_HOLLOWING": "execution", "H_PERSISTENCE_SCHEDULED_TASK": "persistence",
+    "H_PERSISTENCE_SERVICE": "persistence", "H_PERSISTENCE_AUTORUN": "persistence",
+    "H_PERSISTENCE_STARTUP": "persistence", "H_ACCOUNT_CREATED": "persistence",
+    "H_CREDENTIAL_ACCESS": "discovery", "H_LATERAL_MOVEMENT": "lateral",
+    "H_C2_OR_REVERSE_SHELL": "command_control", "H_BEACONING": "command_control",
+    "H_INSIDER_EMAIL_EXFIL": "impact", "H_INSIDER_USB_EXFIL": "impact", "H_CLOUD_EXFIL": "impact",
+    "H_RANSOMWARE": "impact", "H_DATA_DESTRUCTION": "impact", "H_APT_ESPIONAGE": "impact",
+    "H_OPPORTUNISTIC_COMMODITY": "impact", "H_LOG_CLEARED": "aftermath",
+    "H_ANTI_FORENSICS": "aftermath",
 }
 TACTIC_BEATS = {
     "Initial Access": "trigger", "Execution": "execution", "Persistence": "persistence",
@@ -58,13 +59,15 @@ CLAIM_SIGNALS = [
 
 # --- fixed values: reliability and credibility of tools ----------------------------------------------
 TOOL_RATINGS = {
-    "A1": "vol3 volatility3 evtxecmd mftecmd amcacheparser recmd regipy fls icat mactime mmls "
-          "plaso log2timeline psort ewfinfo ewfverify libfsapfs libvshadow libesedb",
-    "A2": "yara yara_hunt capa sigma diec detect_it_easy tlsh ssdeep",
-    "B2": "iis_w3c webserver_access auditd ausearch linux_artifacts linux_triage cloudtrail "
-          "velociraptor zeek",
-    "C2": "misp taxii threat_feeds umbrella_allowlist",
-    "F3": "operator manual",
+    "vol3": "A1", "volatility3": "A1", "evtxecmd": "A1", "mftecmd": "A1", "amcacheparser": "A1",
+    "recmd": "A1", "regipy": "A1", "fls": "A1", "icat": "A1", "mactime": "A1", "mmls": "A1",
+    "plaso": "A1", "log2timeline": "A1", "psort": "A1", "ewfinfo": "A1", "ewfverify": "A1",
+    "libfsapfs": "A1", "libvshadow": "A1", "libesedb": "A1", "yara": "A2", "yara_hunt": "A2",
+    "capa": "A2", "sigma": "A2", "diec": "A2", "detect_it_easy": "A2", "tlsh": "A2", "ssdeep": "A2",
+    "iis_w3c": "B2", "webserver_access": "B2", "auditd": "B2", "ausearch": "B2",
+    "linux_artifacts": "B2", "linux_triage": "B2", "cloudtrail": "B2", "velociraptor": "B2",
+    "zeek": "B2", "misp": "C2", "taxii": "C2", "threat_feeds": "C2", "umbrella_allowlist": "C2",
+    "operator": "F3", "manual": "F3",
 }
 RELIABILITY = "ABCDEFX"
 CREDIBILITY = "123456X"

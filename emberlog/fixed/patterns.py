@@ -114,8 +114,8 @@ PRICE_PATTERN = (r"(?i)\$?\s?\d{1,4}\s?(?:/|per|an?)\s?(?:g\b|gm\b|gr\b|gram[s]?
 TRADE_SYMBOLS = ["❄", "🍁", "💊", "🌿", "💎", "🔥", "🍫"]
 
 # --- fixed values: malware fingerprints: family -> (pattern, contexts, benign pattern) ----------------
-ANY, CODE, SCRIPT = "memory network disk log", "memory", "memory log"
-URLS, NAMES, DISK = "network", "network", "disk"
+ANY, CODE, SCRIPT = ("memory", "network", "disk", "log"), ("memory",), ("memory", "log")
+URLS, NAMES, DISK = ("network",), ("network",), ("disk",)
 ANALYTICS = r"(?i)google-analytics|googletagmanager|doubleclick"
 MALWARE_FAMILIES = {
     "mimikatz": [

@@ -5,30 +5,63 @@ TACTICS = ["Initial Access", "Execution", "Persistence", "Privilege Escalation",
            "Defense Evasion", "Credential Access", "Discovery", "Lateral Movement", "Collection",
            "Command and Control", "Exfiltration", "Impact"]
 
-TACTIC_TECHNIQUES = {
-    "Initial Access": "T1078 T1078.004 T1133 T1189 T1190 T1566 T1566.001 T1566.002 T1476",
-    "Execution": "T1047 T1053 T1053.003 T1053.005 T1059 T1059.001 T1059.003 T1059.004 T1059.005 "
-                 "T1203 T1204.002 T1569 T1569.002 T1609",
-    "Persistence": "T1098 T1098.001 T1098.003 T1098.004 T1098.007 T1136 T1136.001 T1197 T1543 "
-                   "T1543.001 T1543.003 T1543.004 T1546.003 T1547 T1547.006 T1574.002 T1574.006 "
-                   "T1505.003 T1547.001 T1574 T1574.001",
-    "Privilege Escalation": "T1611 T1055 T1055.012 T1068 T1404 T1548.002 T1548.003 T1548.006",
-    "Defense Evasion": "T1014 T1610 T1027 T1027.002 T1027.007 T1112 T1036.005 T1070 T1070.001 "
-                       "T1070.003 T1218 T1218.005 T1218.010 T1218.011 T1444 T1478 T1556 "
-                       "T1556.006 T1620 T1565.001 T1622 T1562.001 T1562.007 T1564.001 T1564.004 "
-                       "T1564.008 T1462 T1036 T1140 T1497 T1562",
-    "Credential Access": "T1003 T1003.001 T1110 T1110.001 T1110.003 T1528 T1552.001 T1552.007 "
-                         "T1555 T1555.006 T1558.001 T1558.003 T1552 T1558",
-    "Discovery": "T1613 T1016 T1046 T1087.004 T1595 T1018 T1033 T1057 T1069 T1082 T1083 T1087 "
-                 "T1135",
-    "Lateral Movement": "T1021 T1021.001 T1021.002 T1021.004 T1021.006 T1534 T1570 T1550 "
-                        "T1550.002 T1550.003",
-    "Collection": "T1039 T1074.001 T1114.002 T1114.003 T1005 T1056 T1056.001 T1074 T1113 T1119 "
-                  "T1213 T1530",
-    "Command and Control": "T1071 T1071.001 T1071.004 T1095 T1105 T1219 T1568.001 T1568.002 "
-                           "T1481 T1571 T1572 T1090 T1090.003 T1102 T1573",
-    "Exfiltration": "T1041 T1048.003 T1567 T1048 T1052 T1052.001",
-    "Impact": "T1485 T1561 T1561.001 T1561.002 T1486 T1489 T1490 T1496 T1531 T1537",
+TECHNIQUE_TACTICS = {
+    "T1078": "Initial Access", "T1078.004": "Initial Access", "T1133": "Initial Access",
+    "T1189": "Initial Access", "T1190": "Initial Access", "T1566": "Initial Access",
+    "T1566.001": "Initial Access", "T1566.002": "Initial Access", "T1476": "Initial Access",
+    "T1047": "Execution", "T1053": "Execution", "T1053.003": "Execution", "T1053.005": "Execution",
+    "T1059": "Execution", "T1059.001": "Execution", "T1059.003": "Execution",
+    "T1059.004": "Execution", "T1059.005": "Execution", "T1203": "Execution",
+    "T1204.002": "Execution", "T1569": "Execution", "T1569.002": "Execution", "T1609": "Execution",
+    "T1098": "Persistence", "T1098.001": "Persistence", "T1098.003": "Persistence",
+    "T1098.004": "Persistence", "T1098.007": "Persistence", "T1136": "Persistence",
+    "T1136.001": "Persistence", "T1197": "Persistence", "T1543": "Persistence",
+    "T1543.001": "Persistence", "T1543.003": "Persistence", "T1543.004": "Persistence",
+    "T1546.003": "Persistence", "T1547": "Persistence", "T1547.006": "Persistence",
+    "T1574.002": "Persistence", "T1574.006": "Persistence", "T1505.003": "Persistence",
+    "T1547.001": "Persistence", "T1574": "Persistence", "T1574.001": "Persistence",
+    "T1611": "Privilege Escalation", "T1055": "Privilege Escalation",
+    "T1055.012": "Privilege Escalation", "T1068": "Privilege Escalation",
+    "T1404": "Privilege Escalation", "T1548.002": "Privilege Escalation",
+    "T1548.003": "Privilege Escalation", "T1548.006": "Privilege Escalation",
+    "T1014": "Defense Evasion", "T1610": "Defense Evasion", "T1027": "Defense Evasion",
+    "T1027.002": "Defense Evasion", "T1027.007": "Defense Evasion", "T1112": "Defense Evasion",
+    "T1036.005": "Defense Evasion", "T1070": "Defense Evasion", "T1070.001": "Defense Evasion",
+    "T1070.003": "Defense Evasion", "T1218": "Defense Evasion", "T1218.005": "Defense Evasion",
+    "T1218.010": "Defense Evasion", "T1218.011": "Defense Evasion", "T1444": "Defense Evasion",
+    "T1478": "Defense Evasion", "T1556": "Defense Evasion", "T1556.006": "Defense Evasion",
+    "T1620": "Defense Evasion", "T1565.001": "Defense Evasion", "T1622": "Defense Evasion",
+    "T1562.001": "Defense Evasion", "T1562.007": "Defense Evasion", "T1564.001": "Defense Evasion",
+    "T1564.004": "Defense Evasion", "T1564.008": "Defense Evasion", "T1462": "Defense Evasion",
+    "T1036": "Defense Evasion", "T1140": "Defense Evasion", "T1497": "Defense Evasion",
+    "T1562": "Defense Evasion", "T1003": "Credential Access", "T1003.001": "Credential Access",
+    "T1110": "Credential Access", "T1110.001": "Credential Access",
+    "T1110.003": "Credential Access", "T1528": "Credential Access",
+    "T1552.001": "Credential Access", "T1552.007": "Credential Access",
+    "T1555": "Credential Access", "T1555.006": "Credential Access",
+    "T1558.001": "Credential Access", "T1558.003": "Credential Access",
+    "T1552": "Credential Access", "T1558": "Credential Access", "T1613": "Discovery",
+    "T1016": "Discovery", "T1046": "Discovery", "T1087.004": "Discovery", "T1595": "Discovery",
+    "T1018": "Discovery", "T1033": "Discovery", "T1057": "Discovery", "T1069": "Discovery",
+    "T1082": "Discovery", "T1083": "Discovery", "T1087": "Discovery", "T1135": "Discovery",
+    "T1021": "Lateral Movement", "T1021.001": "Lateral Movement", "T1021.002": "Lateral Movement",
+    "T1021.004": "Lateral Movement", "T1021.006": "Lateral Movement", "T1534": "Lateral Movement",
+    "T1570": "Lateral Movement", "T1550": "Lateral Movement", "T1550.002": "Lateral Movement",
+    "T1550.003": "Lateral Movement", "T1039": "Collection", "T1074.001": "Collection",
+    "T1114.002": "Collection", "T1114.003": "Collection", "T1005": "Collection",
+    "T1056": "Collection", "T1056.001": "Collection", "T1074": "Collection", "T1113": "Collection",
+    "T1119": "Collection", "T1213": "Collection", "T1530": "Collection",
+    "T1071": "Command and Control", "T1071.001": "Command and Control",
+    "T1071.004": "Command and Control", "T1095": "Command and Control",
+    "T1105": "Command and Control", "T1219": "Command and Control",
+    "T1568.001": "Command and Control", "T1568.002": "Command and Control",
+    "T1481": "Command and Control", "T1571": "Command and Control", "T1572": "Command and Control",
+    "T1090": "Command and Control", "T1090.003": "Command and Control",
+    "T1102": "Command and Control", "T1573": "Command and Control", "T1041": "Exfiltration",
+    "T1048.003": "Exfiltration", "T1567": "Exfiltration", "T1048": "Exfiltration",
+    "T1052": "Exfiltration", "T1052.001": "Exfiltration", "T1485": "Impact", "T1561": "Impact",
+    "T1561.001": "Impact", "T1561.002": "Impact", "T1486": "Impact", "T1489": "Impact",
+    "T1490": "Impact", "T1496": "Impact", "T1531": "Impact", "T1537": "Impact",
 }
 
 # --- fixed values: techniques named by review rule ids ------------------------------------------

@@ -221,7 +221,7 @@ def parent_technique(t: Column) -> Column:
 
 def tactic(technique: Column) -> Column:
     """Primary tactic, of the parent when the sub-technique is not listed; else null."""
-    table = {t: name for name, ids in ft.TACTIC_TECHNIQUES.items() for t in ids.split()}
+    table = ft.TECHNIQUE_TACTICS
     t = F.trim(technique)
     mapping = literal(table, "map<string,string>")
     return F.coalesce(F.try_element_at(mapping, t),
@@ -434,8 +434,7 @@ def assumptions(findings: DataFrame) -> DataFrame:
 
 def tool_rating(tool: Column) -> Column:
     """Two-character rating of a tool; version suffixes and .exe do not matter, unknown is XX."""
-    table = {t: r for r, names in fc.TOOL_RATINGS.items() for t in names.split()}
-    mapping = literal(table, "map<string,string>")
+    mapping = literal(fc.TOOL_RATINGS, "map<string,string>")
     key = F.regexp_replace(F.lower(F.trim(tool)), r"\.exe$", "")
     head = F.when(key.contains("-"), F.substring_index(key, "-", 1))
     return F.coalesce(F.try_element_at(mapping, head), F.try_element_at(mapping, key),
@@ -475,10 +474,9 @@ def evidence_time(findings: DataFrame) -> DataFrame:
 
 def beat(findings: DataFrame) -> Column:
     """Story beat: first listed tag, else tactic of the first listed technique, else the agent."""
-    by_tag = {t: b for b, tags in fc.TAG_BEATS.items() for t in tags.split()}
     none = F.array().cast("array<string>")
     tags = F.filter(F.transform(F.coalesce("tags", none), lambda t: F.try_element_at(
-        literal(by_tag, "map<string,string>"), t)), lambda b: b.isNotNull())
+        literal(fc.TAG_BEATS, "map<string,string>"), t)), lambda b: b.isNotNull())
     tactics = F.filter(F.transform(F.coalesce("techniques", none), lambda t: F.try_element_at(
         literal(fc.TACTIC_BEATS, "map<string,string>"), tactic(t))), lambda b: b.isNotNull())
     agent = F.coalesce("agent", F.lit(""))

@@ -145,7 +145,7 @@ def fingerprint_families(lines: DataFrame, context: str | None = None, line: str
     for name, patterns in (families or fx.MALWARE_FAMILIES).items():
         test = None
         for pattern, contexts, benign in patterns:
-            if context is not None and context not in contexts.split():
+            if context is not None and context not in contexts:
                 continue
             hit = F.col(line).rlike(pattern)
             if benign:

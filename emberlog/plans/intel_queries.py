@@ -142,8 +142,8 @@ tf AS (
   UNION SELECT case_id, finding_id, t FROM findings JOIN pat ON regexp_matches(claim, p)
   UNION SELECT case_id, finding_id, 'T1218' FROM findings
     WHERE contains(notes, 'LOLBIN_CMDLINE_BENIGN_USE'))"""
-TACTIC_ROWS = ", ".join(f"({text(t)}, {text(name)}, {i})" for i, (name, ids) in enumerate(
-    ft.TACTIC_TECHNIQUES.items(), 1) for t in ids.split())
+TACTIC_ROWS = ", ".join(f"({text(t)}, {text(name)}, {ft.TACTICS.index(name) + 1})"
+                        for t, name in ft.TECHNIQUE_TACTICS.items())
 TACTIC_CTE = f"tactics(t, tactic, o) AS (VALUES {TACTIC_ROWS})"
 
 
@@ -268,8 +268,7 @@ def review_challenges(spark, sf):
         "finding_id", F.array_join("review_rules", ",").alias("review_rules"), "review_status")
 
 
-RATING_ROWS = ", ".join(f"({text(t)}, '{r}')" for r, names in fc.TOOL_RATINGS.items()
-                        for t in names.split())
+RATING_ROWS = ", ".join(f"({text(t)}, '{r}')" for t, r in fc.TOOL_RATINGS.items())
 
 
 @query("source_ratings", sql("findings", f"""
@@ -325,8 +324,7 @@ EVIDENCE_TIME = """coalesce(TRY_CAST(fact_time AS TIMESTAMP),
   TRY_CAST(nullif(regexp_extract(claim, '\\b\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}'), '')
     AS TIMESTAMP),
   TRY_CAST(nullif(regexp_extract(claim, '\\b\\d{4}-\\d{2}-\\d{2}\\b'), '') AS TIMESTAMP))"""
-TAG_BEAT_ROWS = ", ".join(f"({text(t)}, {text(b)})" for b, tags in fc.TAG_BEATS.items()
-                          for t in tags.split())
+TAG_BEAT_ROWS = ", ".join(f"({text(t)}, {text(b)})" for t, b in fc.TAG_BEATS.items())
 TACTIC_BEATS = "CASE tactic " + " ".join(
     f"WHEN {text(t)} THEN {text(b)}" for t, b in fc.TACTIC_BEATS.items()) + " END"
 AGENT_BEATS = "CASE WHEN agent = 'triage' THEN 'prologue' " + " ".join(
