@@ -80,20 +80,32 @@ def snapshot_progress(items: DataFrame) -> DataFrame:
 
 # --- intervals and near times --------------------------------------------------------------------------
 
+#: Bucket widths grow by this factor; an interval is entered at the first width it fits into.
+WIDTH_STEP, WIDTHS = 64, 3
+
+
 def covering_intervals(points: DataFrame, intervals: DataFrame, key: str, t: str, start: str,
                        end: str, bucket_s: int = 7 * 86400) -> DataFrame:
     """Intervals of the same device that cover a point in time.
 
-    Every interval is entered under the time buckets it touches and a point under its own, so the
-    join key is (device, bucket): a device that holds a third of all rows spreads over its buckets.
+    Buckets come in three widths. An interval is entered, at the first width at which it touches at most
+    65 of them (an open one at the last), and a point looks into its bucket of each width, so the join
+    key is (device, width, bucket): a busy device spreads, and a long interval makes few rows.
     """
-    def bucket(c: Column) -> Column:
-        return F.floor(F.unix_micros(c.cast("timestamp")) / (bucket_s * 1_000_000))
-    right = intervals.filter(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(
-        bucket(F.col(start)), bucket(F.col(end)))))
-    left = points.withColumn("_b", bucket(F.col(t)))
-    return left.join(right, [key, "_b"]).filter(
-        (F.col(start) <= F.col(t)) & (F.col(t) <= F.col(end))).drop("_b")
+    def bucket(c: Column, width: Column) -> Column:
+        return F.floor(F.unix_seconds(c.cast("timestamp")) / width)
+
+    widths = [bucket_s * WIDTH_STEP ** i for i in range(WIDTHS)]
+    length = F.unix_seconds(F.col(end).cast("timestamp")) - F.unix_seconds(F.col(start).cast("timestamp"))
+    chosen = F.lit(widths[-1])
+    for w in reversed(widths[:-1]):
+        chosen = F.when(length <= w * WIDTH_STEP, F.lit(w)).otherwise(chosen)
+    right = intervals.filter(F.col(start) <= F.col(end)).withColumn("_w", chosen.cast("bigint")).withColumn(
+        "_b", F.explode(F.sequence(bucket(F.col(start), F.col("_w")), bucket(F.col(end), F.col("_w")))))
+    left = points.withColumn("_w", F.explode(F.array(*[F.lit(w).cast("bigint") for w in widths]))).withColumn(
+        "_b", bucket(F.col(t), F.col("_w")))
+    return left.join(right, [key, "_w", "_b"]).filter(
+        (F.col(start) <= F.col(t)) & (F.col(t) <= F.col(end))).drop("_w", "_b")
 
 
 def near_times(points: DataFrame, fixes: DataFrame, key: str, t: str, at: str,

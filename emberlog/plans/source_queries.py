@@ -27,12 +27,12 @@ SECOND = "date_trunc('second', ts)"
 
 @query("src_syslog", f"""WITH {E} SELECT event_id, CAST(k // 8 AS INT) AS facility,
 CAST(k % 8 AS INT) AS severity, 'h' || user_id AS host, 'app' AS app, 'm ' || k AS message,
-CASE WHEN event_id % 2 = 0 THEN {SECOND} END AS ts FROM e""")
+{SECOND} AS ts FROM e""")
 def src_syslog(spark, sf):
     text = (f"CASE WHEN event_id % 2 = 0 THEN concat('<', k, '>1 ', {ISO}, ' h', user_id, "
             "' app 77 ID1 - m ', k) ELSE concat('<', k, '>', date_format(ts, 'MMM dd HH:mm:ss'), "
             "' h', user_id, ' app[77]: m ', k) END")
-    return ln.parse_syslog(lines(spark, sf, text, "event_id")).select(
+    return ln.parse_syslog(lines(spark, sf, text, "event_id"), 2024).select(
         "event_id", "facility", "severity", "host", "app", "message", "ts")
 
 
@@ -77,8 +77,8 @@ def src_auditd(spark, sf):
     text = ("concat('type=', CASE WHEN event_id % 2 = 0 THEN 'EXECVE' ELSE 'SYSCALL' END, "
             "' msg=audit(1700000000.123:', floor(event_id / 2), '): argc=2 a0=\"/usr/bin/wget\" "
             "auid=', user_id)")
-    rows = lines(spark, sf, text)
-    e = ln.parse_auditd(rows)
+    rows = lines(spark, sf, text, "floor(event_id / 2) % 3 AS host")
+    e = ln.parse_auditd(rows, ["host"])
     watched = endpoint.watched_executions(ln.parse_audit_records(rows)).select(
         "serial", "program")
     return e.select("serial", F.size("records").cast("bigint").alias("records")).join(
@@ -97,25 +97,43 @@ def auditd_rollups(spark, sf):
 @query("src_zeek_tsv", f"""WITH {E} SELECT '1.1.1.' || k AS src, CAST(event_id AS VARCHAR) AS ts,
 CASE WHEN k % 2 = 0 THEN 'tcp' ELSE '' END AS proto FROM e""")
 def src_zeek_tsv(spark, sf):
-    text = ("concat(event_id, '\\t1.1.1.', k, CASE WHEN k % 2 = 0 THEN '\\ttcp' ELSE '' END)")
-    head = events(spark, sf).select((F.col("user_id") % 4).alias("f")).distinct().select(
-        F.concat(F.lit("file"), "f").alias("path"),
-        F.lit("#fields\tts\tid.orig_h\tproto").alias("value"))
-    body = lines(spark, sf, text, "concat('file', user_id % 4) AS path")
-    rows = ln.parse_zeek(head.unionByName(body))
-    return rows.select(F.element_at("row", "id.orig_h").alias("src"),
-                       F.element_at("row", "ts").alias("ts"),
-                       F.element_at("row", "proto").alias("proto"))
+    """Four files in splits of 250 lines; the order of columns changes every 100, one uses commas."""
+    order = F.floor(F.col("event_id") / 100)
+    comma = F.col("f") == 3
+    rows = events(spark, sf).withColumn("f", F.col("user_id") % 4)
+    heads = rows.select(order.alias("o")).distinct().withColumn(
+        "f", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    fields = F.when(F.col("o") % 2 == 0, "#fields\tts\tid.orig_h\tproto").otherwise(
+        "#fields\tid.orig_h\tproto\tts")
+    heads = heads.select("f", F.col("o").alias("o"), (200 * F.col("o")).alias("line"), fields.alias(
+        "value")).unionByName(heads.filter(comma).groupBy("f").agg(F.min("o").alias("o")).select(
+            "f", "o", (200 * F.col("o") - 1).alias("line"), F.lit("#separator \\x2c").alias("value")))
+    proto = F.when(F.col("k") % 2 == 0, "tcp").otherwise("")
+    src = F.concat(F.lit("1.1.1."), "k")
+    body = rows.select("f", order.alias("o"), (2 * F.col("event_id") + 1).alias("line"), F.when(
+        order % 2 == 0, F.concat_ws("\t", "event_id", src, F.nullif(proto, F.lit("")))).otherwise(
+        F.concat_ws("\t", src, proto, "event_id")).alias("value"))
+    table = heads.unionByName(body)
+    return ln.parse_zeek(table.select(
+        F.concat(F.lit("file"), "f").alias("path"), F.floor(F.greatest("line", F.lit(0)) / 500).alias(
+            "block"), "line", F.when(comma & ~F.col("value").startswith("#sep"), F.translate(
+                "value", "\t", ",")).otherwise(F.col("value")).alias("value"))).select(
+        F.element_at("row", "id.orig_h").alias("src"), F.element_at("row", "ts").alias("ts"),
+        F.element_at("row", "proto").alias("proto"))
 
 
 @query("src_w3c", f"""WITH {E} SELECT '10.1.1.' || k AS src, '/p' || event_id AS path,
 CASE WHEN event_id % 2 = 0 THEN '200' ELSE '' END AS status FROM e""")
 def src_w3c(spark, sf):
-    text = ("concat('#Software: x\\n#Fields: c-ip cs-uri-stem sc-status\\n10.1.1.', k, ' /p', event_id,"
-            " ' 200\\n')")
-    other = "concat('#Fields: cs-uri-stem c-ip\\n/p', event_id, ' 10.1.1.', k, '\\n')"
+    text = ("concat('#Software: x\n#Fields: c-ip cs-uri-stem sc-status\n10.1.1.', k, ' /p', event_id,"
+            " ' 200\n')")
+    other = "concat('#Fields: cs-uri-stem c-ip\n/p', event_id, ' 10.1.1.', k, '\n')"
     value = f"CASE WHEN event_id % 2 = 0 THEN {text} ELSE {other} END"
-    rows = ln.parse_w3c(lines(spark, sf, value, "CAST(event_id AS STRING) AS path"))
+    files = lines(spark, sf, value, "event_id", "CAST(user_id AS STRING) AS path")
+    rows = ln.parse_w3c(files.select(
+        "path", F.floor(F.col("event_id") / 700).alias("block"), "event_id",
+        F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn(
+        "line", F.col("event_id") * 10 + F.col("line")).drop("event_id"))
     return ln.web_rows(rows).select("src", "path", "status")
 
 

@@ -7,7 +7,7 @@ out. Gzip files are read transparently, one task per file; split very large ones
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 def read_lines(spark: SparkSession, path, whole_tree: bool = True) -> DataFrame:
     """Lines of text files with the file they come from."""
@@ -31,8 +31,11 @@ SYSLOG_3164 = (r"^(?:<(\d{1,3})>)?([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\
                r"([^\s:\[]+)(?:\[(\d+)\])?:\s*(.*)$")
 
 
-def parse_syslog(lines: DataFrame) -> DataFrame:
-    """RFC 5424 lines, RFC 3164 ones otherwise: facility, severity, host, app, message."""
+def parse_syslog(lines: DataFrame, year: int | None = None) -> DataFrame:
+    """RFC 5424 lines, RFC 3164 ones otherwise: facility, severity, host, app, message.
+
+    RFC 3164 times have no year; without `year` their `ts` is null.
+    """
     new = F.col("value").rlike(SYSLOG_5424)
     old = F.col("value").rlike(SYSLOG_3164)
 
@@ -40,9 +43,12 @@ def parse_syslog(lines: DataFrame) -> DataFrame:
         return F.nullif(F.when(new, F.regexp_extract("value", SYSLOG_5424, i)).otherwise(
             F.regexp_extract("value", SYSLOG_3164, j)), F.lit(""))
     pri = pick(1, 1).try_cast("int")
+    short = F.concat_ws(" ", F.lit(year), F.regexp_replace(F.regexp_extract(
+        "value", SYSLOG_3164, 2), r"\s+", " "))
+    old_ts = F.try_to_timestamp(short, F.lit("yyyy MMM d HH:mm:ss")) if year else None
     return lines.filter(new | old).withColumns({
         "facility": F.floor(pri / 8).cast("int"), "severity": (pri % 8).cast("int"),
-        "time_text": pick(2, 2), "ts": F.when(new, F.try_to_timestamp(pick(2, 2))),
+        "time_text": pick(2, 2), "ts": F.when(new, F.try_to_timestamp(pick(2, 2))).otherwise(old_ts),
         "host": pick(3, 3), "app": pick(4, 4), "procid": pick(5, 5), "message": pick(7, 6)})
 
 
@@ -116,11 +122,11 @@ def parse_audit_records(lines: DataFrame) -> DataFrame:
         "epoch").cast("decimal(20,6)") * 1_000_000).cast("bigint"))).drop("body", "value")
 
 
-def parse_auditd(lines: DataFrame, by=()) -> DataFrame:
+def parse_auditd(lines: DataFrame, by) -> DataFrame:
     """Records gathered into events by (time, serial); each record has its type and fields.
 
-    One event is a handful of records when `by` names the host the serial belongs to. Roll-ups work
-    on `parse_audit_records` and gather nothing.
+    `by` names the columns of the host, as serials of several hosts collide; give an empty list for
+    the log of one host. Roll-ups work on `parse_audit_records` and gather nothing.
     """
     return parse_audit_records(lines).groupBy(*by, "epoch", "serial").agg(
         F.min("ts").alias("ts"), F.sort_array(F.collect_list(F.struct(
@@ -169,53 +175,78 @@ def parse_remote_access(lines: DataFrame) -> DataFrame:
 
 # --- self-describing tables --------------------------------------------------------------------
 
-def read_zeek(spark: SparkSession, path) -> DataFrame:
-    """Tab-separated log whose `#fields` line names the columns; rows come as a map per line.
+def read_ordered_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines with their file, the start of the split they were read from, and their order in it."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+
 
-    The header lines (one per file) are joined back by file. Short rows are padded with ''.
+def in_force(lines: DataFrame, **headers: Column) -> DataFrame:
+    """Adds, per header column, its last value at or before each line of the file.
+
+    Columns path, block and line give the order. Inside a split a window carries values on; what earlier
+    splits leave comes from a table of one row per split, so a large file is read by many tasks.
     """
-    return parse_zeek(read_lines(spark, path))
+    rows = lines.withColumns({f"_{n}": c for n, c in headers.items()})
+    inside = W.partitionBy("path", "block").orderBy("line")
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy("path", "block").agg(*[
+        F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("line"))).alias(f"_{n}")
+        for n in headers])
+    carried = ends.select("path", "block", *[
+        F.last(f"_{n}", ignorenulls=True).over(earlier).alias(f"_before_{n}") for n in headers])
+    return rows.withColumns({f"_{n}": F.last(f"_{n}", ignorenulls=True).over(inside)
+                             for n in headers}).join(carried, ["path", "block"]).select(
+        *lines.columns, *[F.coalesce(f"_{n}", f"_before_{n}").alias(n) for n in headers])
+
+
+def _named(rows: DataFrame, names: Column, cells: Column) -> DataFrame:
+    """path and a map from names to cells; short rows are padded with empty texts."""
+    n = F.size("_names")
+    padded = F.slice(F.concat("_cells", F.array_repeat(F.lit(""), n)), F.lit(1), n)
+    return rows.withColumns({"_names": names, "_cells": cells}).select(
+        "path", F.map_from_arrays("_names", padded).alias("row"))
 
 
-def parse_zeek(lines: DataFrame) -> DataFrame:
-    from emberlog.operators.common import small
-    header = lines.filter(F.col("value").startswith("#fields")).groupBy("path").agg(
-        F.split(F.regexp_replace(F.min("value"), r"^#fields\t", ""), "\t").alias("names"))
-    rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn(
-        "_cells", F.split("value", "\t"))
-    joined = rows.join(small(header), "path")
-    n = F.size("names")
-    cells = F.slice(F.concat("_cells", F.array_repeat(F.lit(""), n)), F.lit(1), n)
-    return joined.select("path", F.map_from_arrays("names", cells).alias("row"))
+def read_zeek(spark: SparkSession, path) -> DataFrame:
+    """Separated log whose `#fields` lines name the columns; rows come as a map per line."""
+    return parse_zeek(read_ordered_lines(spark, path))
 
 
-def read_w3c(spark: SparkSession, path) -> DataFrame:
-    """Web server log whose `#Fields:` header may change inside one file; a map per line.
+def parse_zeek(lines: DataFrame) -> DataFrame:
+    """Rows under the `#fields` line and the `#separator` in force; rows before any are left out.
 
-    The header in force depends on line order, so a file is read by one task; split such logs by
-    file (they are rotated daily or by size) for parallelism.
+    A separator is written as its code (\\x09) or as itself; without one it is the tab.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("path"))
-    return parse_w3c(whole)
+    value = F.col("value")
+    code = F.regexp_extract(value, r"^#separator \\x([0-9a-fA-F]{2})", 1)
+    separator = F.when(value.startswith("#separator "), F.when(code != "", F.chr(F.conv(
+        code, 16, 10).cast("bigint"))).otherwise(F.substr(value, F.lit(12))))
+    fields = F.when(value.startswith("#fields"), F.substr(value, F.lit(8)))
+    rows = in_force(lines, separator=separator, fields=fields).filter(
+        ~value.startswith("#") & (F.trim(value) != "") & F.col("fields").isNotNull())
+    cut = F.concat(F.lit("\\Q"), F.coalesce("separator", F.lit("\t")), F.lit("\\E"))
+    return _named(rows, F.slice(F.split("fields", cut), F.lit(2), F.size(F.split("fields", cut))),
+                  F.split(value, cut))
+
+
+def read_w3c(spark: SparkSession, path) -> DataFrame:
+    """Web server log whose `#Fields:` header may change inside one file; a map per line."""
+    return parse_w3c(read_ordered_lines(spark, path))
 
 
-def parse_w3c(files: DataFrame) -> DataFrame:
-    """Whole files (path, value) cut into blocks at each header line, then into rows."""
-    blocks = files.select("path", F.explode(F.split("value", r"(?m)^(?=#Fields:)")).alias("block"))
-    lines = blocks.filter(F.col("block").startswith("#Fields:")).withColumn(
-        "_lines", F.split("block", r"\r?\n"))
-    names = F.transform(F.filter(F.split(F.substring(F.get("_lines", F.lit(0)), 9, 100000), " "),
-                                 lambda n: n != ""),
+def parse_w3c(lines: DataFrame) -> DataFrame:
+    """Rows under the header in force; rows before any are left out."""
+    value = F.regexp_replace("value", r"\r$", "")
+    rows = in_force(lines.withColumn("value", value), fields=F.when(
+        F.col("value").startswith("#Fields:"), F.substr("value", F.lit(9)))).filter(
+        ~F.col("value").startswith("#") & (F.col("value") != "") & F.col("fields").isNotNull())
+    names = F.transform(F.filter(F.split("fields", " "), lambda n: n != ""),
                         lambda n: F.replace(F.replace(F.lower(n), F.lit("("), F.lit("-")),
                                             F.lit(")"), F.lit("")))
-    rows = lines.select("path", names.alias("names"), F.explode(F.slice(
-        "_lines", F.lit(2), F.size("_lines"))).alias("line")).filter(
-        (F.col("line") != "") & ~F.col("line").startswith("#"))
-    cells = F.split("line", " ")
-    n = F.size("names")
-    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(""), n)), F.lit(1), n)
-    return rows.select("path", F.map_from_arrays("names", padded).alias("row"))
+    return _named(rows, names, F.split("value", " "))
 
 
 def web_rows(table: DataFrame) -> DataFrame:

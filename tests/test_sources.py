@@ -18,6 +18,13 @@ def test_zeek_files_with_different_headers(spark, tmp_path):
     assert {"uid": "C1", "ts": "5.0"} in got and len(got) == 3
 
 
+def test_zeek_header_in_force_and_separator(spark, tmp_path):
+    (tmp_path / "a.log").write_text("#fields\tts\tuid\n1\ta\n#fields\tuid\tts\nb\t2\n")
+    (tmp_path / "b.log").write_text("lost\n#separator \\x2c\n#fields,ts,uid\n3,c\n")
+    got = sorted((dict(r.row) for r in ln.read_zeek(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([{"ts": "1", "uid": "a"}, {"uid": "b", "ts": "2"}, {"ts": "3", "uid": "c"}], key=str)
+
+
 def test_w3c_header_change_and_gzip_access_log(spark, tmp_path):
     (tmp_path / "u.log").write_text(
         "#Software: IIS\n#Fields: date time c-ip cs-method cs-uri-stem sc-status cs(User-Agent)\n"
@@ -54,7 +61,7 @@ def test_vpc_and_bodyfile_drop_short_rows(spark):
 def test_auditd_grouping(spark):
     rows = ln.parse_auditd(text(
         spark, 'type=SYSCALL msg=audit(1.500:7): auid=1000 key="k"',
-        'type=EXECVE msg=audit(1.500:7): argc=1 a0="/bin/nc"', "type=EXECVE broken")).collect()
+        'type=EXECVE msg=audit(1.500:7): argc=1 a0="/bin/nc"', "type=EXECVE broken"), []).collect()
     assert len(rows) == 1 and [r.type for r in rows[0].records] == ["EXECVE", "SYSCALL"]
 
 
