@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 # --- findings --------------------------------------------------------------------------------
 
 def latest(rows: DataFrame, key, version: str) -> DataFrame:
-    """The newest row of every key."""
-    w = W.partitionBy(*key).orderBy(F.desc(version))
+    """The newest row of every key; of rows of one version, that with the largest content.
+
+    The second order makes the choice the same in every run, even for rows written by one job.
+    """
+    w = W.partitionBy(*key).orderBy(F.desc(version), F.desc(F.to_json(F.struct(*rows.columns))))
     return rows.withColumn("_v", F.row_number().over(w)).filter(F.col("_v") == 1).drop("_v")
 
 

@@ -51,19 +51,23 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 def refresh_rankings(findings: DataFrame, ledger_path: str, out_path: str, checkpoint: str):
     """Append new findings to the ledger and re-rank the cases they belong to.
 
-    Each micro-batch is written under its own number, so a batch that runs again after a failure
-    replaces itself; only the partitions of touched cases are read for the new ranking.
+    The ledger is partitioned by case and then by micro-batch: a batch that runs again after a failure
+    replaces its own partitions, and only those of touched cases are read for the new ranking. Of a
+    finding that came again in a later batch only the latest state counts.
     """
     from emberlog.operators.intel import ranked_hypotheses
+    from emberlog.sinks.tables import latest
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy(
-            "case_id").parquet(f"{ledger_path}/batch={batch_id}")
-        ledger = spark.read.option("basePath", ledger_path).parquet(f"{ledger_path}/*")
-        touched = df.select("case_id").distinct()
-        ranked_hypotheses(ledger.join(touched, "case_id", "left_semi")).write.mode(
-            "overwrite").parquet(f"{out_path}/batch={batch_id}")
+        df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("case_id", "batch").parquet(ledger_path)
+        # case ids stay text whatever they look like, so their type is not guessed from folder names
+        ledger = spark.read.schema(df.schema.add("batch", "long")).parquet(ledger_path)
+        touched = ledger.filter(F.col("batch") == batch_id).select("case_id").distinct()
+        current = latest(ledger.join(touched, "case_id", "left_semi"), ["case_id", "finding_id"], "batch")
+        ranked_hypotheses(current.drop("batch")).write.mode("overwrite").parquet(
+            f"{out_path}/batch={batch_id}")
 
     return (findings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

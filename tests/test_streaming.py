@@ -36,3 +36,17 @@ def test_rankings_follow_new_findings(spark, tmp_path):
         top = spark.read.parquet(f"{args[1]}/batch={n - 1}").filter("rank = 1").first()
         assert (top.hypothesis, top.score) == ("H_CREDENTIAL_ACCESS", 5 * n)
         spark.createDataFrame([("f2", *row[1:])], cols).write.mode("append").parquet(src)
+
+
+def test_replaced_finding_counts_once(spark, tmp_path):
+    cols = ("finding_id STRING, case_id STRING, host STRING, agent STRING, claim STRING, confidence "
+            "STRING, tags ARRAY<STRING>, tools ARRAY<STRING>, categories ARRAY<STRING>, severity "
+            "STRING, techniques ARRAY<STRING>, evidence_count INT")
+    row = ("f1", "7", "h", "a", "mimikatz", "high", ["H_CREDENTIAL_ACCESS"], [], [], None, [], 1)
+    src = str(tmp_path / "in")
+    args = (str(tmp_path / "ledger"), str(tmp_path / "rank"), str(tmp_path / "cp"))
+    for n in range(2):
+        spark.createDataFrame([row], cols).write.mode("append").parquet(src)
+        st.refresh_rankings(spark.readStream.schema(cols).parquet(src), *args).awaitTermination()
+        top = spark.read.parquet(f"{args[1]}/batch={n}").filter("rank = 1").first()
+        assert (top.case_id, top.hypothesis, top.score) == ("7", "H_CREDENTIAL_ACCESS", 5)
