@@ -75,13 +75,19 @@ def risky_signins(rows: DataFrame) -> DataFrame:
 
 
 def impossible_travel(rows: DataFrame, minutes: int = 60) -> DataFrame:
-    """First pair per principal of adjacent successes from two countries within the window."""
+    """First pair per principal of adjacent successes from two countries within the window.
+
+    Principals seen in one country only, nearly all, go before anything is sorted.
+    """
     good = rows.filter(~F.coalesce("failed", F.lit(False))
                        & (F.coalesce("principal", F.lit("")) != "")
                        & (F.trim(F.coalesce("country", F.lit(""))) != "")
                        & F.col("ts").isNotNull()).select(
         F.lower("principal").alias("principal"), F.upper(F.trim("country")).alias("country"),
         "ts", "event_id")
+    travellers = good.groupBy("principal").agg(
+        F.min("country").alias("a"), F.max("country").alias("b")).filter("a != b").select("principal")
+    good = good.join(travellers, "principal", "left_semi")
     pairs = split_lag(good, ["principal"], "ts", "event_id", ["ts", "country"])
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(
         F.col("prev_ts").cast("timestamp"))

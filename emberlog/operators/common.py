@@ -99,29 +99,34 @@ def small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= limit else df
 
 
+#: A large key is cut at so many quantiles of its times.
+PIECES = 256
+
+
 def split_lag(df: DataFrame, keys, ts: str, tie: str, columns, piece_rows: int = 1_000_000):
     """`lag` of several columns per key in time order without one task per key.
 
-    A key with more than `piece_rows` rows is cut into time pieces, so the lag window sorts
-    (key, piece) and not the whole key; other keys stay whole. The first row of a piece takes its
-    values from the last row of the key's previous piece, found in a table of one row per piece of
-    the large keys. Adds `prev_<column>` for every listed column.
+    A key with more than `piece_rows` rows is cut at quantiles of its times, so that a burst makes as
+    many pieces as a quiet year of equal size, and the lag window sorts (key, piece) and not the whole
+    key; other keys stay whole. The first row of a piece takes its values from the last row of the key's
+    previous piece, found in a table of one row per piece of the large keys. Adds `prev_<column>` for
+    every listed column. Results don't depend on `piece_rows`.
     """
     cols, keys = list(columns), list(keys)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us).alias("_t0"),
-                                  F.max(us).alias("_t1"))
-    large = sizes.filter(F.col("_n") > piece_rows).select(
-        *keys, F.ceil(F.col("_n") / piece_rows).alias("_pieces"), "_t0",
-        (F.col("_t1") - F.col("_t0") + 1).alias("_span"))
-    piece_no = F.floor((us - F.col("_t0")) / F.col("_span") * F.col("_pieces"))
-    rows = df.join(large, keys, "left").withColumn(
-        "_b", F.coalesce(piece_no, F.lit(0).cast("bigint"))).drop("_t0", "_span")
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > piece_rows).select(*keys)
+    # quantile sketches are merged map-side; only the large keys' rows are read for them
+    cuts = df.join(large, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(
+        us, [i / PIECES for i in range(1, PIECES)], F.lit(10_000)).alias("_cuts"))
+    piece_no = F.size(F.filter("_cuts", lambda c: c < us))
+    rows = df.join(cuts, keys, "left").withColumn(
+        "_b", F.when(F.col("_cuts").isNotNull(), piece_no).otherwise(F.lit(0))).withColumn(
+        "_large", F.col("_cuts").isNotNull()).drop("_cuts")
     piece = W.partitionBy(*keys, "_b").orderBy(ts, tie)
     lagged = rows.withColumn("_first", F.row_number().over(piece) == 1)
     for c in cols:
         lagged = lagged.withColumn(f"prev_{c}", F.lag(c).over(piece))
-    ends = rows.filter(F.col("_pieces").isNotNull()).groupBy(*keys, "_b").agg(
+    ends = rows.filter("_large").groupBy(*keys, "_b").agg(
         F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_end"))
     carried = ends.withColumn(
         "_carry", F.lag("_end").over(W.partitionBy(*keys).orderBy("_b"))).select(

@@ -157,6 +157,20 @@ def adapter(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.join(pages, "page_id").selectExpr(*[_spark_text(e) for e in JOINED[name]])
 
 
+def stream_adapter(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A canonical table whose base table is read as a stream; `ts` is an instant, as watermarks need."""
+    base, exprs = PROJECTIONS.get(name) or ("events", JOINED[name])
+    path = f"{sf}/{base}.parquet"
+    # a pattern, as a stream's source may be a folder or a pattern but no single file
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    if base == "events":
+        rows = rows.selectExpr("*", EVENT_K)
+    if name in JOINED:
+        pages = table(spark, sf, "pages").select("page_id", "url")
+        rows = rows.withColumn("page_id", F.col("event_id") % pages.count()).join(pages, "page_id")
+    return rows.selectExpr(*[_spark_text(e) for e in exprs]).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _spark_text(expr: str) -> str:
     return expr.replace("\\", "\\\\")  # Spark literals read backslash escapes, ANSI SQL does not
 

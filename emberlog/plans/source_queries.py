@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from emberlog.operators import endpoint
-from emberlog.plans.adapters import EVENT_K, adapter, events, sql, table
+from emberlog.plans.adapters import EVENT_K, adapter, events, sql, stream_adapter, table
 from emberlog.plans.detector_queries import EV
 from emberlog.plans.indicator_queries import PAGE_IOCS, document_iocs, page_iocs
 from emberlog.plans.registry import query
+from emberlog.session import scratch_path
 from emberlog.sinks import tables as sinks
 from emberlog.sources import files as sf_, json_logs as js, lines as ln
 from emberlog.streaming import detectors as st
@@ -405,24 +406,32 @@ def traceability(spark, sf):
 
 # --- windows of the streaming detectors, run as batch ---------------------------------------------------
 
+def streamed(spark, stream):
+    """Run a stream over all that its source holds and read what it wrote."""
+    path = scratch_path(spark, "stream")
+    st.run_to_latest(stream, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("stream_failures", sql("authn", """SELECT date_trunc('day', ts) AS window_start, principal,
 count(*) AS failures FROM authn WHERE failed GROUP BY ALL HAVING count(*) >= 2"""))
 def stream_failures(spark, sf):
-    return st.windowed_failures(adapter(spark, sf, "authn"), "1 day", minimum=2)
+    return streamed(spark, st.windowed_failures(stream_adapter(spark, sf, "authn"), "1 day", minimum=2))
 
 
 @query("stream_repeats", sql("flows", """SELECT src, dst, dport, date_trunc('day', ts)
 AS window_start, count(*) AS flows, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM flows
 GROUP BY ALL HAVING count(*) >= 2"""))
 def stream_repeats(spark, sf):
-    return st.windowed_repeats(adapter(spark, sf, "flows"), "1 day", minimum=2)
+    return streamed(spark, st.windowed_repeats(stream_adapter(spark, sf, "flows"), "1 day", minimum=2))
 
 
 @query("stream_errors", sql("http", """SELECT src, date_trunc('day', ts) AS window_start, count(*)
 AS errors FROM http WHERE status LIKE '4%' AND src NOT LIKE '10.%' GROUP BY ALL
 HAVING count(*) >= 2"""))
 def stream_errors(spark, sf):
-    return st.windowed_errors(adapter(spark, sf, "http"), "1 day", minimum=2)
+    return streamed(spark, st.windowed_errors(stream_adapter(spark, sf, "http"), "1 day", minimum=2))
 
 
 @query("host_signals", sql("authn http", """

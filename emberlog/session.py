@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,3 +53,16 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(zipped))
     _SHIPPED["to"] = context.applicationId
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder all executors share (`spark.checkpoint.dir`).
+
+    A local session without that setting gets a temporary folder; on a cluster it must be set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="emberlog-scratch-")
+    return f"{base.rstrip('/')}/emberlog-{name}-{uuid.uuid4().hex}"

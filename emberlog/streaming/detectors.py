@@ -48,6 +48,21 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def run_to_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a windowed stream over what is available; `path` then holds the state of all windows.
+
+    Every micro-batch replaces the result whole (complete mode), so a batch that runs again does no harm.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)
+
+    def replace(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(path)
+
+    (stream.writeStream.outputMode("complete").foreachBatch(replace).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()).awaitTermination()
+
+
 def refresh_rankings(findings: DataFrame, ledger_path: str, out_path: str, checkpoint: str):
     """Append new findings to the ledger and re-rank the cases they belong to.
 

@@ -69,6 +69,16 @@ def test_split_lag_equals_plain_lag(spark):
     assert sorted(map(str, whole)) == sorted(map(str, pieces))
 
 
+def test_split_lag_cuts_a_burst(spark):
+    """All rows of the key within one second, but one: pieces still hold a few rows each."""
+    rows = [(i, "a", T0 + timedelta(microseconds=37 * i)) for i in range(20_000)] + [
+        (20_000, "a", T0 + timedelta(days=365))]
+    df = spark.createDataFrame(rows, "id LONG, k STRING, ts TIMESTAMP")
+    lagged = split_lag(df, ["k"], "ts", "id", ["id"], piece_rows=100)
+    assert lagged.filter("prev_id IS NULL").count() == 1
+    assert lagged.filter("prev_id = id - 1").count() == 20_000
+
+
 def test_results_do_not_depend_on_partitioning(spark):
     df = flows(spark, steady(12) + steady(15, 77, "b"))
     one = sorted(map(str, net.beacon_scores(df.repartition(1)).collect()))
