@@ -18,7 +18,7 @@ def made(n=700, width=8):
     rng = np.random.default_rng(12)
     centres = rng.normal(size=(10, width))
     x = (centres[rng.integers(0, 10, n)] + 0.3 * rng.normal(size=(n, width))).astype(np.float32)
-    x[200:500] = x[200]  # one large group of equal vectors
+    x[200:500] = x[min(200, n - 1)]  # one large group of equal vectors
     return [(i, x[i].tolist()) for i in range(n)]
 
 
