@@ -17,7 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.3; the classifier learns from the labels of these documents."""
     use = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     model = toxicity.trained(docs, read(spark, sf_dir, "labels"), use)
-    return toxicity.scored(docs, model, score="_score").filter("_score < 0.3").select(*docs.columns)
+    return toxicity.scored(docs, model, score="_emberlog_score").filter(
+        "_emberlog_score < 0.3").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,15 +50,17 @@ def numbered(rows: DataFrame, order: list[str | Column], position: str = "positi
     table of one row per partition adds what stands before it. Ties get any order, fixed once written.
     """
     inside = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
-        "_id", F.monotonically_increasing_id()), name).withColumn(
-        "_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND((1 << 33) - 1))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(
+        "_emberlog_id", F.monotonically_increasing_id()), name).withColumn(
+        "_emberlog_part", F.shiftright("_emberlog_id", 33)).withColumn(
+        "_emberlog_row", F.col("_emberlog_id").bitwiseAND((1 << 33) - 1))
+    before = F.coalesce(F.sum("_emberlog_n").over(W.orderBy("_emberlog_part").rowsBetween(
         W.unboundedPreceding, -1)), F.lit(0))
     # one row per shuffle partition, so its size is bounded by the partition count
-    starts = inside.groupBy("_part").agg(F.count("*").alias("_n")).select(
-        "_part", before.alias("_before"))
-    return inside.join(F.broadcast(starts), "_part").withColumn(
-        position, F.col("_row") + F.col("_before")).drop("_part", "_row", "_id", "_before")
+    starts = inside.groupBy("_emberlog_part").agg(F.count("*").alias("_emberlog_n")).select(
+        "_emberlog_part", before.alias("_emberlog_before"))
+    return inside.join(F.broadcast(starts), "_emberlog_part").withColumn(
+        position, F.col("_emberlog_row") + F.col("_emberlog_before")).drop(
+        "_emberlog_part", "_emberlog_row", "_emberlog_id", "_emberlog_before")
 
 
 class Memo(dict):

@@ -57,9 +57,9 @@ def without_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **op
     """The documents that `copies` keeps, with all their columns; of repeated rows one stays."""
     stay = copies(docs, id, text, **options).filter("kept").select(
         F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_d"))
-    digested = docs.withColumn("_digest", digest_of(F.col(f"`{text}`")))
-    same = digested[id].eqNullSafe(stay["_id"]) & (digested["_digest"] == stay["_d"])
-    first = W.partitionBy(F.col(f"`{id}`"), "_digest").orderBy(F.desc(F.length(F.col(f"`{text}`"))))
+    digested = docs.withColumn("_emberlog_digest", digest_of(F.col(f"`{text}`")))
+    same = digested[id].eqNullSafe(stay["_id"]) & (digested["_emberlog_digest"] == stay["_d"])
+    first = W.partitionBy(F.col(f"`{id}`"), "_emberlog_digest").orderBy(F.desc(F.length(F.col(f"`{text}`"))))
     return digested.join(stay, same, "left_semi").withColumn(
-        "_row", F.row_number().over(first)).filter(F.col("_row") == 1).select(
+        "_emberlog_row", F.row_number().over(first)).filter(F.col("_emberlog_row") == 1).select(
         *[F.col(f"`{c}`") for c in docs.columns])

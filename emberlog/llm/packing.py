@@ -242,8 +242,10 @@ def packed(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = (
         turn, within = np.divmod(at - first[run], per[run])
         return pd.DataFrame({"sequence_id": sequence[run] + turn, "offset": offset[run] + within * size[run]})
 
-    rows = numbered(pieces, [length, *order], position="_position", name="pieces")
-    return rows.withColumn("_at", place("_position")).select(*pieces.columns, "_at.*")
+    rows = numbered(pieces, [length, *order], position="_emberlog_position", name="pieces")
+    return rows.withColumn(
+        "_emberlog_at", place("_emberlog_position")).select(
+        *[f"`{c}`" for c in pieces.columns], "_emberlog_at.*")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, *, limit: int = 4096, end: int = 1,

@@ -12,7 +12,6 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,66 +52,94 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "outside", "chars")
-
-    def __init__(self, tag: str, parent: Element | None, outside: bool) -> None:
-        self.tag, self.parent, self.chars = tag, parent, 0
-        self.path = (parent.path if parent else "") + "/" + tag
-        self.outside = outside or bool(parent and parent.outside)
+    """An open or closed element; `path` numbers the tag path from the root."""
 
+    __slots__ = ("tag", "parent", "path", "depth", "outside", "linked", "chars", "inside")
 
-def nodes(page: str) -> Iterator[tuple[Element, str, int]]:
-    """Text nodes as (element, raw text, number of the block they stand in), in reading order."""
-    top = Element("", None, False)
-    here, at, block, raw = top, 0, 0, None
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if raw is None and m.start() > at:
-            yield here, page[at:m.start()], block
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            yield here, " ", block
-            continue
-        if tag not in INLINE:
-            block += 1
-        if m[1]:
-            element = here
-            while element is not top and element.tag != tag:
-                if tag in INLINE and element.tag in CONTAINERS:
-                    element = top
-                    break
-                element = element.parent
-            if element is not top:
-                here = element.parent
-            continue
-        if tag in ENDS:
-            element, last = here, None
-            while element is not top and (element.tag in ENDS[tag] or element.tag not in CONTAINERS):
-                if element.tag in ENDS[tag]:
-                    last = element
-                element = element.parent
-            if last is not None:
-                here = last.parent
-        if tag in VOID:
-            continue
-        attributes = m[3]
-        outside = tag in OUTSIDE
-        if attributes and not outside and tag not in ("html", "body", "article", "main"):
-            outside = bool(HIDDEN.search(attributes)) or any(
-                HINTS.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if not attributes.endswith("/"):
-            here = Element(tag, here, outside)
-    if at < len(page):
-        yield here, page[at:], block
+    def __init__(self, tag: str, parent: Element | None, outside: bool, paths: dict) -> None:
+        self.tag, self.parent, self.chars, self.inside = tag, parent, 0, False
+        self.path = paths.setdefault((parent.path if parent else None, tag), len(paths))
+        self.depth = parent.depth + 1 if parent else 0
+        self.outside = outside or bool(parent and parent.outside)
+        self.linked = tag == "a" or bool(parent and parent.linked)
+
+
+class Page:
+    """Elements and text nodes (element, raw text, number of the block) of a page, in reading order."""
+
+    def __init__(self, page: str) -> None:
+        self.paths: dict = {}
+        self.elements: list[Element] = []
+        self.texts: list[tuple[Element, str, int]] = []
+        self.open: dict[str, int] = defaultdict(int)
+        self.here = self.top = self.begin("", None, False)
+        at, block = 0, 0
+        for m in TAG.finditer(page):
+            if m.start() < at:
+                continue
+            if m.start() > at:
+                self.texts.append((self.here, page[at:m.start()], block))
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if tag == "br":
+                self.texts.append((self.here, " ", block))
+                continue
+            if tag not in INLINE:
+                block += 1
+            if m[1]:
+                self.end(tag)
+                continue
+            self.imply_ends(tag)
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            elif tag not in VOID and not m[3].endswith("/"):
+                self.here = self.begin(tag, self.here, self.apart(tag, m[3]))
+        if at < len(page):
+            self.texts.append((self.here, page[at:], block))
+
+    def begin(self, tag: str, parent: Element | None, outside: bool) -> Element:
+        element = Element(tag, parent, outside, self.paths)
+        self.elements.append(element)
+        self.open[tag] += 1
+        return element
+
+    def close_to(self, element: Element) -> None:
+        """Close everything up to and with the element."""
+        while self.here is not element.parent:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
+
+    def end(self, tag: str) -> None:
+        """A closing tag ends the nearest such element; inline ones don't reach beyond their container."""
+        element = self.here if self.open[tag] else self.top
+        while element is not self.top and element.tag != tag:
+            if tag in INLINE and element.tag in CONTAINERS:
+                return
+            element = element.parent
+        if element is not self.top:
+            self.close_to(element)
+
+    def imply_ends(self, tag: str) -> None:
+        ends, element, last = ENDS.get(tag, ()), self.here, None
+        while ends and element is not self.top and (element.tag in ends or element.tag not in CONTAINERS):
+            if element.tag in ends:
+                last = element
+            element = element.parent
+        if last is not None:
+            self.close_to(last)
+
+    @staticmethod
+    def apart(tag: str, attributes: str) -> bool:
+        """Whether tag or attributes say that the element is no part of an article."""
+        if tag in OUTSIDE:
+            return True
+        if not attributes or tag in ("html", "body", "article", "main"):
+            return False
+        return bool(HIDDEN.search(attributes)) or any(
+            HINTS.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
 
 
 def smoothed(x: np.ndarray) -> np.ndarray:
@@ -128,12 +155,9 @@ def main_text(page: str, reach: float = 0.5, held: float = 0.8) -> str:
     `reach` is the share of the standard deviation of fused ratios that content must have; the element
     that holds `held` of the selected text is the article.
     """
-    kept = []
-    for element, raw, block in nodes(page):
-        if not element.outside:
-            kept.append((element, entities.unescape(raw) if "&" in raw else raw, block))
-    texts = [(e, " ".join(t.split()), b) for e, t, b in kept]
-    real = [(e, t, b) for e, t, b in texts if t]
+    parsed = Page(page)
+    kept = [(e, entities.unescape(t) if "&" in t else t, b) for e, t, b in parsed.texts if not e.outside]
+    real = [(e, flat, b) for e, flat, b in ((e, " ".join(t.split()), b) for e, t, b in kept) if flat]
     if not real:
         return ""
     n, length, marks = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -145,32 +169,23 @@ def main_text(page: str, reach: float = 0.5, held: float = 0.8) -> str:
     by_marks = smoothed(np.array([marks[e.path] / n[e.path] for e, _, _ in real]))
     fused = by_length * (by_marks + 0.1)
     chosen = fused >= min(reach * fused.std(), fused.max())
-    total = 0
     for (e, t, _), c in zip(real, chosen):
-        if c:
-            total += len(t)
-            while e is not None:
-                e.chars += len(t)
-                e = e.parent
-    article, deepest = None, -1
-    for (e, _, _), c in zip(real, chosen):
-        while c and e is not None and (e.chars < held * total or e.tag not in SECTIONS):
-            e = e.parent
-        if c and e is not None and e.path.count("/") > deepest:
-            article, deepest = e, e.path.count("/")
+        e.chars += len(t) if c else 0
+    for e in reversed(parsed.elements):  # children come after their parents
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    article = max((e for e in parsed.elements if e.tag in SECTIONS and e.chars >= held * parsed.top.chars),
+                  key=lambda e: e.depth)
+    for e in parsed.elements:
+        e.inside = e is article or bool(e.parent and e.parent.inside)
     selected = {b for (_, _, b), c in zip(real, chosen) if c}
     first, last = min(selected), max(selected)
     loose = article.tag in ("", "html", "body")
     parts, linked = defaultdict(list), defaultdict(int)
     for e, t, b in kept:
-        above, in_link, inside = e, False, False
-        while above is not None:
-            in_link = in_link or above.tag == "a"
-            inside = inside or above is article
-            above = above.parent
-        if inside and (not loose or first <= b <= last):
+        if e.inside and (not loose or first <= b <= last):
             parts[b].append(t)
-            linked[b] += len(t.strip()) if in_link else 0
+            linked[b] += len(t.strip()) if e.linked else 0
     blocks = []
     for b in sorted(parts):
         text = " ".join("".join(parts[b]).split())
