@@ -58,7 +58,7 @@ def naive_bayes_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
     return toxicity.scored(docs, model).select(
-        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
