@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from emberlog import functions as fn
 from emberlog.operators.common import small
 
-NODE_KINDS = ["Host", "User", "Process", "File", "RegistryKey", "IPAddress", "Domain", "Hash",
-              "NetworkFlow", "Event", "Email"]
-
-
 def nodes(df: DataFrame, kind: str, column: str) -> DataFrame:
     """Nodes of one kind from a column."""
     return df.select(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("id")).filter(

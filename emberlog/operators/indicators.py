@@ -177,7 +177,7 @@ def drop_popular(iocs: DataFrame, ranks: DataFrame, threshold: int = 50_000) ->
 
 
 def union_indicators(parts) -> DataFrame:
-    """Distinct indicators of several sources; sha1 values that are md5 values elsewhere drop out."""
+    """Distinct indicators of several sources; well-known curve constants drop out of the hashes."""
     merged = reduce(lambda a, b: a.unionByName(b), parts).select(
         "case_id", "ioc_type", "value").distinct()
     constants = F.col("value").isin(fx.CURVE_CONSTANTS)

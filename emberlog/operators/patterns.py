@@ -49,6 +49,24 @@ def family_summary(lines: DataFrame, families: dict, user: str, line: str = "lin
     return totals.join(top_list(per_user, ["family"], user, "n", k), "family")
 
 
+def family_triage(hits: DataFrame, host: str = "host", user: str = "user", ts: str = "ts",
+                  priority=None, k: int = 5) -> DataFrame:
+    """Per family: hits, first and last time, busiest hosts and users, and rank in the priority list.
+
+    Hits are reduced to one row per family, host and user first; both top lists come from that table.
+    """
+    order = fx.SHELL_PRIORITY if priority is None else list(priority)
+    per = hits.groupBy("family", host, user).agg(
+        F.count("*").alias("n"), F.min(ts).alias("a"), F.max(ts).alias("b"))
+    totals = per.groupBy("family").agg(
+        F.sum("n").alias("event_count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
+    tops = [top_list(per.groupBy("family", c).agg(F.sum("n").alias("n")), ["family"], c, "n", k, name)
+            for c, name in ((host, "top_hosts"), (user, "top_users"))]
+    place = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("family"))
+    return totals.join(tops[0], "family").join(tops[1], "family").withColumn(
+        "priority", F.when(place > 0, place).otherwise(len(order) + 1).cast("int"))
+
+
 def script_matches(rows: DataFrame, families: dict, text: str = "text") -> DataFrame:
     """Families found in a script or in what its base64 runs decode to."""
     forms = explode_rows(rows, F.concat(

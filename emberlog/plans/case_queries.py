@@ -249,6 +249,29 @@ def shell_families(spark, sf):
         "doc_id", "family").distinct()
 
 
+@query("shell_triage", """
+WITH h AS (SELECT doc_id, lang AS host, source AS "user", unnest(CASE doc_id % 5
+  WHEN 0 THEN ['reverse_shell'] WHEN 1 THEN ['defense_evasion']
+  WHEN 3 THEN ['credential_access', 'concealment_tooling'] ELSE [] END) AS family FROM documents),
+c AS (SELECT family, host, count(*) AS n FROM h GROUP BY ALL),
+u AS (SELECT family, "user", count(*) AS n FROM h GROUP BY ALL),
+cr AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, host) AS r FROM c),
+ur AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, "user") AS r FROM u)
+SELECT family, count(*) AS event_count, min(doc_id) AS first_seen, max(doc_id) AS last_seen,
+  (SELECT string_agg(host || '=' || n, ';' ORDER BY r) FROM cr WHERE cr.family = h.family AND r <= 5)
+    AS top_hosts,
+  (SELECT string_agg("user" || '=' || n, ';' ORDER BY r) FROM ur WHERE ur.family = h.family AND r <= 5)
+    AS top_users,
+  CASE family WHEN 'reverse_shell' THEN 1 WHEN 'credential_access' THEN 2 WHEN 'defense_evasion' THEN 3
+    ELSE 9 END AS priority FROM h GROUP BY family""")
+def shell_triage(spark, sf):
+    rows = patterns.text_lines(planted(spark, sf, SHELL_PHRASES), keep=["doc_id", "lang", "source"])
+    hits = patterns.family_matches(rows, fp.SHELL_FAMILIES).select(
+        "doc_id", "lang", "source", "family").distinct()
+    out = patterns.family_triage(hits, "lang", "source", "doc_id")
+    return out.withColumns({c: common.show_top(F.col(c)) for c in ("top_hosts", "top_users")})
+
+
 LEXICON = {"a": ["idiot", "token", "password"], "b": ["clown", "copyright", "license"],
            "c": ["loser", "email", "stupid"]}
 
