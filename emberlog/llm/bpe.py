@@ -38,14 +38,11 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     n = len(piece)
     if n == 1 or piece in ranks:
         return [piece]
-    shift = n.bit_length()
-    size, none = 1 << (n - 1).bit_length(), 1 << 62
-    rank = ranks.get
-    tree = [none] * (2 * size)
-    for at in range(n - 1):
-        r = rank(piece[at:at + 2])
-        if r is not None:
-            tree[size + at] = r << shift | at
+    shift, rank, none = n.bit_length(), ranks.get, 1 << 62
+    size = 1 << (n - 2).bit_length()
+    tree = [none] * size
+    tree += [none if (r := rank(piece[at:at + 2])) is None else r << shift | at for at in range(n - 1)]
+    tree += [none] * (2 * size - len(tree))
     for node in range(size - 1, 0, -1):
         a, b = tree[2 * node], tree[2 * node + 1]
         tree[node] = a if a < b else b
@@ -55,28 +52,28 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
         at = top & mask
         gone = end[at]
         stop = end[at] = end[gone]
-        value = none
+        value, other = none, none
         if stop < n:
             left[stop] = at
             if (r := rank(piece[at:end[stop]])) is not None:
                 value = r << shift | at
-        points = [(at, value), (gone, none)]
-        if (before := left[at]) >= 0:
-            r = rank(piece[before:stop])
-            points.append((before, none if r is None else r << shift | before))
-        for leaf, value in points:
-            node = size + leaf
-            if tree[node] == value:
+        if (before := left[at]) < 0:
+            changed = (at, value), (gone, none)
+        else:
+            if (r := rank(piece[before:stop])) is not None:
+                other = r << shift | before
+            changed = (at, value), (gone, none), (before, other)
+        for node, value in changed:
+            node += size
+            if node >= 2 * size:  # the last byte starts no pair
                 continue
-            tree[node] = value
-            while node > 1:
-                other = tree[node ^ 1]
-                if other < value:
-                    value = other
-                node >>= 1
-                if tree[node] == value:
-                    break
+            while tree[node] != value:
                 tree[node] = value
+                if node == 1:
+                    break
+                if (sibling := tree[node ^ 1]) < value:
+                    value = sibling
+                node >>= 1
     tokens, at = [], 0
     while at < n:
         tokens.append(piece[at:end[at]])
@@ -93,8 +90,8 @@ class BytePairs:
         self.ranks = read_ranks(path)
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self.pieces = Memo(self.piece, 300_000)
-        self.chunks = Memo(self.chunk, 150_000)
+        self.pieces = Memo(self.piece, 100_000)
+        self.chunks = Memo(self.chunk, 400_000)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> BytePairs:
@@ -106,6 +103,9 @@ class BytePairs:
         return tuple(map(self.ranks.__getitem__, merged(piece.encode("utf-8"), self.ranks)))
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return self.piece(chunk)  # letters alone are one match
         short = self.pieces
         return tuple(i for piece in self.split.findall(chunk) for i in (
             short[piece] if len(piece) < 64 else self.piece(piece)))
