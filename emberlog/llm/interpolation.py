@@ -89,8 +89,19 @@ class Batch:
         h = mix(keys[self.before] * np.uint64(0x9E3779B97F4A7C15) + keys[self.tokens])
         return np.unique(h >> np.uint64(shift) << np.uint64(shift), return_inverse=True)
 
-    def counted(self, place: np.ndarray, n: int, part: int) -> np.ndarray:
-        return np.bincount(place[self.part == part], minlength=n)
+    def word_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys and their counts in the documents to learn from and to tune with; START counts texts."""
+        keys, place = self.words()
+        counts = []
+        for part in (LEARN, TUNE):
+            n = np.bincount(place[self.tokens[self.part == part]], minlength=len(keys))
+            n[place[-1]] += int((self.parts == part).sum())
+            counts.append(n)
+        return keys, counts
+
+    def pair_counts(self, shift: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, place = self.pairs(shift)
+        return keys, [np.bincount(place[self.part == p], minlength=len(keys)) for p in (LEARN, TUNE)]
 
 
 def batches(docs: DataFrame, part: Column, id: str, text: str, batch_tokens: int) -> DataFrame:
@@ -144,12 +155,7 @@ def counted(gathered: DataFrame, ranges: int, shift: int) -> DataFrame:
             for row in batch.to_pylist():
                 b, out = Batch.of_row(row), defaultdict(list)
                 lists = []
-                for keys, place in (b.words(), b.pairs(shift)):
-                    if len(keys) == len(b.keys) + 1 and not lists:
-                        n = [np.bincount(place[np.concatenate([b.tokens[b.part == p], np.full(int(
-                            (b.parts == p).sum()), len(b.keys))])], minlength=len(keys)) for p in (LEARN, TUNE)]
-                    else:
-                        n = [b.counted(place, len(keys), p) for p in (LEARN, TUNE)]
+                for keys, n in (b.word_counts(), b.pair_counts(shift)):
                     lists.append((keys, *n, np.append(np.searchsorted(keys, bounds), len(keys))))
                 for r in range(ranges):
                     parts = [(k[c[r]:c[r + 1]], l[c[r]:c[r + 1]], t[c[r]:c[r + 1]]) for k, l, t, c in lists]

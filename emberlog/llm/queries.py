@@ -6,8 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberlog.llm import (exact_dedup, interpolation, multi_index, order_minhash, packing, sharding, tag_paths,
-                          toxicity, warc)
+from emberlog.llm import (
+    exact_dedup, interpolation, multi_index, order_minhash, packing, sharding, tag_paths, toxicity, warc)
 from emberlog.llm.bpe import decoded, encoded
 from emberlog.llm.common import read
 from emberlog.plans.registry import query
@@ -70,7 +70,8 @@ def stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Base32 of a hex digest `h`: every five hex digits are four letters.
 BASE32 = " || ".join(
-    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {at}, 5))::BIGINT >> {by}) & 31)::INT + 1, 1)"
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    f"((('0x' || substr(h, {at}, 5))::BIGINT >> {by}) & 31)::INT + 1, 1)"
     for at in range(1, 41, 5) for by in (15, 10, 5, 0))
 
 

@@ -18,9 +18,10 @@ def sharded(docs: DataFrame, shards: int = 40, *, id: str = "doc_id", text: str
     """One row per document: doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `rows`: shard sizes differ by one row at most. A shard has its share of every source up to
-    one row and that share of the number of sources, whatever the shard's size. Size is the text's UTF-8 bytes plus `overhead`; null texts have no bytes. A null
-    source is a source of its own. Repeated rows are rows like any other. Slots count from 0 in each
-    shard. `grown_shard` is null, as this law has no stable growth. An empty table gives no rows.
+    one row and that share of the number of sources, whatever the shard's size. Size is the text's UTF-8
+    bytes plus `overhead`; null texts have no bytes. A null source is a source of its own. Repeated rows
+    are rows like any other. Slots count from 0 in each shard. `grown_shard` is null, as this law has no
+    stable growth. An empty table gives no rows.
     """
     content = F.coalesce("text", F.lit(""))
     rows = only(docs, id, text, source).toDF("doc_id", "text", "source").select(
