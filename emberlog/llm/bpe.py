@@ -143,6 +143,14 @@ def decoded(rows: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: st
                    lambda pairs, i: pairs.decode(i or []), ranks, pattern)
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column; their numbers are turned to Python's in one go."""
+    at = column.offsets.to_pylist()
+    flat = column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).tolist()
+    for start, stop, valid in zip(at, at[1:], column.is_valid().to_pylist()):
+        yield flat[start - at[0]:stop - at[0]] if valid else None
+
+
 def _mapped(rows: DataFrame, source: str, out: str, kind, sql: str, each, ranks: str, pattern: str
             ) -> DataFrame:
     ship(rows.sparkSession)
@@ -155,7 +163,9 @@ def _mapped(rows: DataFrame, source: str, out: str, kind, sql: str, each, ranks:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                made = pa.array([each(pairs, x) for x in part.column(source).to_pylist()], kind)
+                column = part.column(source)
+                values = _lists(column) if pa.types.is_list(column.type) else column.to_pylist()
+                made = pa.array([each(pairs, x) for x in values], kind)
                 columns = {n: part.column(n) for n in part.schema.names if n != out} | {out: made}
                 yield pa.RecordBatch.from_pydict(columns)
 
