@@ -3,8 +3,9 @@
 Text nodes with the same path of tags from the root share a design role. For every path of a page the
 text length and the punctuation per node are taken, both are smoothed over the page in reading order and
 fused by their product, and nodes whose fused ratio reaches a share of the page's spread select content.
-The element that holds most of the selected text then gives the article: all blocks in it, but not those
-in menus, adverts, forms and the like, nor blocks that are mostly links.
+The lowest element that holds all selected text but links, or the article or main element around it, then gives the
+article: all blocks in it, and those from the heading before it on, but not those in menus, adverts, forms
+and the like.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 CONTAINERS = frozenset("html body div article main section aside nav header footer form table ul ol dl tbody "
                        "thead blockquote figure td th li dd fieldset button".split())
 #: Elements that can be an article as a whole.
-SECTIONS = frozenset(["", "html", "body", "div", "article", "main", "section", "td"])
+SECTIONS = frozenset(["", "html", "body", "div", "article", "main", "section"])
 #: Elements that are never part of an article.
 OUTSIDE = frozenset("head nav header footer aside form script style noscript template button select iframe "
                     "svg canvas object dialog menu textarea title".split())
@@ -54,7 +55,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 class Element:
     """An open or closed element; `path` numbers the tag path from the root."""
 
-    __slots__ = ("tag", "parent", "path", "depth", "outside", "linked", "chars", "inside")
+    __slots__ = ("tag", "parent", "path", "depth", "outside", "linked", "heading", "chars", "inside")
 
     def __init__(self, tag: str, parent: Element | None, outside: bool, paths: dict) -> None:
         self.tag, self.parent, self.chars, self.inside = tag, parent, 0, False
@@ -62,6 +63,7 @@ class Element:
         self.depth = parent.depth + 1 if parent else 0
         self.outside = outside or bool(parent and parent.outside)
         self.linked = tag == "a" or bool(parent and parent.linked)
+        self.heading = tag if tag in ("h1", "h2") else parent.heading if parent else ""
 
 
 class Page:
@@ -149,11 +151,38 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, kernel, "same")[:len(x)] / weight[:len(x)] if len(x) >= 5 else x
 
 
-def main_text(page: str, reach: float = 0.5, held: float = 0.8) -> str:
+def around(element: Element) -> Element:
+    """The nearest article element around an element, or else the nearest main element, or else itself."""
+    for tag in ("article", "main"):
+        e = element
+        while e is not None:
+            if e.tag == tag:
+                return e
+            e = e.parent
+    return element
+
+
+def title_at(kept: list[tuple[Element, str, int]]) -> tuple[int, int]:
+    """Places of the text with which the article starts, which may be the heading before it, and of its own first.
+
+    Headings are looked for where the article has none of that rank.
+    """
+    inside = [i for i, (e, _, _) in enumerate(kept) if e.inside]
+    ranks = {kept[i][0].heading for i in inside}
+    for tag in ("h1", "h2"):
+        before = [i for i, (e, t, _) in enumerate(kept[:inside[0]]) if e.heading == tag and t.strip()]
+        if tag in ranks:
+            break
+        if before:
+            return min(i for i in before if kept[i][2] == kept[before[-1]][2]), inside[0]
+    return inside[0], inside[0]
+
+
+def main_text(page: str, reach: float = 0.5) -> str:
     """The article of a page as blocks joined by blank lines; empty if there is none.
 
-    `reach` is the share of the standard deviation of fused ratios that content must have; the element
-    that holds `held` of the selected text is the article.
+    `reach` is the share of the standard deviation of fused ratios that content must have. On a page
+    without a container, blocks of nothing but links before or after all content are its menu.
     """
     parsed = Page(page)
     kept = [(e, entities.unescape(t) if "&" in t else t, b) for e, t, b in parsed.texts if not e.outside]
@@ -169,27 +198,33 @@ def main_text(page: str, reach: float = 0.5, held: float = 0.8) -> str:
     by_marks = smoothed(np.array([marks[e.path] / n[e.path] for e, _, _ in real]))
     fused = by_length * (by_marks + 0.1)
     chosen = fused >= min(reach * fused.std(), fused.max())
-    for (e, t, _), c in zip(real, chosen):
+    # smoothing reaches into menus, so links widen the article only where nothing else is selected
+    plainly = [c and not e.linked for (e, _, _), c in zip(real, chosen)]
+    if not any(plainly):
+        plainly = chosen
+    for (e, t, _), c in zip(real, plainly):
         e.chars += len(t) if c else 0
     for e in reversed(parsed.elements):  # children come after their parents
         if e.parent is not None:
             e.parent.chars += e.chars
-    article = max((e for e in parsed.elements if e.tag in SECTIONS and e.chars >= held * parsed.top.chars),
-                  key=lambda e: e.depth)
+    article = around(max((e for e in parsed.elements if e.tag in SECTIONS and e.chars == parsed.top.chars),
+                         key=lambda e: e.depth))
     for e in parsed.elements:
         e.inside = e is article or bool(e.parent and e.parent.inside)
-    selected = {b for (_, _, b), c in zip(real, chosen) if c}
+    start, own = title_at(kept)
+    selected = {b for (_, _, b), c in zip(real, plainly) if c}
     first, last = min(selected), max(selected)
     loose = article.tag in ("", "html", "body")
-    parts, linked = defaultdict(list), defaultdict(int)
-    for e, t, b in kept:
-        if e.inside and (not loose or first <= b <= last):
+    parts, plain = defaultdict(list), set()
+    for i, (e, t, b) in enumerate(kept):
+        if e.inside or start <= i < own:
             parts[b].append(t)
-            linked[b] += len(t.strip()) if e.linked else 0
+            if t.strip() and not e.linked:
+                plain.add(b)
     blocks = []
     for b in sorted(parts):
         text = " ".join("".join(parts[b]).split())
-        if text and (b in selected or linked[b] <= len(text) / 2):
+        if text and (b in plain or not loose or first <= b <= last):
             blocks.append(text)
     return "\n\n".join(blocks)
 

@@ -34,6 +34,44 @@ def test_without_article_element():
     assert main_text(html).split("\n\n") == [f"{p} {p} {p}".replace("&amp;", "&") for p in PARAGRAPHS]
 
 
+LONG = [f"{p} {p} {p}".replace("&amp;", "and") for p in PARAGRAPHS]
+
+
+def blocks(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_heading_outside_the_body_div():
+    body = f"<div>{blocks(*LONG)}</div>"
+    menu = "<nav><a href='/'>Home</a></nav>"
+    for html in (f"<body>{menu}<article><h1>Title</h1>{body}</article></body>",
+                 f"<body>{menu}<main><h1>Title</h1><article>{body}</article></main></body>",
+                 f"<body>{menu}<div><h1>Title</h1>{body}</div></body>",
+                 f"<body>{menu}<h1>Ti<i>tle</i></h1>{body}</body>"):
+        assert main_text(html).split("\n\n") == ["Title", *LONG], html
+
+
+def test_unequal_sibling_sections():
+    most, rest = LONG * 2, ["A last section, which is short, ends it."]
+    for tag in ("section", "div"):
+        html = f"<article><{tag}>{blocks(*most)}</{tag}><{tag}>{blocks(*rest)}</{tag}></article>"
+        assert main_text(f"<body><nav>Menu</nav>{html}</body>").split("\n\n") == most + rest
+    table = f"<p>Before.</p><table><tr><td>{blocks(*LONG)}</td></tr></table><p>After.</p>"
+    assert main_text(f"<body><div>{table}</div></body>").split("\n\n") == ["Before.", *LONG, "After."]
+
+
+def test_links_of_the_article_stay():
+    items = "<ul><li><a href=/1>A source</a></li><li><a href=/2>Another source</a></li></ul>"
+    html = f"<body><article>{blocks(*LONG)}{items}</article></body>"
+    assert main_text(html).split("\n\n") == [*LONG, "A source", "Another source"]
+
+
+def test_page_without_container():
+    html = f"<ul><li><a href='/'>Home</a></li></ul><h1>Title</h1>{blocks(*LONG)}<p>Bye</p><footer>(c)</footer>"
+    for page in (html, f"<html><body>{html}</body></html>"):
+        assert main_text(page).split("\n\n") == ["Title", *LONG, "Bye"]
+
+
 def test_odd_input():
     assert main_text("") == "" == main_text("<div></div>") == main_text("<script>a, b.</script>")
     assert main_text("just   text, no tags") == "just text, no tags"
