@@ -97,6 +97,62 @@ def similar_across_cases(digests: DataFrame, max_distance: int = 8) -> DataFrame
 
 # --- context-triggered hashes ------------------------------------------------------------------
 
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Low six bits of a 32-bit FNV hash after the next byte, both times 64; the others never reach them.
+_NEXT = [((state * 0x13 ^ c) & 63) << 6 for state in range(64) for c in range(64)]
+
+
+def fuzzy_digest(data: bytes) -> str:
+    """Context-triggered piecewise hash (ssdeep) of all bytes: block size, and signatures at it and its double.
+
+    A rolling hash of seven bytes ends the pieces, so an edit changes only the piece it is in. The block
+    size is 3 times a power of two, by length, and halved until there are 32 pieces.
+    """
+    import numpy as np
+    n = len(data)
+    c = np.concatenate([np.zeros(6, dtype=np.uint32), np.frombuffer(data, dtype=np.uint8).astype(np.uint32)])
+    roll = np.zeros(n, dtype=np.uint32)
+    shifted = np.zeros(n, dtype=np.uint32)
+    for back in range(7):
+        x = c[6 - back:6 - back + n]
+        roll += x * np.uint32(8 - back)  # the sum and the weighted sum of the window
+        shifted ^= x << np.uint32(5 * back)
+    roll += shifted
+    low = data.translate(bytes(b & 63 for b in range(256)))
+
+    def signature(block: int, most: int) -> str:
+        at = (np.flatnonzero(roll % np.uint32(block) == block - 1) + 1).tolist()
+        out, start = [], 0
+        for end in at[:most - 1] + [n]:
+            state = 0x27 << 6
+            for b in low[start:end]:
+                state = _NEXT[state | b]
+            out.append(_BASE64[state >> 6])
+            start = end
+        if n and roll[-1] == 0 and len(at) < most:  # as the original, which then adds no last piece
+            out.pop()
+        return "".join(out) if n else ""
+
+    block = 3
+    while block * 64 < n:
+        block *= 2
+    while block > 3 and np.count_nonzero(roll % np.uint32(block) == block - 1) + (roll[-1] != 0) < 32:
+        block //= 2
+    return f"{block}:{signature(block, 64)}:{signature(block * 2, 32)}"
+
+
+@F.pandas_udf(T.StringType())
+def _fuzzy_digests(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else fuzzy_digest(t.encode("utf-8", "surrogatepass"))
+                      for t in texts], dtype=object)
+
+
+def fuzzy_digests(texts: DataFrame, text: str = "text") -> DataFrame:
+    """ssdeep of every text, read whole; null texts have none."""
+    ship(texts.sparkSession)
+    return texts.select(_fuzzy_digests(text).alias("ssdeep"))
+
+
 def _edit_cost(a: str, b: str) -> int:
     """Insert and delete cost one, replace costs two: both lengths minus twice the common part.
 

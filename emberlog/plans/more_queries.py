@@ -77,10 +77,7 @@ def unknown_owners(spark, sf):
 
 @query("similar_fuzzy_hashes")
 def similar_fuzzy_hashes(spark, sf):
-    letters = F.regexp_replace("text", "[^A-Za-z0-9]", "")
-    d = table(spark, sf, "documents").select(F.concat_ws(
-        ":", F.lit("96"), F.substring(letters, 1, 60), F.substring(letters, 61, 30)).alias("ssdeep"))
-    return similarity.fuzzy_neighbours(d)
+    return similarity.fuzzy_neighbours(similarity.fuzzy_digests(table(spark, sf, "documents")))
 
 
 @query("similar_locality_hashes")

@@ -124,6 +124,51 @@ def test_fuzzy_hash_scores(spark):
     assert len(got) == 1 and got[0].score > 80
 
 
+def plain_digest(data):
+    """ssdeep byte by byte, as its original does it."""
+    def run(block, most):
+        out, window, h3, state, roll = "", [0] * 7, 0, 0x28021967, 0
+        kept = ""
+        for c in data:
+            window = window[1:] + [c]
+            h3 = (h3 << 5 ^ c) & 0xFFFFFFFF
+            roll = (sum(window) + sum((i + 1) * x for i, x in enumerate(window)) + h3) & 0xFFFFFFFF
+            state = (state * 0x01000193 ^ c) & 0xFFFFFFFF
+            if roll % block == block - 1:
+                kept = similarity._BASE64[state % 64]
+                if len(out) < most - 1:
+                    out, kept, state = out + kept, "", 0x28021967
+        return out + (similarity._BASE64[state % 64] if roll else kept)
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(run(block, 64)) < 32:
+        block //= 2
+    return f"{block}:{run(block, 64)}:{run(block * 2, 32)}"
+
+
+def test_fuzzy_digests_read_the_whole_text(spark):
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    body = prose(600)
+    texts = ["", "a", "é" * 50, "a" * 5000, prose(10), prose(3000), body, prose(40) + body,
+             body[:200] + prose(600), body[:-300] + prose(5), body]
+    for t in texts + [bytes(rng.choices(range(256), k=k)).decode("latin-1") for k in range(1, 900, 60)]:
+        assert similarity.fuzzy_digest(t.encode()) == plain_digest(t.encode()), t
+    assert similarity.fuzzy_digest(b"a" * 7 + b"\0" * 9) == plain_digest(b"a" * 7 + b"\0" * 9)
+    digests = similarity.fuzzy_digests(spark.createDataFrame([(t,) for t in texts + [None]], "text STRING"))
+    got = {frozenset((r.hash_a, r.hash_b)): r.score for r in similarity.fuzzy_neighbours(digests).collect()}
+    alone = sorted({plain_digest(t.encode()) for t in texts})
+    scores = similarity._fuzzy_score.func
+    pairs = list(itertools.combinations(alone, 2))
+    want = {frozenset(p): int(scores([p[0]], [p[1]]).iloc[0]) for p in pairs}
+    assert got == {p: s for p, s in want.items() if s >= 20}
+    whole, moved, start = (plain_digest(texts[i].encode()) for i in (6, 7, 8))
+    assert frozenset((whole, moved)) in got and whole != start
+
+
 def test_locality_hash_distance(spark):
     def h(length, body):
         return f"T100{length % 16:x}{length // 16:x}00" + body
