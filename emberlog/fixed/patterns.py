@@ -115,20 +115,23 @@ TRADE_SYMBOLS = ["❄", "🍁", "💊", "🌿", "💎", "🔥", "🍫"]
 
 # --- fixed values: malware fingerprints: family -> (pattern, contexts, benign pattern) ----------------
 ANY, CODE, SCRIPT = ("memory", "network", "disk", "log"), ("memory",), ("memory", "log")
-URLS, NAMES, DISK = ("network",), ("network",), ("disk",)
+URLS, NAMES, DISK = ("network", "memory"), ("network", "log"), ("disk",)
 ANALYTICS = r"(?i)google-analytics|googletagmanager|doubleclick"
 MALWARE_FAMILIES = {
     "mimikatz": [
         (r"(?i)\bmimikatz\b", ANY, None), (r"(?i)\bsekurlsa::", SCRIPT, None),
         (r"(?i)\bkerberos::", SCRIPT, None), (r"(?i)\blsadump::", SCRIPT, None),
-        (r"(?i)Benjamin DELPY", CODE, None), (r"(?i)gentilkiwi", CODE, None)],
+        (r"(?i)Benjamin DELPY", CODE, None), (r"(?i)gentilkiwi", CODE, None),
+        (r"(?i)\bsekurlsa\b.{0,30}\b(logonpasswords|wdigest|kerberos|tspkg|msv)\b", SCRIPT, None)],
     "lumma_stealer": [
         (r"(?i)\bLummaC2\b", ANY, None), (r"TeslaBrowser/5\.5", URLS, None),
         (r"/api/set_agent\?[^\"\s]{0,300}\btoken=", URLS, None),
-        (r"(?i)\bact=(life|recive_message|receive_message)\b", URLS, None)],
+        (r"(?i)\bact=(life|recive_message|receive_message)\b", URLS, None),
+        (r"/api/set_agent\?[^\"\s]{0,300}\bact=log\b", URLS, None)],
     "cobalt_strike": [
         (r"(?i)\bcobalt[\s_-]?strike\b", ANY, None), (r"/__utm\.gif", URLS, ANALYTICS),
         (r"/dpixel", URLS, None), (r"\bMZARUH\b", CODE, None),
+        (r"(?i)\bxor[ _]decode_loop\b", CODE, None),
         (r"(?i)\bbeacon[\s_]post[\s_]request\b", CODE, None)],
     "metasploit_meterpreter": [
         (r"(?i)\bmeterpreter\b", ANY, None), (r"(?i)\bmsf::", SCRIPT, None),
@@ -140,11 +143,15 @@ MALWARE_FAMILIES = {
     "finfisher": [
         (r"(?i)\bmsnetobj\.dll\b", CODE, None),
         (r"\bVM(?:Install|Uninstall)KernelDriver\b", CODE, None),
+        (r"\bKernelDriver(?:Install|Uninstall)\b", CODE, None),
         (r"/info\?id=%u", URLS, None), (r"(?i)\bfinspy\b", ANY, None),
         (r"(?i)\bfinfisher\b", ANY, None)],
     "darkcomet_rat": [
-        (r"(?i)\bdarkcomet\b", ANY, None), (r"(?i)\bDC_MUTEX-\w+", CODE, None)],
-    "njrat": [(r"(?i)\bnjrat\b", ANY, None), (r"(?i)\bnjq8\b", CODE, None)],
+        (r"(?i)\bdarkcomet\b", ANY, None), (r"(?i)\bDC_MUTEX-\w+", CODE, None),
+        (r"(?i)\b#KCMDDC\d+#", CODE, None)],
+    "njrat": [
+        (r"(?i)\bnjrat\b", ANY, None), (r"(?i)\bnjq8\b", CODE, None),
+        (r"(?i)\bcap\d+!\?\?!", CODE, None)],
     "remcos_rat": [
         (r"(?i)\bremcos\b", ANY, None), (r"(?i)\bBreaking-Security\.Net\b", ANY, None),
         (r"(?i)\bRmc-\w+", CODE, None)],
@@ -152,22 +159,34 @@ MALWARE_FAMILIES = {
         (r"(?i)\bagent[\s_]?tesla\b", ANY, None), (r"(?i)\{[A-F0-9-]{36}\}\.exe", DISK, None)],
     "hancitor": [
         (r"(?i)/[0-9a-z]{1,4}/forum\.php\b", URLS, None), (r"(?i)/footage\.php\b", URLS, None),
+        (r"(?i)\bforum\.php\?[a-z]+=[a-zA-Z0-9_]+&[a-z]+=", URLS, None),
+        (r"(?i)/\d{3,4}s?\.bin\b", URLS, None),
         (r"(?i)/location/loca\.asp\b", URLS, None)],
     "trickbot": [
         (r"(?i)\btrickbot\b", ANY, None),
         (r"(?i)/(?:topi|table|chrls|psfin|tabDll)\.[a-z0-9]{3,5}\b", URLS, None),
-        (r"(?i)/(?:radminDll|networkDll|wormDll|mailsearcher)\b", URLS, None)],
+        (r"(?i)/(?:radminDll|networkDll|wormDll|mailsearcher)\b", URLS, None),
+        (r"/[a-z0-9]{3,8}/[A-Z0-9-]+_W[0-9]{6}\.[A-F0-9]{32}/\d+/?", URLS, None)],
     "ip_lookup_chain": [
         (r"(?i)\bcheckip\.amazonaws\.com\b", NAMES, None),
         (r"(?i)\bicanhazip\.com\b", NAMES, None), (r"(?i)\bipinfo\.io\b", NAMES, None),
-        (r"(?i)\bapi\.ipify\.org\b", NAMES, None), (r"(?i)\bip-api\.com\b", NAMES, None)],
-    "qakbot": [(r"(?i)\bqakbot\b|\bqbot\b", ANY, None)],
+        (r"(?i)\bapi\.ipify\.org\b", NAMES, None), (r"(?i)\bip-api\.com\b", NAMES, None),
+        (r"(?i)\bip\.anysrc\.net\b", NAMES, None), (r"(?i)\bwtfismyip\.com\b", NAMES, None)],
+    "qakbot": [
+        (r"(?i)\bqakbot\b|\bqbot\b", ANY, None),
+        (r"/t(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{6,12}/", URLS, None)],
     "icedid_bokbot": [
         (r"(?i)\bicedid\b|\bbokbot\b", ANY, None), (r"\?id=\d{19,}\b", URLS, None)],
-    "sliver_c2": [(r"(?i)\bsliver\b", ANY, None)],
-    "angler_ek": [(r"(?i)\bangler\b", ANY, None)],
+    "sliver_c2": [
+        (r"(?i)\bsliver\b", ANY, None),
+        (r"(?i)/(?:samples|fonts|libs|jquery)\.(?:woff2?|css|js)$", URLS, None)],
+    "angler_ek": [
+        (r"(?i)\bangler\b", ANY, None),
+        (r"(?i)/(?:login|welcome|topic|system|news|images|forums)/[a-z0-9]{5,12}\.php\?id=\d{5,12}\b",
+         URLS, None)],
     "nuclear_ek": [
         (r"(?i)\bnuclear[\s_-]?pack\b|\bnuclearek\b", ANY, None),
+        (r"(?i)\b[a-z0-9]{18,40}[a-f0-9]{32}\.[a-z0-9.-]+/index2?\.php\b", URLS, None),
         (r"(?i)/index\.php\?i=[A-Za-z0-9+/=]{50,}", URLS, None)],
     "fiesta_ek": [
         (r"(?i)\bfiesta[\s_-]?ek\b", ANY, None),

@@ -115,6 +115,23 @@ def test_hash_neighbours_against_all_pairs(spark):
         assert got == want
 
 
+def test_all_malware_patterns_of_the_reference(spark):
+    want = {"sekurlsa, then logonPasswords": "mimikatz", "/api/set_agent?id=1&act=log": "lumma_stealer",
+            "xor decode_loop": "cobalt_strike", "KernelDriverInstall": "finfisher",
+            "x#KCMDDC51#": "darkcomet_rat", "cap12!??!": "njrat", "forum.php?a=B_1&c=2": "hancitor",
+            "GET /1203s.bin": "hancitor", "ip.anysrc.net": "ip_lookup_chain",
+            "/mor1/PC-1_W617601." + "0A" * 16 + "/5/": "trickbot", "wtfismyip.com": "ip_lookup_chain",
+            "/tAB12CD/": "qakbot", "GET /fonts.woff2": "sliver_c2",
+            "/topic/abcdef.php?id=123456": "angler_ek",
+            "g" * 20 + "0a" * 16 + ".example.net/index2.php": "nuclear_ek", "/tABCDEF/": None}
+    rows = spark.createDataFrame([(line,) for line in want], "line STRING")
+    got = {(r.line, r.family) for r in patterns.fingerprint_families(rows).collect()}
+    assert got == {(line, family) for line, family in want.items() if family}
+    in_memory = {r.line for r in patterns.fingerprint_families(rows, "memory").collect()}
+    assert "GET /1203s.bin" in in_memory and "wtfismyip.com" not in in_memory
+    assert "wtfismyip.com" in {r.line for r in patterns.fingerprint_families(rows, "log").collect()}
+
+
 def test_fuzzy_hash_scores(spark):
     a = "96:abcdefghijklmnopqrstuvwxyz0123456789:abcdefghijklmnop"
     b = "96:abcdefghijklmnopqrstuvwxyz01234567XX:abcdefghijklmnop"
