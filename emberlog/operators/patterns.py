@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from emberlog import functions as fn
 from emberlog.fixed import patterns as fx
+from emberlog.operators import matching
 from emberlog.operators.common import explode_rows, top_list
 
 NONE = "array<string>"
@@ -29,21 +31,17 @@ def text_lines(rows: DataFrame, text: str = "text", keep=()) -> DataFrame:
 
 
 def family_matches(lines: DataFrame, families: dict, line: str = "line") -> DataFrame:
-    """One row per line and family; a line counts once per family.
+    """One row per line and family; a line counts once per family, whatever the case of its letters.
 
-    The patterns of a family form one alternation, so a line is scanned once per family.
+    All patterns are searched in one pass per line.
     """
-    tests = {name: F.col(line).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
-             for name, patterns in families.items()}
-    return explode_rows(lines, _present(tests), "family")
+    return explode_rows(lines, matching.line_families(lines, line, matching.rules_of(families, flags="(?i)")), "family")
 
 
-def family_summary(lines: DataFrame, families: dict, user: str, line: str = "line",
-                   k: int = 5) -> DataFrame:
-    """Lines per family, the busiest users and one sample line."""
-    hits = family_matches(lines, families, line)
-    per_user = hits.groupBy("family", user).agg(
-        F.count("*").alias("n"), F.min(line).alias("sample"))
+def family_summary(rows: DataFrame, families: dict, user: str, text: str = "text", k: int = 5) -> DataFrame:
+    """Lines per family in whole texts, the busiest users and one sample line."""
+    hits = matching.text_families(rows, matching.rules_of(families, flags="(?i)"), text, keep=[user])
+    per_user = hits.groupBy("family", user).agg(F.count("*").alias("n"), F.min("line").alias("sample"))
     totals = per_user.groupBy("family").agg(F.sum("n").alias("event_count"),
                                             F.min("sample").alias("sample"))
     return totals.join(top_list(per_user, ["family"], user, "n", k), "family")
@@ -159,19 +157,26 @@ def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), com
 def fingerprint_families(lines: DataFrame, context: str | None = None, line: str = "line",
                          families: dict | None = None) -> DataFrame:
     """Families whose fingerprints occur in the lines of a context, benign lines skipped."""
-    tests = {}
-    for name, patterns in (families or fx.MALWARE_FAMILIES).items():
-        test = None
-        for pattern, contexts, benign in patterns:
-            if context is not None and context not in contexts:
-                continue
-            hit = F.col(line).rlike(pattern)
-            if benign:
-                hit = hit & ~F.col(line).rlike(benign)
-            test = hit if test is None else test | hit
-        if test is not None:
-            tests[name] = test
-    return explode_rows(lines, _present(tests), "family")
+    rules = matching.rules_of(families or fx.MALWARE_FAMILIES, context)
+    return explode_rows(lines, matching.line_families(lines, line, rules), "family")
+
+
+def fingerprint_lines(rows: DataFrame, context: str | None = None, text: str = "text", keep=(),
+                      families: dict | None = None) -> DataFrame:
+    """As `fingerprint_families`, over whole texts: the kept columns, line_no, line and family per hit line."""
+    return matching.text_families(rows, matching.rules_of(families or fx.MALWARE_FAMILIES, context), text, keep)
+
+
+def fingerprint_matches(rows: DataFrame, context: str | None = None, text: str = "text", keep=(),
+                        families: dict | None = None) -> DataFrame:
+    """Every match of a fingerprint in whole texts, with its pattern's number, place and snippet."""
+    return matching.text_matches(rows, matching.rules_of(families or fx.MALWARE_FAMILIES, context), text, keep)
+
+
+def fingerprint_snippets(matches: DataFrame, row: str, k: int = 5) -> DataFrame:
+    """The first `k` matches of each family by pattern, row and place; tasks pass on `k` per family at most."""
+    order = W.partitionBy("family").orderBy("pattern", row, "line_no", "start")
+    return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def keyword_tags(lines: DataFrame, line: str = "line", keywords=None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from emberlog import functions as fn
 from emberlog.fixed import patterns as fp
-from emberlog.operators import common, files as fl, graph, indicators, joins, mail, patterns, similarity
+from emberlog.operators import (
+    common, files as fl, graph, indicators, joins, mail, matching, patterns, similarity)
 from emberlog.plans.adapters import adapter, sql, table
 from emberlog.plans.network_queries import ENTROPY_SQL
 from emberlog.plans.registry import query
@@ -223,7 +224,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, source)
 SELECT family, CAST(sum(n) AS BIGINT) AS event_count, min(s) AS sample, string_agg(source || '='
   || n, ';' ORDER BY rn) FILTER (rn <= 5) AS top FROM r GROUP BY family""")
 def regex_families(spark, sf):
-    r = patterns.family_summary(lines(spark, sf), WORD_FAMILIES, "source")
+    r = patterns.family_summary(table(spark, sf, "documents"), WORD_FAMILIES, "source")
     return r.withColumn("top", common.show_top(F.col("top")))
 
 
@@ -330,8 +331,8 @@ FINGERPRINTS = {"leak": [("(?i)token", "disk log", "(?i)idiot"), ("(?i)secret",
 SELECT 'leak' AS family, count(*) AS n FROM lines WHERE (regexp_matches(line, '(?i)token')
   AND NOT regexp_matches(line, '(?i)idiot')) OR regexp_matches(line, '(?i)secret')""")
 def string_families(spark, sf):
-    return patterns.fingerprint_families(
-        lines(spark, sf), "log", families=FINGERPRINTS).groupBy("family").agg(
+    return patterns.fingerprint_lines(
+        table(spark, sf, "documents"), "log", families=FINGERPRINTS).groupBy("family").agg(
         F.count("*").alias("n"))
 
 
@@ -344,8 +345,73 @@ SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['mimikatz', 'empire_powershel
   THEN ['cobalt_strike'] WHEN 4 THEN ['remcos_rat', 'trickbot'] ELSE [] END) AS family
 FROM documents""")
 def malware_fingerprints(spark, sf):
-    rows = patterns.text_lines(planted(spark, sf, MALWARE), keep=["doc_id"])
-    return patterns.fingerprint_families(rows).select("doc_id", "family").distinct()
+    return patterns.fingerprint_lines(planted(spark, sf, MALWARE), keep=["doc_id"]).select(
+        "doc_id", "family").distinct()
+
+
+#: One line per fingerprint, in the order of the table, and one that a benign pattern excuses.
+EVERY_FINGERPRINT = (
+    "ran Mimikatz twice", "SEKURLSA::x", "kerberos::list", "lsadump::sam", "by Benjamin Delpy", "from gentilkiwi",
+    "sekurlsa::  then wdigest", "a LummaC2 build", "TeslaBrowser/5.5", "/api/set_agent?id=1&token=2",
+    "?act=recive_message", "/api/set_agent?id=2&act=log", "cobalt strike", "GET /__utm.gif", "GET /dpixel",
+    "MZARUH", "xor_decode_loop", "beacon post request", "meterpreter", "msf::x", "metasploit", "stdapi_sys",
+    "railgun", "Invoke-Mimikatz", "Invoke-Empire", "PowerSploit", "PowerView", "msnetobj.dll",
+    "VMInstallKernelDriver", "KernelDriverUninstall", "/info?id=%u", "finspy", "finfisher", "darkcomet",
+    "DC_MUTEX-AB1", "x#KCMDDC51#", "njrat", "njq8", "cap12!??!", "remcos", "Breaking-Security.Net", "Rmc-A1",
+    "agent tesla", "{0123ABCD-0123-0123-0123-0123456789AB}.exe", "/ls5/forum.php", "/footage.php",
+    "forum.php?a=1&b=", "/1234s.bin", "/location/loca.asp", "trickbot", "/table.png1", "/networkDll",
+    "/mor1/PC-1_W617601.0123456789ABCDEF0123456789ABCDEF/5/", "checkip.amazonaws.com", "icanhazip.com",
+    "ipinfo.io", "api.ipify.org", "ip-api.com", "ip.anysrc.net", "wtfismyip.com", "qbot", "/tABC123DE/",
+    "bokbot", "?id=1234567890123456789", "sliver", "/fonts/a /libs.woff2", "angler", "/news/abc123.php?id=123456",
+    "nuclear pack", "abcdefghij0123456789" + "0123456789abcdef" * 2 + ".example.org/index.php",
+    "/index.php?i=" + "A1" * 25, "fiesta ek", "/ai_a1b2c3/" + "0a" * 16 + ";1;2", "kuluoz",
+    "/b/eve/" + "0A" * 10, "dyreza", "/abcd12/HOST-PC/1/A.B-2/3/", "q45tyu6hgvhi7", "Reamin",
+    "GET /__utm.gif from google-analytics")
+#: Equivalents of the two look-ahead patterns for an engine without look-around: pattern, tests of the match.
+WITHOUT_LOOKAHEAD = {
+    r"/t(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{6,12}/": (r"/t[A-Z0-9]{6,12}/", ("[0-9]", "[A-Z]"))}
+
+
+def _fingerprint_sql(rule) -> str:
+    """Matches of one fingerprint with their places: texts between matches and matches follow in turn."""
+    pattern, tests = WITHOUT_LOOKAHEAD.get(rule.pattern, (rule.pattern, ()))
+    quoted = pattern.replace("'", "''")
+    benign = f" AND NOT regexp_matches(line, '{rule.benign}')" if rule.benign else ""
+    kept = "".join(f" AND regexp_matches(v, '{t}')" for t in tests)
+    return f"""SELECT doc_id, '{rule.family}' AS family, {rule.number} AS pattern, line_no, start,
+        trim(substr(line, greatest(start - 16, 0) + 1, least(start, 16) + length(v) + 16), ' ') AS snippet
+      FROM (SELECT *, m[i] AS v, (list_sum(list_transform(p[1:i], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS start
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+                  SELECT *, regexp_extract_all(line, '{quoted}') AS m, string_split_regex(line, '{quoted}') AS p
+                  FROM lines WHERE regexp_matches(line, '{quoted}'){benign}))) WHERE true{kept}"""
+
+
+FINGERPRINT_LINES = """few AS (SELECT doc_id, text || chr(10) || ([%s])[doc_id %% %d + 1] AS text FROM documents),
+  ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1
+         AS line_no FROM few),
+  lines AS (SELECT doc_id, line_no, trim(line, ' ') AS line FROM ln
+            WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '#'))""" % (
+    ", ".join(f"'{x}'" for x in EVERY_FINGERPRINT), len(EVERY_FINGERPRINT))
+FINGERPRINT_MATCHES = f"""{FINGERPRINT_LINES},
+  hits AS ({" UNION ALL ".join(_fingerprint_sql(r) for r in matching.rules_of(fp.MALWARE_FAMILIES))})"""
+
+
+@query("malware_pattern_counts", f"""WITH {FINGERPRINT_MATCHES}
+SELECT family, pattern, count(*) AS matches, count(DISTINCT doc_id) AS texts FROM hits GROUP BY family, pattern""")
+def malware_pattern_counts(spark, sf):
+    found = patterns.fingerprint_matches(planted(spark, sf, EVERY_FINGERPRINT), keep=["doc_id"])
+    per = found.groupBy("family", "pattern", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("family", "pattern").agg(F.sum("n").alias("matches"), F.count("*").alias("texts"))
+
+
+@query("malware_snippets", f"""WITH {FINGERPRINT_MATCHES}
+SELECT family, row_number() OVER (PARTITION BY family ORDER BY pattern, doc_id, line_no, start) AS rank, pattern, doc_id,
+  line_no, snippet FROM hits QUALIFY rank <= 5""")
+def malware_snippets(spark, sf):
+    found = patterns.fingerprint_matches(planted(spark, sf, EVERY_FINGERPRINT), keep=["doc_id"])
+    return patterns.fingerprint_snippets(found, "doc_id").select(
+        "family", "rank", "pattern", "doc_id", "line_no", "snippet")
 
 
 @query("keyword_tags", f"""WITH {LINES}
