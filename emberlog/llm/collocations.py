@@ -6,13 +6,15 @@ columns sums them to the frequencies of all shorter phrases, as every occurrence
 exactly one window. So n-grams of each length aren't exploded on their own.
 
 Most windows belong to no phrase that is frequent enough. A first pass counts words and word pairs in a
-table of fixed size; a bin's count is at least that of each word or pair in it, so where a bin stays under
-the bound, no candidate or part of one holds that word or pair, and a window is padded from there on. This
-loses nothing, however full the bins are; it only makes rows fewer.
+table of fixed size, a second one the longer heads of windows whose words and pairs may be frequent. A
+bin's count is at least that of each phrase in it, so where a bin stays under the bound, no candidate or
+part of one begins with that head, and a window is padded from there on. This loses nothing, however full
+the bins are; it only makes rows fewer.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,18 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from emberlog.llm.common import mix, only, powers, saved
+from emberlog.llm.common import BINS, full_bins, is_set, mix, only, powers, saved
 from emberlog.session import ship
 
-#: Bins of the table of words and pairs, and their number in one row of a task's counts.
-BINS, CHUNK = 1 << 26, 1 << 16
 #: What ends a piece: . , ; : ! ? and U+000A to U+000D; words in it are parted by space and tab.
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[*b".,;:!?", *range(10, 14)]] = True
 BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[*b" \t"]] = True
-#: Bytes of text taken at once, and windows gathered before they are passed on.
-SEGMENT, HELD = 1 << 21, 400_000
+#: Bytes of text taken at once, windows gathered before they are passed on, and buckets of phrases.
+SEGMENT, HELD, BUCKETS = 1 << 21, 400_000, 256
 
 
 def segments(texts: list[bytes]) -> Iterator[bytes]:
@@ -79,12 +79,23 @@ def parsed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return starts, ends, hashes, same
 
 
-def bins_of(hashes: np.ndarray, same: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of the words and of the pairs each word opens (which mean nothing where `same` is false)."""
-    salted = hashes ^ mix(np.array([salt], dtype=np.uint64))
-    following = np.concatenate([hashes[1:], np.zeros(min(1, len(hashes)), dtype=np.uint64)])
-    return (mix(salted) & np.uint64(BINS - 1)).astype(np.int64), (
-        mix(salted * powers(3)[1] + following * powers(3)[2]) & np.uint64(BINS - 1)).astype(np.int64)
+def bins_of(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Bins of hashes, in a group's own way."""
+    return (mix(hashes ^ mix(np.array([salt], dtype=np.uint64))) & np.uint64(BINS - 1)).astype(np.int64)
+
+
+def heads(hashes: np.ndarray, same: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each length from 2: its number of words, the hashes of the heads of all windows, and which exist.
+
+    The second and third array are as long as `hashes`; the caller may clear places of the third, and the
+    longer heads there won't exist then.
+    """
+    head, there, p = hashes, same.copy(), powers(3)
+    for words in range(2, longest + 1):
+        lead = np.concatenate([hashes[words - 1:], np.zeros(min(words - 1, len(hashes)), dtype=np.uint64)])
+        head = head * p[1] + lead * p[2] + np.uint64(words)
+        yield words, mix(head), there
+        there = there & np.concatenate([same[words - 1:], np.zeros(min(words - 1, len(same)), dtype=bool)])
 
 
 def _by_group(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
@@ -102,65 +113,49 @@ def _salt(group: str) -> int:
         powers(len(group.encode("utf-8", "surrogatepass")) + 1)[1:])) if group else 1
 
 
-def frequent_bins(rows: DataFrame, least: int) -> np.ndarray:
+def frequent_bins(rows: DataFrame, least: int, longest: int = 2, pairs: np.ndarray | None = None) -> np.ndarray:
     """One bit per bin: whether the words and pairs in it come to `least` or more over all rows.
 
-    Tasks count up to `least`, at most 255, which is enough to tell; they pass on the bins in use, the
-    sums are made by a shuffle over chunks of bins, and the driver gets one bit per bin (8 MB).
+    With the bits of words and pairs, those of longer heads up to `longest` words: only heads of words and
+    pairs whose bits are set are counted.
     """
-    cap = min(least, 255)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BINS, dtype=np.uint8)
-        for batch in batches:
-            for group, texts in _by_group(batch).items():
-                salt = _salt(group)
-                for data in segments(texts):
-                    _, _, hashes, same = parsed(data)
-                    if len(hashes):
-                        words, pairs = bins_of(hashes, same, salt)
-                        used, n = np.unique(np.concatenate([words, pairs[same]]), return_counts=True)
-                        counts[used] = np.minimum(counts[used] + n, cap)
-        used = np.flatnonzero(counts)
-        edges = np.flatnonzero(np.diff(used // CHUNK, prepend=-1))
-        for lo, hi in zip(edges, [*edges[1:], len(used)]):
-            part = used[lo:hi]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part[0]) // CHUNK], pa.int32()),
-                 pa.array([(part % CHUNK).astype(np.uint16).tobytes()], pa.binary()),
-                 pa.array([counts[part].tobytes()], pa.binary())], names=["chunk", "places", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, places, counts in zip(*(batch.column(c) for c in range(3))):
-                total = sums.setdefault(chunk.as_py(), np.zeros(CHUNK, dtype=np.uint8))
-                at = np.frombuffer(places.as_py(), dtype=np.uint16)
-                more = total[at].astype(np.int64) + np.frombuffer(counts.as_py(), dtype=np.uint8)
-                total[at] = np.minimum(more, cap)
-        for chunk, total in sums.items():
-            bits = np.packbits(total >= cap)
-            if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([bits.tobytes()], pa.binary())],
-                                                 names=["chunk", "bits"])
-
-    out = np.zeros(BINS // 8, dtype=np.uint8)
-    counted = rows.mapInArrow(count, "chunk int, places binary, counts binary").repartition("chunk")
-    for chunk, bits in counted.mapInArrow(add, "chunk int, bits binary").collect():
-        out[chunk * CHUNK // 8:(chunk + 1) * CHUNK // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return out
-
-
-def windows(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
-    """lang, phrase and n: longest windows, each padded from the first word or pair that is too rare.
-
-    Every word occurrence is in exactly one window, so that their sum is the number of words; a window
-    whose own word is too rare is the empty phrase. Tasks count alike windows before passing them on.
+    shared = None if pairs is None else rows.sparkSession.sparkContext.broadcast(pairs)  # one bit per bin
+
+    def found(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for group, texts in _by_group(batch).items():
+            salt = _salt(group)
+            for data in segments(texts):
+                _, _, hashes, same = parsed(data)
+                if not len(hashes):
+                    continue
+                if shared is None:
+                    yield bins_of(hashes, salt)
+                    _, pair, there = next(heads(hashes, same, 2))
+                    yield bins_of(pair[there], salt)
+                    continue
+                for words, head, there in heads(hashes, linked(hashes, same, salt, shared.value)[1], longest):
+                    if words > 2:
+                        yield bins_of(head[there], salt)
+
+    return full_bins(rows, found, least)
+
+
+def linked(hashes: np.ndarray, same: np.ndarray, salt: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words may be frequent, and which of them may be with the next word of their piece."""
+    known = is_set(bits, bins_of(hashes, salt))
+    _, pair, there = next(heads(hashes, same, 2))
+    return known, there & known & np.append(known[1:], False) & is_set(bits, bins_of(pair, salt))
+
+
+def windows(rows: DataFrame, pairs: np.ndarray, longer: np.ndarray, longest: int) -> DataFrame:
+    """lang, phrase and n: longest windows, each padded from the first head that is too rare.
+
+    `pairs` and `longer` are the two results of `frequent_bins`. Every word occurrence is in exactly one
+    window, so that their sum is the number of words; a window whose own word is too rare is the empty
+    phrase. Tasks count alike windows and pass them on packed, one row per lang and bucket of phrases; the
+    same windows of all tasks meet in a bucket.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(bits)  # one bit per bin
-
-    def is_set(bins: np.ndarray) -> np.ndarray:
-        return (shared.value[bins >> 3] >> (7 - (bins & 7)).astype(np.uint8) & 1).astype(bool)
+    shared = rows.sparkSession.sparkContext.broadcast((pairs, longer))  # one bit per bin
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -168,9 +163,16 @@ def windows(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for group, counter in counts.items():
+                packed: dict[int, tuple[list, list]] = {}
+                for phrase, n in counter.items():
+                    phrases, numbers = packed.setdefault(zlib.crc32(phrase) % BUCKETS, ([], []))
+                    phrases.append(phrase)
+                    numbers.append(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group] * len(counter), pa.string()), pa.array(list(counter), pa.binary()),
-                     pa.array(list(counter.values()), pa.int64())], names=["lang", "phrase", "n"])
+                    [pa.array([group] * len(packed), pa.string()), pa.array(list(packed), pa.int32()),
+                     pa.array([x[0] for x in packed.values()], pa.list_(pa.binary())),
+                     pa.array([x[1] for x in packed.values()], pa.list_(pa.int64()))],
+                    names=["lang", "bucket", "phrases", "counts"])
             counts.clear()
 
         for batch in batches:
@@ -180,15 +182,15 @@ def windows(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
                     starts, ends, hashes, same = parsed(data)
                     if not len(starts):
                         continue
-                    words, pairs = bins_of(hashes, same, salt)
-                    known = is_set(words)
-                    goes_on = same & is_set(pairs) & known & np.append(known[1:], False)
+                    known, goes_on = linked(hashes, same, salt, shared.value[0])
                     length = known.astype(np.int64)
-                    alive = goes_on.copy()
-                    for lead in range(1, longest):
-                        length += alive
-                        if lead + 1 < longest:
-                            alive &= np.append(goes_on[lead:], np.zeros(min(lead, len(goes_on)), dtype=bool))
+                    for words, head, there in heads(hashes, goes_on, longest):
+                        at = np.flatnonzero(there)
+                        if words > 2:
+                            frequent = is_set(shared.value[1], bins_of(head[at], salt))
+                            there[at[~frequent]] = False
+                            at = at[frequent]
+                        length[at] = words
                     counter[b""] += int((length == 0).sum())
                     one, more = np.flatnonzero(length == 1), np.flatnonzero(length > 1)
                     counter.update([data[s:e] for s, e in zip(starts[one].tolist(), ends[one].tolist())])
@@ -200,8 +202,24 @@ def windows(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
         if counts:
             yield from flush()
 
-    return rows.mapInArrow(work, "lang string, phrase binary, n bigint").groupBy(
-        "lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, Counter] = {}
+        for batch in batches:
+            for group, phrases, numbers in zip(*(batch.column(c) for c in (0, 2, 3))):
+                total = sums.setdefault(group.as_py(), Counter())
+                for phrase, n in zip(phrases.values.to_pylist(), numbers.values.to_pylist()):
+                    total[phrase] += n
+        for group, total in sums.items():
+            phrases, numbers = list(total), list(total.values())
+            for at in range(0, len(phrases), 10_000):
+                part = phrases[at:at + 10_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group] * len(part), pa.string()), pa.array(part, pa.binary()),
+                     pa.array(numbers[at:at + 10_000], pa.int64())], names=["lang", "phrase", "n"])
+
+    packed = rows.mapInArrow(work, "lang string, bucket int, phrases array<binary>, counts array<bigint>")
+    return packed.repartition("lang", "bucket").mapInArrow(add, "lang string, phrase binary, n bigint").select(
+        "lang", F.col("phrase").cast("string").alias("phrase"), "n")
 
 
 def frequencies(counted: DataFrame, longest: int) -> DataFrame:
@@ -269,5 +287,6 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", *, le
     ship(docs.sparkSession)
     rows = only(docs, group, text).toDF("lang", "text").select(
         F.coalesce("lang", F.lit(unknown)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    counted = windows(rows, frequent_bins(rows, least), longest)
+    pairs = frequent_bins(rows, least)
+    counted = windows(rows, pairs, frequent_bins(rows, least, longest, pairs), longest)
     return ranked(frequencies(counted, longest), least, longest, top)

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from emberlog.session import ship
 
 
+#: Bins of a counting table, and their number in one row of a task's counts.
+BINS, CHUNK = 1 << 26, 1 << 16
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, `spark.checkpoint.dir`; a local session without one gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("emberlog.scratch", None)
@@ -39,7 +44,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._emberlog_path = path
+    return out
 
 
 def numbered(rows: DataFrame, order: list[str | Column], position: str = "position",
@@ -110,6 +117,65 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], size: str, heavy:
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+def is_set(bits: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Whether the bits of these bins are set."""
+    return (bits[bins >> 3] >> (7 - (bins & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def full_bins(rows: DataFrame, found: Callable[[pa.RecordBatch], Iterator[np.ndarray]], least: int) -> np.ndarray:
+    """One bit per bin of a counting table: whether `least` or more of what is found fall into it.
+
+    `found` gives the bins of a batch. A bin's count is at least that of each thing in it, so what falls
+    into a bin that isn't full occurs less often than `least`. Tasks count up to `least`, at most 255,
+    which is enough to tell; they pass on the bins in use, the sums are made by a shuffle over chunks of
+    bins, and the driver gets one bit per bin (8 MB).
+    """
+    cap = min(least, 255)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS, dtype=np.uint8)
+        for batch in batches:
+            for bins in found(batch):
+                used, n = np.unique(bins, return_counts=True)
+                counts[used] = np.minimum(counts[used] + n, cap)
+        used = np.flatnonzero(counts)
+        edges = np.flatnonzero(np.diff(used // CHUNK, prepend=-1))
+        for lo, hi in zip(edges, [*edges[1:], len(used)]):
+            part = used[lo:hi]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(part[0]) // CHUNK], pa.int32()),
+                 pa.array([(part % CHUNK).astype(np.uint16).tobytes()], pa.binary()),
+                 pa.array([counts[part].tobytes()], pa.binary())], names=["chunk", "places", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, places, counts in zip(*(batch.column(c) for c in range(3))):
+                total = sums.setdefault(chunk.as_py(), np.zeros(CHUNK, dtype=np.uint8))
+                at = np.frombuffer(places.as_py(), dtype=np.uint16)
+                more = total[at].astype(np.int64) + np.frombuffer(counts.as_py(), dtype=np.uint8)
+                total[at] = np.minimum(more, cap)
+        for chunk, total in sums.items():
+            bits = np.packbits(total >= cap)
+            if bits.any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([bits.tobytes()], pa.binary())],
+                                                 names=["chunk", "bits"])
+
+    out = np.zeros(BINS // 8, dtype=np.uint8)
+    counted = rows.mapInArrow(count, "chunk int, places binary, counts binary").repartition("chunk")
+    for chunk, bits in counted.mapInArrow(add, "chunk int, bits binary").collect():
+        out[chunk * CHUNK // 8:(chunk + 1) * CHUNK // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete what `saved` has written for a DataFrame that nothing will read any more."""
+    path = getattr(df, "_emberlog_path", None)
+    if path is not None:
+        hadoop_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
