@@ -249,3 +249,27 @@ def stix_indicators(files: DataFrame) -> DataFrame:
 
 def _pair(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("ioc_type"), v.alias("value"))
+
+
+EVE = ("timestamp STRING, event_type STRING, src_ip STRING, dest_ip STRING, dest_port STRING, "
+       "alert STRUCT<signature_id: STRING, signature: STRING, severity: STRING, category: STRING, metadata: "
+       "STRUCT<mitre_technique_id: ARRAY<STRING>, mitre_attack_technique_id: ARRAY<STRING>>>, "
+       "fileinfo STRUCT<sha256: STRING, filename: STRING, magic: STRING, size: STRING, stored: BOOLEAN>, "
+       "http STRUCT<hostname: STRING, http_user_agent: STRING>, "
+       "dns STRUCT<type: STRING, query: STRING, rrname: STRING>, tls STRUCT<sni: STRING>, "
+       "anomaly STRUCT<event: STRING, type: STRING>")
+
+
+def eve_rows(lines: DataFrame) -> DataFrame:
+    """Events of an intrusion detector, one JSON object per line, parsed once.
+
+    Numbers that some versions write as text are texts here. Lines that are no object are dropped.
+    """
+    doc = F.from_json("value", EVE + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.withColumn("_d", doc).filter(F.col("value").rlike(r"^\s*\{"))
+    known = ["timestamp", "event_type", "src_ip", "dest_ip", "alert", "http", "dns", "tls", "anomaly", "fileinfo"]
+    parsed = F.col("_d._bad").isNull()  # it is also set where one field has another type than usual
+    for name in known:
+        parsed = parsed | F.col(f"_d.{name}").isNotNull()
+    out = rows.filter(parsed).select(*[c for c in lines.columns if c != "value"], "_d.*").drop("_bad")
+    return out.withColumn("event_type", F.lower(F.coalesce("event_type", F.lit(""))))
