@@ -51,10 +51,13 @@ def facet_counts(events: DataFrame) -> DataFrame:
         F.lit("alert_technique").alias("facet"), t.alias("value")))
     found = F.concat(F.filter(F.array(*facets), lambda f: f.isNotNull()), named)
     given = F.coalesce(F.nullif(F.col("alert.severity").try_cast("int"), F.lit(0)), F.lit(3))
-    rows = explode_rows(events, found, "_f", fn.parse_iso(F.col("timestamp")).alias("_ts"),
-                        F.coalesce(F.col("alert.signature_id").try_cast("bigint"), F.lit(0)).alias("_sid"),
-                        F.coalesce("alert.signature", F.lit("")).alias("_sig"), given.alias("_severity"),
-                        F.coalesce("alert.category", F.lit("")).alias("_category"))
+    # fields are taken out of their structs first; the rows then hold nothing nested but the facets
+    flat = events.select(
+        found.alias("_found"), fn.parse_iso(F.col("timestamp")).alias("_ts"),
+        F.coalesce(F.col("alert.signature_id").try_cast("bigint"), F.lit(0)).alias("_sid"),
+        F.coalesce("alert.signature", F.lit("")).alias("_sig"), given.alias("_severity"),
+        F.coalesce("alert.category", F.lit("")).alias("_category"))
+    rows = explode_rows(flat, F.col("_found"), "_f", "_ts", "_sid", "_sig", "_severity", "_category")
     of_alert = F.col("_f.facet").startswith("alert")
     head = F.min(F.when(of_alert, F.struct(F.col("_ts").isNull(), "_ts", "_severity", "_category")))
     return rows.groupBy(

@@ -2,19 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window as W
 
 from emberlog import functions as fn
 from emberlog.operators.files import extension
+from emberlog.session import ship
+
+
+#: Bytes read at once from a file, and of those kept as its head.
+CHUNK, HEAD = 1 << 20, 4096
+
+
+def open_uri(uri: str) -> BinaryIO:
+    """A byte stream of a file in any store pyarrow knows (local, HDFS, S3, GCS)."""
+    from pyarrow import fs
+    if uri.startswith("file:"):  # Spark spells local paths without escapes
+        return fs.LocalFileSystem().open_input_stream(re.sub(r"^file:/+", "/", uri))
+    store, path = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+    return store.open_input_stream(path)
 
 
-def read_file_listing(spark: SparkSession, path, digest: bool = True) -> DataFrame:
-    """Inventory of a tree: path, size, modification time, extension, sha256 and first bytes."""
+def list_files(spark: SparkSession, path) -> DataFrame:
+    """Inventory of a tree without reading a file: path, size, modification time and extension.
+
+    Spark's file scan leaves out files without a byte.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    out = raw.select("path", F.col("length").alias("size"), F.col("modificationTime").alias(
-        "modified"), F.substring("content", 1, 4096).alias("head"),
-        *([F.sha2("content", 256).alias("sha256")] if digest else []))
-    return out.withColumn("extension", extension(F.col("path")))
+    return raw.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).withColumn(
+        "extension", extension(F.col("path")))
+
+
+def read_file_listing(spark: SparkSession, path, digest: bool = True,
+                      opener: Callable[[str], BinaryIO] = open_uri) -> DataFrame:
+    """Inventory of a tree: path, size, modification time, extension, first bytes and, with `digest`, sha256.
+
+    Files of any size: a task reads one file after another in chunks, and only the head gets into a row;
+    without `digest` no more than the head is read. Files are dealt out by their path. `opener` opens a
+    path as Spark spells it, on the executors; a file that it can't open fails the job.
+    """
+    ship(spark)
+    files = list_files(spark, path)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, digests = [], []
+            for uri in batch.column("path").to_pylist():
+                with opener(uri) as stream:
+                    first = b""
+                    while len(first) < HEAD and (more := stream.read(CHUNK if digest else HEAD - len(first))):
+                        first += more
+                    heads.append(first[:HEAD])
+                    if digest:
+                        sha = hashlib.sha256(first)
+                        while chunk := stream.read(CHUNK):
+                            sha.update(chunk)
+                        digests.append(sha.hexdigest())
+            columns = {**{c: batch.column(c) for c in batch.schema.names}, "head": pa.array(heads, pa.binary())}
+            if digest:
+                columns["sha256"] = pa.array(digests, pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.repartition("path").mapInArrow(work, f"{kind}, head binary" + (", sha256 string" if digest else ""))
 
 
 def log_kind(path: Column, head: Column) -> Column:
@@ -50,14 +107,58 @@ def route_files(listing: DataFrame) -> DataFrame:
 TIME_FIELDS = ["_ts", "Timestamp", "timestamp", "TimeCreated", "Mtime", "ModTime", "EventTime"]
 
 
-def collection_profile(rows: DataFrame, artifact: str = "artifact") -> DataFrame:
-    """Rows, columns and time range per artifact of collected JSON rows (column value)."""
+def _profiled(rows: DataFrame, artifact: str, time: Column, keys: Column, row: Column, sample: int) -> DataFrame:
+    """Rows, columns, time range and a sample per artifact, of which all counts are combined map-side.
+
+    The sample holds the rows with the least hashes, so it is the same however the rows are partitioned;
+    tasks pass on no more than `sample` rows per artifact. Equal rows count as one in it.
+    """
+    per = rows.select(F.col(artifact).alias("_artifact"), time.alias("_t"), keys.alias("_k"), row.alias("_row"))
+    totals = per.groupBy("_artifact").agg(F.count("*").alias("rows"), F.min("_t").alias("first_seen"),
+                                          F.max("_t").alias("last_seen"))
+    cols = per.select("_artifact", F.explode("_k").alias("_c")).distinct().groupBy("_artifact").agg(
+        F.count("*").alias("columns"))
+    out = totals.join(cols, "_artifact", "left")
+    if sample:
+        least = W.partitionBy("_artifact").orderBy("_h", "_row")
+        few = per.select("_artifact", F.xxhash64("_row").alias("_h"), "_row").withColumn(
+            "_r", F.dense_rank().over(least)).filter(F.col("_r") <= sample).dropDuplicates(["_artifact", "_r"])
+        kept = few.groupBy("_artifact").agg(F.transform(
+            F.sort_array(F.collect_list(F.struct("_r", "_row"))), lambda s: s["_row"]).alias("sample"))
+        out = out.join(kept, "_artifact", "left")
+    return out.withColumnRenamed("_artifact", artifact)
+
+
+def collection_profile(rows: DataFrame, artifact: str = "artifact", sample: int = 0) -> DataFrame:
+    """Rows, columns, time range and, if asked for, sample rows per artifact of collected JSON rows (column value)."""
     doc = F.try_parse_json("value")
     when = F.coalesce(*[fn.parse_iso(F.try_variant_get(doc, f"$.{c}", "string"))
                         for c in TIME_FIELDS])
-    keys = F.json_object_keys("value")
-    per = rows.filter(doc.isNotNull()).select(artifact, when.alias("t"), keys.alias("k"))
-    cols = per.select(artifact, F.explode("k").alias("k")).distinct().groupBy(artifact).agg(
-        F.count("*").alias("columns"))
-    return per.groupBy(artifact).agg(F.count("*").alias("rows"), F.min("t").alias("first_seen"),
-                                     F.max("t").alias("last_seen")).join(cols, artifact, "left")
+    return _profiled(rows.filter(doc.isNotNull()), artifact, when, F.json_object_keys("value"), F.col("value"), sample)
+
+
+def csv_profile(spark: SparkSession, path, artifact: Column | None = None, sample: int = 0) -> DataFrame:
+    """Rows, columns, time range and sample per artifact of collected CSV files.
+
+    An artifact is a file (its name) unless `artifact`, a column of the file's path, says otherwise. A file
+    whose first row is its header is read in splits: the header of a file is found once, by its place, and
+    joined to the file's rows. The time column is the first of TIME_FIELDS that the header names. Rows
+    with fewer fields than the header have nulls at the end; quoted fields hold no line feeds. Sample rows
+    are maps of column to value as JSON, values cut at 200 characters.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    values = F.transform(fields, lambda f: F.when(f.startswith('"'), F.replace(
+        F.regexp_replace(f, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
+    rows = lines.select("path", "start", "at", values.alias("values"))
+    heads = rows.groupBy("path").agg(F.min_by(F.struct("at", "values"), F.struct("start", "at")).alias("head"))
+    both = rows.join(heads, "path").filter(F.col("at") != F.col("head.at"))
+    names = F.col("head.values")
+    row = F.map_from_arrays(names, F.transform(names, lambda n, i: F.get("values", i)))
+    time = F.coalesce(*[F.when(F.array_contains(names, c), F.get("values", F.array_position(names, c) - 1))
+                        for c in TIME_FIELDS])
+    shown = F.to_json(F.transform_values(row, lambda k, v: F.substring(v, 1, 200)))
+    of = fn.win_basename(F.col("path")) if artifact is None else artifact
+    return _profiled(both.withColumn("artifact", of), "artifact", fn.parse_iso(time), names, shown, sample)

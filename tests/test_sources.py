@@ -137,3 +137,45 @@ def test_rank_list_first_rank_wins(spark, tmp_path):
     (tmp_path / "r.csv").write_text("1,Google.com\n2,x.org.\n9,google.com\nbad,y.org\n")
     got = {r.domain: r["rank"] for r in ln.read_rank_list(spark, str(tmp_path)).collect()}
     assert got == {"google.com": 1, "x.org": 2}
+
+
+def test_large_files_are_listed_in_chunks(spark, tmp_path):
+    import hashlib
+    big, small = tmp_path / "big.bin", tmp_path / "a b.txt"
+    with big.open("wb") as f:
+        f.write(b"MZ first")
+        f.truncate((1 << 31) + 7)  # a sparse file of more than 2 GiB
+    small.write_bytes(b"x" * 5000)
+    (tmp_path / "empty").write_bytes(b"")
+    sha = hashlib.sha256()
+    with big.open("rb") as f:
+        while chunk := f.read(1 << 22):
+            sha.update(chunk)
+    got = {r["path"].rsplit("/")[-1]: r for r in sf.read_file_listing(spark, str(tmp_path)).collect()}
+    assert got["big.bin"]["size"] == (1 << 31) + 7 and got["big.bin"]["sha256"] == sha.hexdigest()
+    assert got["big.bin"]["head"] == b"MZ first" + bytes(4088) and set(got) >= {"big.bin"} and len(got) == 2
+    text = next(r for n, r in got.items() if n.endswith("b.txt"))
+    assert text["sha256"] == hashlib.sha256(b"x" * 5000).hexdigest() and len(text["head"]) == 4096
+    assert "sha256" not in sf.read_file_listing(spark, str(tmp_path), digest=False).columns
+
+
+def test_csv_profile_and_samples(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,"na""me",Timestamp\n1,"x, y",2024-01-02T00:00:00Z\n\n2,"say ""hi""",2024-01-01T00:00:00Z\n3\n')
+    (tmp_path / "b.csv").write_text("only\n" + "".join(f"{i}\n" for i in range(500)) + "z" * 300 + "\n")
+    (tmp_path / "c.csv").write_text("")
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000 // parts ** 2)
+        got = {r["artifact"]: r for r in sf.csv_profile(spark, str(tmp_path), sample=3).collect()}
+        if parts == 1:
+            first = got
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == first and set(got) == {"a.csv", "b.csv"}
+    assert (got["a.csv"]["rows"], got["a.csv"]["columns"], got["b.csv"]["rows"], got["b.csv"]["columns"]) == (3, 3, 501, 1)
+    assert str(got["a.csv"]["first_seen"]) == "2024-01-01 00:00:00" and got["b.csv"]["first_seen"] is None
+    assert sorted(got["a.csv"]["sample"]) == [
+        '{"id":"1","na\\"me":"x, y","Timestamp":"2024-01-02T00:00:00Z"}',
+        '{"id":"2","na\\"me":"say \\"hi\\"","Timestamp":"2024-01-01T00:00:00Z"}', '{"id":"3"}']
+    rows = [("x", f'{{"k": {i}}}') for i in range(100)] + [("y", "{}"), ("y", "nope")]
+    df = spark.createDataFrame(rows, "artifact string, value string")
+    samples = [{r["artifact"]: r["sample"] for r in sf.collection_profile(df.repartition(n), sample=4).collect()} for n in (1, 9)]
+    assert samples[0] == samples[1] and len(samples[0]["x"]) == 4 and samples[0]["y"] == ["{}"]
