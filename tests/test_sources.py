@@ -174,7 +174,7 @@ def test_csv_profile_and_samples(spark, tmp_path):
     assert str(got["a.csv"]["first_seen"]) == "2024-01-01 00:00:00" and got["b.csv"]["first_seen"] is None
     assert sorted(got["a.csv"]["sample"]) == [
         '{"id":"1","na\\"me":"x, y","Timestamp":"2024-01-02T00:00:00Z"}',
-        '{"id":"2","na\\"me":"say \\"hi\\"","Timestamp":"2024-01-01T00:00:00Z"}', '{"id":"3"}']
+        '{"id":"2","na\\"me":"say \\"hi\\"","Timestamp":"2024-01-01T00:00:00Z"}', '{"id":"3","na\\"me":null,"Timestamp":null}']
     rows = [("x", f'{{"k": {i}}}') for i in range(100)] + [("y", "{}"), ("y", "nope")]
     df = spark.createDataFrame(rows, "artifact string, value string")
     samples = [{r["artifact"]: r["sample"] for r in sf.collection_profile(df.repartition(n), sample=4).collect()} for n in (1, 9)]
