@@ -51,7 +51,7 @@ def test_stages_against_brute_force(spark):
 def test_queries_are_registered():
     from emberlog.plans.registry import QUERIES
 
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert "pipeline" in QUERIES and queries.remainder is not None
 
 
