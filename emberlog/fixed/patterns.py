@@ -202,7 +202,7 @@ MALWARE_FAMILIES = {
         (r"\b(?:Wating|Reamin|laptos)\b", ANY, None)],
 }
 
-# --- fixed values: console keywords -> (tag, label) --------------------------------------------------
+# --- fixed values: console keywords -> (tag, label); back-slashes may be doubled as in JSON --------------------------------------------------
 CONSOLE_KEYWORDS = [
     (r"\bmimikatz\b", "H_CREDENTIAL_ACCESS", "mimikatz"),
     (r"\bsekurlsa::", "H_CREDENTIAL_ACCESS", "sekurlsa::"),
@@ -210,8 +210,13 @@ CONSOLE_KEYWORDS = [
     (r"\bkerberos::", "H_CREDENTIAL_ACCESS", "kerberos::"),
     (r"\bpth\b|\bpass[-_]?the[-_]?hash\b", "H_CREDENTIAL_ACCESS", "pass-the-hash"),
     (r"\bprocdump\b.*lsass", "H_CREDENTIAL_ACCESS", "procdump lsass"),
+    (r"\breg\s+save\s+hklm(?:\\){1,2}sam\b", "H_CREDENTIAL_ACCESS", "reg save SAM"),
     (r"\bpsexec(?:\.exe)?\b", "H_LATERAL_MOVEMENT", "psexec"),
     (r"\bwmic\b.*\bnode\s*:", "H_LATERAL_MOVEMENT", "wmic /node:"),
+    (r"\bschtasks\b.*/s\b", "H_LATERAL_MOVEMENT", "schtasks /s"),
+    (r"\bsc\s+(?:\\\\){1,2}", "H_LATERAL_MOVEMENT", "sc \\\\target"),
+    (r"\bnet\s+use\s+(?:\\\\){1,2}", "H_LATERAL_MOVEMENT", "net use \\\\target"),
+    (r"\bcopy\s+(?:\\\\){1,2}", "H_LATERAL_MOVEMENT", "copy \\\\target"),
     (r"powershell.*-en?c\b", "H_LIVING_OFF_THE_LAND", "powershell -enc"),
     (r"powershell.*-nop\b", "H_LIVING_OFF_THE_LAND", "powershell -nop"),
     (r"powershell.*-w\s+hidden", "H_LIVING_OFF_THE_LAND", "powershell -w hidden"),

@@ -422,6 +422,24 @@ def keyword_tags(spark, sf):
     return r.groupBy("doc_id", "tag", "label").agg(F.count("*").alias("n"))
 
 
+#: One console line per keyword, in the order of the table, and one without any.
+CONSOLE = ("ran mimikatz", "sekurlsa::x", "lsadump::sam", "kerberos::list", "pass-the-hash", "procdump -ma lsass",
+           "reg save hklm\\sam out", "psexec.exe x", "wmic /node:h", "schtasks /create /s host", "sc \\\\host stop",
+           "net use \\\\host\\C$", "copy \\\\host\\a b", "powershell -enc x", "powershell -nop", "powershell -w hidden",
+           "Invoke-Expression", "wevtutil cl", "sdelete a", "vssadmin delete shadows", "whoami /priv",
+           'net group "Domain Admins"', "plain line")
+KEYWORD_TAGS = ", ".join(f"('{tag}', '{label}')" for _, tag, label in fp.CONSOLE_KEYWORDS)
+
+
+@query("console_keywords", f"""WITH k AS (SELECT col0 AS tag, col1 AS label, row_number() OVER () - 1 AS i
+  FROM (VALUES {KEYWORD_TAGS})), d AS (SELECT doc_id % {len(CONSOLE)} AS i, text FROM documents WHERE text IS NOT NULL)
+SELECT tag, label, count(*) AS n FROM d JOIN k USING (i) GROUP BY ALL""")
+def console_keywords(spark, sf):
+    """Lines per keyword of the whole table, one of them after each document's text."""
+    rows = patterns.text_lines(planted(spark, sf, CONSOLE), keep=["doc_id"])
+    return patterns.keyword_tags(rows).groupBy("tag", "label").agg(F.count("*").alias("n"))
+
+
 VISITS = """v AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://pastebin.com/x' || page_id
   WHEN 1 THEN 'http://eu.mail.google.com/in' WHEN 2 THEN 'https://board.example.org/viewtopic?t='
   || page_id WHEN 3 THEN 'http://10.20.30.' || (page_id % 250) || '/a?uid=1'
