@@ -32,6 +32,27 @@ def test_held_out_accuracy(rows):
     assert sum(a == b for a, b in held) / len(held) > 0.97
 
 
+def test_every_bin_that_depends_on_the_label_is_a_feature(rows):
+    """Brute force over the labelled texts; no number of features is the limit."""
+    rng = random.Random(5)
+    toxic = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)]
+    plain = ["".join(rng.choices("0123456789", k=6)) for _ in range(300)]
+    texts = [(" ".join(rng.choices(toxic if i % 3 == 0 else plain, k=60)), int(i % 3 == 0)) for i in range(150)]
+    model = fit(rows(texts, "text string, label int"))
+    on, total, want = sum(y for _, y in texts), len(texts), set()
+    seen = {}
+    for t, y in texts:
+        for b in set(gram_bins(t, 18).tolist()):
+            n = seen.setdefault(b, [0, 0])
+            n[y] += 1
+    for b, (q, p) in seen.items():
+        expected = (p + q) * on / total
+        if (p - expected) ** 2 / max(expected * (1 - (p + q) / (total + 1)), 1e-9) >= 15.14:
+            want.add(b)
+    got = set(np.flatnonzero(model.weights).tolist())
+    assert len(want) > 1024 and got <= want and len(want - got) <= 0.01 * len(want)
+
+
 def test_scores_do_not_depend_on_other_columns_or_rows(rows):
     docs, labels = corpus(200)
     df = rows([(i, t, "x", 0.5) for i, t in docs], "doc_id bigint, text string, label string, score double")
