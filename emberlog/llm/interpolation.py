@@ -146,6 +146,13 @@ def batches(docs: DataFrame, part: Column, id: str, text: str, batch_tokens: int
                                   "lengths binary, tokens binary, keys binary")
 
 
+def by_range(keys: np.ndarray, bounds: np.ndarray) -> dict[int, slice]:
+    """The places of sorted keys per range that holds any; `bounds` are the starts of the ranges."""
+    held, first = np.unique(np.searchsorted(bounds, keys, side="right") - 1, return_index=True)
+    last = np.append(first[1:], len(keys))
+    return {int(r): slice(int(a), int(b)) for r, a, b in zip(held, first, last)}
+
+
 def counted(gathered: DataFrame, ranges: int, shift: int) -> DataFrame:
     """Answers: batch, range, tune, counts of its words and bigrams there (by part), and sums of the range."""
     bounds = np.array([(r << 64) // ranges for r in range(ranges)], dtype=np.uint64)
@@ -156,17 +163,16 @@ def counted(gathered: DataFrame, ranges: int, shift: int) -> DataFrame:
                 b, out = Batch.of_row(row), defaultdict(list)
                 lists = []
                 for keys, n in (b.word_counts(), b.pair_counts(shift)):
-                    lists.append((keys, *n, np.append(np.searchsorted(keys, bounds), len(keys))))
-                for r in range(ranges):
-                    parts = [(k[c[r]:c[r + 1]], l[c[r]:c[r + 1]], t[c[r]:c[r + 1]]) for k, l, t, c in lists]
-                    if any(len(p[0]) for p in parts):
-                        out["range"].append(r)
-                        out["batch"].append(row["batch"])
-                        out["tune"].append(row["tune"])
-                        for name, (k, l, t) in zip(("word", "pair"), parts):
-                            out[name].append(narrow((k - bounds[r]) >> np.uint64(shift if name == "pair" else 0)))
-                            out[f"{name}_learn"].append(planes(l))
-                            out[f"{name}_tune"].append(planes(t))
+                    lists.append((keys, *n, by_range(keys, bounds)))
+                for r in sorted(set().union(*(places for *_, places in lists))):  # no step for an empty range
+                    out["range"].append(r)
+                    out["batch"].append(row["batch"])
+                    out["tune"].append(row["tune"])
+                    for name, (k, l, t, places) in zip(("word", "pair"), lists):
+                        at = places.get(r, slice(0, 0))
+                        out[name].append(narrow((k[at] - bounds[r]) >> np.uint64(shift if name == "pair" else 0)))
+                        out[f"{name}_learn"].append(planes(l[at]))
+                        out[f"{name}_tune"].append(planes(t[at]))
                 yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for (n, v), k in zip(
                     out.items(), [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 6])})
 

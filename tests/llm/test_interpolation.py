@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from emberlog.llm.interpolation import (BUCKETS, from_planes, learned_weights, narrow, planes, scored, widen)
+from emberlog.llm.interpolation import (BUCKETS, by_range, from_planes, learned_weights, narrow, planes, scored, widen)
 
 
 def tokens(text):
@@ -112,3 +112,14 @@ def test_number_lists_survive_packing():
         assert (from_planes(planes(x)) == x).all()
         keys = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
         assert (widen(narrow(keys)) == keys).all()
+
+
+def test_ranges_without_keys_cost_no_step():
+    bounds = np.array([(r << 64) // 100_000 for r in range(100_000)], dtype=np.uint64)
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 50, dtype=np.uint64))
+    places = by_range(keys, bounds)
+    assert len(places) <= 50 and sum(s.stop - s.start for s in places.values()) == 50
+    for r, s in places.items():
+        end = int(bounds[r + 1]) if r + 1 < len(bounds) else 1 << 64
+        assert all(int(bounds[r]) <= int(k) < end for k in keys[s])
+    assert by_range(keys[:0], bounds) == {}
