@@ -6,7 +6,8 @@ cells it has seen hold a stated share of all entries, and every entry in them is
 distance. The codebooks are fitted on a bounded sample; every row is indexed.
 
 Entries are kept by first centroid, cut into blocks of bounded size, and meet blocks of queries in one
-cogrouped shuffle: nothing is broadcast but the codebooks and one count per cell.
+cogrouped shuffle, each entry in the blocks whose queries come near it: nothing is broadcast but the
+codebooks, one count per cell and the blocks per first centroid.
 """
 
 from __future__ import annotations
@@ -69,13 +70,30 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: floa
     return cells
 
 
+def query_parts(centres: np.ndarray, queries: list[int], size: int) -> list[tuple[int, int]]:
+    """Per centroid the first part its queries go to and how many they fill: of about `size` queries each.
+
+    Centroids take their parts in the order of their places on the principal axis, so that queries of one
+    part lie close together and ask for few cells; a crowded centroid has parts of its own.
+    """
+    spread = centres - centres.mean(0)
+    axis = np.linalg.svd(spread, full_matrices=False)[2][0] if centres.shape[1] else np.zeros(0)
+    parts, before = [(0, 1)] * len(centres), 0
+    for i in np.argsort(spread @ axis, kind="stable"):
+        low, high = before // size, max(before, before + queries[i] - 1) // size
+        parts[i] = (low, high - low + 1)
+        before += queries[i]
+    return parts
+
+
 def nearest(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "embedding", *,
-            k: int = 10, centroids: int = 32, share: float = 0.8, sample_rows: int = 20_000,
+            k: int = 10, centroids: int | None = None, share: float = 0.8, sample_rows: int = 20_000,
             block_rows: int = 20_000, block_queries: int = 2_000, seed: int = 7) -> DataFrame:
     """The k nearest entries found for each query row: query_id, rank from 1, vec_id, score.
 
     `is_query` is a condition on the id column. `share` of the entries is ranked per query (0.8 suits
-    vectors without any structure; clustered ones need far less). Rows without an id, repeated rows, and
+    vectors without any structure; clustered ones need far less). `centroids` per half are by default the
+    fourth root of the number of entries, at least 32. Rows without an id, repeated rows, and
     vectors that are null, zero, hold null or non-finite components, or have another length than most
     take no part. Of equal vectors only the k + 1 smallest ids are entries: no other can be among the k
     nearest, as ties go to the smaller id. A query is never its own neighbour. Fewer candidates than k
@@ -100,6 +118,7 @@ def nearest(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: st
         F.coalesce(F.col("position") - F.col("at") <= k, F.lit(True))).select("vec_id", "v")
 
     total = entries.count()
+    centroids = centroids or max(32, round(total ** 0.25))
     sample = entries.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(total)) < sample_rows)
     points = np.array([r["v"] for r in sample.select("v").collect()] or
                       [r["v"] for r in entries.select("v").take(centroids)], dtype=np.float64)
@@ -117,24 +136,31 @@ def nearest(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: st
     for r in indexed.groupBy("i", "j").count().collect():  # at most centroids squared
         counts[r["i"], r["j"]] = r["count"]
     blocks = {i: max(1, -(-int(n) // block_rows)) for i, n in enumerate(counts.sum(1))}
-    queries = placed.filter(is_query).select("vec_id", "v")
-    query_blocks = max(1, -(-queries.count() // block_queries))
+    queries = saved(placed.filter(is_query).select("vec_id", "v", cell("v")["i"].alias("own")), "queries")
+    near = {r["own"]: r["count"] for r in queries.groupBy("own").count().collect()}  # one per centroid
+    parts = query_parts(books[0], [near.get(i, 0) for i in range(len(books[0]))], block_queries)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["v"].tolist(), dtype=np.float64).reshape(-1, width)
             first, second = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
             out = []
-            for n, (q, v) in enumerate(zip(batch["vec_id"], batch["v"])):
-                for i, js in walk(first[n], second[n], counts, max(share * total, k + 1)).items():
-                    out += [(q, v, i, b, q % query_blocks, js) for b in range(blocks[i])]
-            yield pd.DataFrame(out, columns=["vec_id", "v", "i", "block", "part", "js"])
-
-    asked = queries.mapInPandas(ask, "vec_id bigint, v array<double>, i int, block int, part int, "
-                                     "js array<int>")
+            for n, (q, v, own) in enumerate(zip(batch["vec_id"], batch["v"], batch["own"])):
+                low, many = parts[own]
+                out += [(q, v, i, low + q % many, js) for i, js in walk(
+                    first[n], second[n], counts, max(share * total, k + 1)).items()]
+            yield pd.DataFrame(out, columns=["vec_id", "v", "i", "part", "js"])
+
+    walked = saved(queries.mapInPandas(ask, "vec_id bigint, v array<double>, i int, part int, js array<int>"),
+                   "walked")
     per_first = F.create_map(*[F.lit(x) for i, n in blocks.items() for x in (i, n)])
-    stored = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_first[F.col("i")]).cast(
-        "int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = walked.withColumn("block", F.explode(F.sequence(F.lit(0), per_first[F.col("i")] - 1)))
+    # entries are copied to the parts whose queries come to their centroid: a list per centroid, with one
+    # number for every `block_queries` queries at most
+    wanted = F.broadcast(walked.select("i", "part").distinct().groupBy("i").agg(
+        F.collect_list("part").alias("parts")))
+    stored = indexed.join(wanted, "i").withColumn("block", F.pmod(F.xxhash64("vec_id"), per_first[F.col(
+        "i")]).cast("int")).withColumn("part", F.explode("parts")).drop("parts")
 
     def rank(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         out = []

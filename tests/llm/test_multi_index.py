@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from emberlog.llm.multi_index import nearest, walk
+from emberlog.llm.multi_index import nearest, query_parts, walk
 
 SCHEMA = "vec_id bigint, embedding array<float>, v int, score string"
 
@@ -68,3 +68,21 @@ def test_cells_come_by_summed_distance():
         cells = {(i, j) for i, js in walk(a, b, counts, wanted).items() for j in js}
         order = sorted((a[i] + b[j], i, j) for i in range(6) for j in range(5))
         assert cells == {(i, j) for _, i, j in order[:wanted]}
+
+
+def test_queries_near_together_share_a_part():
+    """Crowded centroids have parts of their own, and entries are copied for few parts only."""
+    centres = np.array([[0.0], [10.0], [1.0], [11.0]])
+    parts = query_parts(centres, [50, 450, 60, 0], 100)
+    assert parts[0] == (0, 1) and parts[2] == (0, 2)  # the next centroid on the axis goes on in the part
+    low, many = parts[1]
+    assert low == 1 and many == 5 and all(m >= 1 for _, m in parts)
+    assert query_parts(np.zeros((1, 0)), [7], 3) == [(0, 3)]
+
+
+def test_parts_do_not_change_the_answer(rows):
+    data = made(400)
+    df = rows([(i, x, 0, "") for i, x in data], SCHEMA)
+    one, many = (sorted(map(tuple, nearest(df, F.col("vec_id") % 5 == 0, k=4, share=0.3, block_rows=n,
+                                           block_queries=q).collect())) for n, q in ((10_000, 10_000), (15, 3)))
+    assert one == many and len({r[0] for r in one}) == 80
