@@ -14,8 +14,9 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm.common import new_path, only, saved
 from emberlog.session import ship
+from emberlog.sources.files import open_uri
 
 #: The fields of ARC header lines by version.
 ARC_FIELDS = {
@@ -192,26 +194,32 @@ def convert(data: bytes, keys: list, refers_to: list) -> list[str]:
             for (fields, block), key, first in zip(arc_records(data), keys, refers_to, strict=True)]
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = False,
+              opener: Callable[[str], BinaryIO] = open_uri) -> DataFrame:
     """Records of the WARC files under a path: page_id, url, record_id, date, record_type, payload_bytes,
     payload_digest, refers_to, and the payload if wanted (null for revisits).
 
     Digests and lengths of responses are those of the bytes read; revisits state those of their payload.
-    A response whose bytes don't match its stated digest raises an error.
+    A response whose bytes don't match its stated digest raises an error. Archives may have any size: a task
+    reads them as streams, one record after the other; `opener` opens a path on the executors. A folder
+    without records gives no rows.
     """
     ship(spark)
     schema = ("page_id bigint, url string, record_id string, date string, record_type string, "
               "payload_bytes bigint, payload_digest string, refers_to bigint")
     schema += ", payload binary" if with_payload else ""
 
+    def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
+        with opener(uri) as raw:
+            stream = io.BufferedReader(raw, 1 << 20)
+            packed = stream.peek(2)[:2] == b"\x1f\x8b"
+            yield from warc_records(io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20) if packed else stream)
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                stream = io.BytesIO(content)
-                records = warc_records(io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
-                                       if content[:2] == b"\x1f\x8b" else stream)
-                out = []
-                for head, block in records:
+            for uri in batch["path"]:
+                out, held = [], 0
+                for head, block in records(uri):
                     kind, stated = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     payload = http_body(block) if kind == "response" else None
                     digest = stated if payload is None else base32_sha1(payload)
@@ -222,9 +230,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                                 head["WARC-Record-ID"], head["WARC-Date"], kind, n, digest,
                                 number(head.get("X-Refers-To-Page")))
                                + ((payload,) if with_payload else ()))
-                    if len(out) == 1000:
+                    held += len(payload or b"") if with_payload else 0
+                    if len(out) == 1000 or held >= 1 << 24:
                         yield frame(out)
-                        out = []
+                        out, held = [], 0
                 if out:
                     yield frame(out)
 
@@ -236,11 +245,15 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         return made
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInPandas(parse, schema)
+    return files.select("path").mapInPandas(parse, schema)
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
-    """Write the pages as WARC into the shared folder and read the archives back."""
+    """Write the pages as WARC into the shared folder and read the archives back: one row per page.
+
+    Null html is an empty payload, a null url is written as `-`; equal payloads, repeated rows and pages without
+    an id are told apart as `write_warc` states. An empty table gives no rows.
+    """
     path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path, **options)
     return read_warc(pages.sparkSession, path)

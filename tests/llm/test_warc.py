@@ -63,3 +63,28 @@ def test_broken_archives_are_errors():
         list(arc_records(data[:-3]))
     with pytest.raises(ValueError):
         list(warc_records(io.BytesIO(b"nonsense\r\n\r\n")))
+
+
+def test_archives_are_read_as_streams(spark, rows, tmp_path):
+    """No task asks for more than a buffer of an archive; payloads beyond a frame's size come whole."""
+    class Slow(io.RawIOBase):
+        """A stream that yields a few bytes at a time and remembers the largest read."""
+
+        def __init__(self, path):
+            self.file = open(path.removeprefix("file:"), "rb")
+
+        def readable(self):
+            return True
+
+        def readinto(self, buffer):
+            assert len(buffer) <= 1 << 20
+            data = self.file.read(min(len(buffer), 7))
+            buffer[:len(data)] = data
+            return len(data)
+
+    pages = rows([(i, f"http://h/{i}", f"{i}" * (3_000_000 if i < 4 else 10)) for i in range(40)],
+                 "page_id bigint, url string, html string").coalesce(1)
+    write_warc(pages, str(tmp_path / "w"))
+    got = {r["page_id"]: r for r in read_warc(spark, str(tmp_path / "w"), True, opener=Slow).collect()}
+    assert len(got) == 40 and all(bytes(r["payload"]) == f"{i}".encode() * (3_000_000 if i < 4 else 10)
+                                  for i, r in got.items())
