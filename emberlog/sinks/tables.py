@@ -2,7 +2,7 @@
 
 Ledgers are append-only: a replaced row is a newer row of the same key, and readers take the
 newest. That needs no table format with row updates and survives lost executors, because every
-write is one committed Spark job.
+write is one commit (`commits`), whoever else writes at the same time.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from emberlog.sinks import commits
+
 
 # --- findings --------------------------------------------------------------------------------
 
@@ -23,51 +25,79 @@ def latest(rows: DataFrame, key, version: str) -> DataFrame:
     return rows.withColumn("_v", F.row_number().over(w)).filter(F.col("_v") == 1).drop("_v")
 
 
-def insert_findings(findings: DataFrame, path: str) -> None:
-    """Insert or replace findings by id; the table is partitioned by case."""
-    findings.withColumn("written", F.current_timestamp()).write.mode("append").partitionBy(
-        "case_id").parquet(path)
+def insert_findings(findings: DataFrame, path: str) -> int:
+    """Insert or replace findings by id in one commit, partitioned by case; returns the version."""
+    return commits.append(findings, path, partition_by=["case_id"])["version"]
 
 
 def list_findings(spark: SparkSession, path: str, case_id: str | None = None) -> DataFrame:
-    """Current findings in order of creation; a case filter prunes partitions."""
-    rows = spark.read.parquet(path)
+    """Current findings in order of creation; a case filter prunes partitions.
+
+    Of a finding that came again the latest commit counts; `version` says which.
+    """
+    rows = commits.read(spark, path, commits.manifests(spark, path))
     if case_id is not None:
         rows = rows.filter(F.col("case_id") == case_id)
-    return latest(rows, ["finding_id"], "written").orderBy("created", "finding_id")
+    return latest(rows, ["finding_id"], "version").orderBy("created", "finding_id")
 
 
 # --- registries ----------------------------------------------------------------------------------
 
+def without_known(rows: DataFrame, known: DataFrame, key) -> DataFrame:
+    """Rows whose key is not among the known ones."""
+    return rows.join(known.select(*key), list(key), "left_anti")
+
+
 def insert_new(observed: DataFrame, path: str, key) -> DataFrame:
-    """Append the rows whose key the registry at `path` lacks; returns their number per type.
+    """Insert or ignore: commit the rows whose key the registry at `path` lacks; their number per type.
+
+    Of several rows of one key the smallest stays. Rows with a null or empty part of the key are no
+    observations. New rows are written once and counted from what was written, and rows that another
+    writer commits at the same time are taken out before ours are tried again, so no key is lost or
+    stored twice.
+    """
+    spark, key = observed.sparkSession, list(key)
+    named = F.lit(True)
+    for k in key:
+        named = named & F.coalesce(F.col(k).cast("string") != "", F.lit(False))
+    others = [c for c in observed.columns if c not in key]
+    fresh = observed.filter(named).groupBy(*key).agg(F.min(F.struct(*others)).alias("_row")).select(
+        *key, "_row.*") if others else observed.filter(named).distinct()
+    made = commits.append(fresh.select(*observed.columns), path, settle=lambda rows, known: without_known(
+        rows, known, key))
+    return commits.read(spark, path, [made]).groupBy(key[0]).agg(F.count("*").alias("new_rows"))
+
+
+def seal_cases(cases: DataFrame, path: str) -> int:
+    """Seal what the registry holds of these cases (column case_id); returns the number of their rows.
+
+    Rows that are inserted for a case later on are open until it is sealed again.
+    """
+    spark = cases.sparkSession
+    made = commits.append(cases.select("case_id").distinct(), path, kind="seal")
+    now = read_registry(spark, path, made["version"])
+    return now.join(commits.read(spark, path, [made]).select("case_id"), "case_id", "left_semi").count()
+
+
+def read_registry(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All rows of a registry, or those up to a version, with their version and whether they are sealed."""
+    held = [m for m in commits.manifests(spark, path) if version is None or m["version"] <= version]
+    rows = commits.read(spark, path, [m for m in held if m["kind"] == "rows"])
+    seals = [m for m in held if m["kind"] == "seal"]
+    if not seals:
+        return rows.withColumn("sealed", F.lit(False))
+    last = commits.read(spark, path, seals).groupBy("case_id").agg(F.max("version").alias("_sealed"))
+    return rows.join(last, "case_id", "left").withColumn(
+        "sealed", F.coalesce(F.col("version") <= F.col("_sealed"), F.lit(False))).drop("_sealed")
+
+
+def family_attributions(hits: DataFrame, agent: str) -> DataFrame:
+    """One row per family and case from matches (case_id, family, snippet), with the smallest snippet.
 
-    The new rows are written once and counted from what was written, so the input is not computed
-    twice and a retried task cannot change the count.
+    Insert them by the key (family, case_id).
     """
-    from emberlog.operators.indicators import unseen
-    spark = observed.sparkSession
-    batch = F.lit(_next_batch(spark, path))
-    try:
-        known = spark.read.parquet(path)
-        fresh = unseen(observed, known, key)
-    except Exception as e:  # noqa: BLE001 - a registry that does not exist yet is empty
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = observed.dropDuplicates(list(key))
-    fresh.withColumn("batch", batch).write.mode("append").parquet(path)
-    return spark.read.parquet(path).filter(F.col("batch") == batch).groupBy(key[0]).agg(
-        F.count("*").alias("new_rows"))
-
-
-def _next_batch(spark: SparkSession, path: str) -> int:
-    try:
-        last = spark.read.parquet(path).agg(F.max("batch").alias("b")).first()["b"]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return 1
-    return int(last or 0) + 1
+    return hits.groupBy("family", "case_id").agg(F.min("snippet").alias("snippet")).withColumn(
+        "agent", F.lit(agent))
 
 
 # --- indicator bundles -----------------------------------------------------------------------------
