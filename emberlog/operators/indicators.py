@@ -241,3 +241,66 @@ def enrich_with_dns(iocs: DataFrame, dns: DataFrame) -> DataFrame:
     return iocs.join(by_ip.unionByName(by_name), ["ioc_type", "value"], "left").withColumn(
         "relation", F.when(F.col("linked").isNotNull(), F.when(
             F.col("ioc_type") == "ipv4", "resolved_from").otherwise("resolved_to")))
+
+
+def answers_of(dns: DataFrame) -> DataFrame:
+    """Distinct (name, answer, is_address) of a log: lower-case names, answers as they are listed."""
+    name = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\.+$", "")
+    rows = dns.select(name("query").alias("name"), F.explode(F.split("answers", ",")).alias("a")).select(
+        "name", F.trim("a").alias("a"))
+    # of 2 to 8 groups with at most one gap; a colon never stands in a name
+    address = F.col("a").rlike(f"^{fx.IPV4}$") | F.col("a").rlike(r"^(?=.*:.*:)[0-9A-Fa-f:]{2,39}$")
+    host = F.col("a").rlike(r"^(?=.*[A-Za-z])[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+\.?$")
+    return rows.filter(F.col("name") != "").filter(address | host).select(
+        "name", F.when(address, F.lower("a")).otherwise(name("a")).alias("answer"), address.alias(
+            "is_address")).filter(F.col("name") != F.col("answer")).distinct()
+
+
+def closed_aliases(aliases: DataFrame) -> DataFrame:
+    """All names that each name leads to over aliases (name, answer), with the least number of steps.
+
+    Pointer jumping: paths join paths, so a chain of n aliases is closed after log2(n) rounds; each round's
+    paths are written to the shared folder, where the next reads them. Loops end, as no pair is new.
+    """
+    from emberlog.session import scratch_path
+    spark = aliases.sparkSession
+
+    def kept(paths: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "aliases")
+        paths.write.parquet(path)
+        return spark.read.schema(paths.schema).parquet(path)
+
+    paths = kept(aliases.select("name", "answer", F.lit(1).alias("steps")))
+    n = paths.count()
+    while n:
+        onward = paths.select(F.col("name").alias("answer"), F.col("answer").alias("then"), F.col("steps").alias("more"))
+        longer = paths.join(onward, "answer").filter("name <> then").select(
+            "name", F.col("then").alias("answer"), (F.col("steps") + F.col("more")).alias("steps"))
+        paths = kept(paths.unionByName(longer).groupBy("name", "answer").agg(F.min("steps").alias("steps")))
+        before, n = n, paths.count()
+        if n == before:
+            break
+    return paths
+
+
+def dns_links(dns: DataFrame, follow: bool = True) -> DataFrame:
+    """Every link between a name and an address, in both directions: ioc_type, value, relation, linked, aliases.
+
+    `aliases` is the least number of alias answers on the way, 0 for an address in the name's own answer.
+    With `follow`, a name also has the addresses of all names that its aliases lead to; without it only
+    its own answers count. Addresses are IPv4 and IPv6 literals in lower case.
+    """
+    answers = answers_of(dns)
+    own = answers.filter("is_address").select("name", F.col("answer").alias("address"), F.lit(0).alias("aliases"))
+    if follow:
+        chains = closed_aliases(answers.filter("NOT is_address"))
+        far = chains.join(own.select(F.col("name").alias("answer"), "address"), "answer").select(
+            "name", "address", F.col("steps").alias("aliases"))
+        own = own.unionByName(far).groupBy("name", "address").agg(F.min("aliases").alias("aliases"))
+    kind = F.when(F.col("address").contains(":"), "ipv6").otherwise("ipv4")
+    return own.select(F.explode(F.array(
+        F.struct(F.lit("domain").alias("ioc_type"), F.col("name").alias("value"),
+                 F.lit("resolved_to").alias("relation"), F.col("address").alias("linked"), "aliases"),
+        F.struct(kind.alias("ioc_type"), F.col("address").alias("value"),
+                 F.lit("resolved_from").alias("relation"), F.col("name").alias("linked"), "aliases"))).alias(
+        "l")).select("l.*")

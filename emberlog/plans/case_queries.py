@@ -755,9 +755,8 @@ def changed_settings(spark, sf):
 SELECT user_id, event_type, round(sum(value), 2) AS total, count(*) AS n, min(value) AS lo,
   max(value) AS hi FROM events GROUP BY ALL""")
 def usage_totals(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(
-        F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"))
+    from emberlog.operators.usage import sample_totals
+    return sample_totals(table(spark, sf, "events"), ["user_id", "event_type"], "value")
 
 
 @query("log_rollups", """
