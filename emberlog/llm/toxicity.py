@@ -49,22 +49,33 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def regression(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray,
-               n_features: int, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows by accelerated gradient descent with backtracking."""
-    n = len(y)
+def regression(columns: np.ndarray, lengths: np.ndarray, values: np.ndarray, y: np.ndarray,
+               penalty: float, rounds: int, at_once: int = 1 << 19) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows by accelerated gradient descent with backtracking.
+
+    `columns` are the features of all rows one after the other, `lengths` their numbers per row, and
+    `values` the value each feature has where it occurs. Rows are passed in pieces of about `at_once` entries.
+    """
+    n, n_features = len(y), len(values)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], at_once)), [0, n]))
+    pieces = [(a, b, columns[ends[a]:ends[b]]) for a, b in zip(cuts[:-1], cuts[1:])]
     w, b = np.zeros(n_features), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     v, vb, step, momentum = w.copy(), b, 1.0, 1.0
 
     def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
-        z = np.bincount(rows, weights=values * w[columns], minlength=n) + b
+        scaled = values * w
+        z = np.concatenate([np.bincount(np.repeat(np.arange(hi - lo), lengths[lo:hi]), weights=scaled[c],
+                                        minlength=hi - lo) for lo, hi, c in pieces]) + b
         return float((np.logaddexp(0, z) - y * z).sum() / n + penalty / 2 * (w @ w)), z
 
     for _ in range(rounds):
         at, z = loss(v, vb)
         error = (1 / (1 + np.exp(-z)) - y) / n
-        g = np.bincount(columns, weights=values * error[rows], minlength=n_features) + penalty * v
-        gb, norm = float(error.sum()), 0.0
+        g = penalty * v
+        for lo, hi, c in pieces:
+            g += values * np.bincount(c, weights=np.repeat(error[lo:hi], lengths[lo:hi]), minlength=n_features)
+        gb = float(error.sum())
         norm = float(g @ g) + gb * gb
         while step > 1e-6 and loss(v - step * g, vb - step * gb)[0] > at - step / 2 * norm:
             step /= 2
@@ -117,14 +128,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", *, bits:
     def chosen_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [number[np.unique(gram_bins(t, bits))] for t in batch["text"]]
-            yield pd.DataFrame({"y": batch["y"], "f": [x[x >= 0].tolist() for x in found]})
+            yield pd.DataFrame({"y": batch["y"], "f": [x[x >= 0].astype("<i4").tobytes() for x in found]})
 
-    sample = given.mapInPandas(chosen_features, "y int, f array<int>").toPandas()
-    lengths = sample["f"].map(len).to_numpy()
-    columns = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["f"]])
+    sample = given.mapInPandas(chosen_features, "y int, f binary").toPandas()
+    lengths = sample["f"].map(len).to_numpy() // 4
+    columns = np.frombuffer(b"".join(sample.pop("f")), dtype="<i4")
     values = ratio[chosen]
-    w, b = regression(np.repeat(np.arange(len(sample)), lengths), columns, values[columns],
-                      sample["y"].to_numpy().astype(float), len(chosen), penalty, rounds)
+    w, b = regression(columns, lengths, values, sample["y"].to_numpy().astype(float), penalty, rounds)
     weights[bins[chosen]] = w * values
     return Classifier(bits, weights, b)
 

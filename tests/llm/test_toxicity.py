@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from emberlog.llm.toxicity import fit, gram_bins, sampled, scored, trained
+from emberlog.llm.toxicity import fit, gram_bins, regression, sampled, scored, trained
 
 
 def corpus(n=600):
@@ -84,3 +84,18 @@ def test_sample_is_bounded_and_whole_if_small(rows):
 def test_grams_ignore_case_and_runs_of_space():
     assert (gram_bins("Ab  c\n", 18) == gram_bins("aB c", 18)).all()
     assert len(np.unique(gram_bins("abcdefgh", 18))) == 8 + 7 + 6
+
+
+def test_pieces_do_not_change_the_fit():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 6, 80)
+    columns = rng.integers(0, 12, lengths.sum()).astype(np.int32)
+    y, values = (rng.random(80) < 0.4).astype(float), rng.normal(size=12)
+    whole, pieces = (regression(columns, lengths, values, y, 1e-3, 60, at_once=n) for n in (10_000, 7))
+    assert np.allclose(whole[0], pieces[0]) and np.isclose(whole[1], pieces[1]) and whole[0].any()
+    dense = np.zeros((80, 12))
+    np.add.at(dense, (np.repeat(np.arange(80), lengths), columns), values[columns])
+    error = 1 / (1 + np.exp(-(dense @ whole[0] + whole[1]))) - y
+    assert np.abs(dense.T @ error / 80 + 1e-3 * whole[0]).max() < 1e-2  # near the minimum
+    empty = regression(columns[:0], np.zeros(4, int), np.zeros(0), np.array([0, 1, 0, 0.0]), 1e-3, 20)
+    assert len(empty[0]) == 0 and np.isfinite(empty[1])
