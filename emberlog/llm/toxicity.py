@@ -67,7 +67,7 @@ def regression(columns: np.ndarray, lengths: np.ndarray, values: np.ndarray, y:
         scaled = values * w
         z = np.concatenate([np.bincount(np.repeat(np.arange(hi - lo), lengths[lo:hi]), weights=scaled[c],
                                         minlength=hi - lo) for lo, hi, c in pieces]) + b
-        return float((np.logaddexp(0, z) - y * z).sum() / n + penalty / 2 * (w @ w)), z
+        return float((np.logaddexp(0, z) - y * z).sum() / n + penalty / 2 * (w * w).sum()), z
 
     for _ in range(rounds):
         at, z = loss(v, vb)
@@ -76,7 +76,7 @@ def regression(columns: np.ndarray, lengths: np.ndarray, values: np.ndarray, y:
         for lo, hi, c in pieces:
             g += values * np.bincount(c, weights=np.repeat(error[lo:hi], lengths[lo:hi]), minlength=n_features)
         gb = float(error.sum())
-        norm = float(g @ g) + gb * gb
+        norm = float((g * g).sum()) + gb * gb
         while step > 1e-6 and loss(v - step * g, vb - step * gb)[0] > at - step / 2 * norm:
             step /= 2
         nw, nb = v - step * g, vb - step * gb
