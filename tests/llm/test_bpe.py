@@ -4,6 +4,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
+from emberlog.llm import bpe
 from emberlog.llm.bpe import BytePairs, decoded, encoded, merged, read_ranks
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -57,6 +58,18 @@ def test_merges_are_leftmost_of_least_rank():
                 assert merged(piece, ranks) == plain(piece, ranks)
 
 
+def test_short_and_long_pieces_are_merged_alike(monkeypatch):
+    ranks, rng = read_ranks(PATH), random.Random(6)
+    pieces = ["".join(rng.choices("abcdeinorst é中", k=rng.randint(2, 70))).encode() for _ in range(1000)]
+    got = [bpe.merged(p, ranks) for p in pieces]
+    asked = []
+    short = bpe.merged_short
+    monkeypatch.setattr(bpe, "merged_short", lambda p, r: (asked.append(len(p)), short(p, r))[1])
+    assert [bpe.merged(p, ranks) for p in pieces] == got and 400 < len(asked) and max(asked) < bpe.LONG
+    monkeypatch.setattr(bpe, "LONG", 0)
+    assert [bpe.merged(p, ranks) for p in pieces] == got  # all by the tree
+
+
 def test_columns_nulls_and_clashing_names(rows, library):
     df = rows([(1, "Hello there", None, "x"), (None, None, [1], "y"), (2, "", None, None), (2, "", None, None)],
               "doc_id bigint, text string, ids array<int>, decoded string")
