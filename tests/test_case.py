@@ -115,6 +115,34 @@ def test_hash_neighbours_against_all_pairs(spark):
         assert got == want
 
 
+def sparse_hashes(n, seed=4):
+    """Hashes of few set bits, as sorted distinct texts; many share the values of each 16-bit band."""
+    rng = random.Random(seed)
+    return sorted({f"{sum(1 << b for b in rng.sample(range(64), 6)):016x}" for _ in range(n)})
+
+
+def apart(a, b):
+    return (int(a, 16) ^ int(b, 16)).bit_count()
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_identical_counts_contents_and_broadcasts_no_rows_of_pairs(spark):
+    hexes = sparse_hashes(150)
+    rows = [(h.upper() if i % 2 else h, f"s{i}-{k}") for i, h in enumerate(hexes) for k in range(1 + i % 3)]
+    rows += [rows[0], (None, "n1"), (None, None), ("odd", "o1"), ("odd", "o2"), ("zz", "z")]
+    got = similarity.near_identical(spark.createDataFrame(rows, "phash STRING, sha256 STRING"))
+    held = {h: 1 + i % 3 for i, h in enumerate(hexes)}
+    want = {(a, b, apart(a, b), held[a], held[b]) for a, b in itertools.combinations(hexes, 2) if apart(a, b) <= 8}
+    want |= {(h, h, 0, n, n) for h, n in {**held, None: 2, "odd": 2}.items() if n > 1}
+    out = [(r.hash_a, r.hash_b, r.distance, r.contents_a, r.contents_b) for r in got.collect()]
+    assert len(out) == len(set(out)) and set(out) == want
+    assert "Broadcast" not in final_plan(got)
+
+
 def test_all_malware_patterns_of_the_reference(spark):
     want = {"sekurlsa, then logonPasswords": "mimikatz", "/api/set_agent?id=1&act=log": "lumma_stealer",
             "xor decode_loop": "cobalt_strike", "KernelDriverInstall": "finfisher",
