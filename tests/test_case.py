@@ -143,6 +143,23 @@ def test_near_identical_counts_contents_and_broadcasts_no_rows_of_pairs(spark):
     assert "Broadcast" not in final_plan(got)
 
 
+def test_similar_hashes_of_other_cases_broadcast_no_rows_of_pairs(spark):
+    hexes = sparse_hashes(120)
+    rows = [(f"c{k}", h) for i, h in enumerate(hexes) for k in range(i % 4)] + [("c1", hexes[5]), (None, hexes[5])]
+    rows += [("c1", None), ("c2", None), ("c1", "odd"), ("c2", "odd"), (None, "zz")]
+    got = similarity.similar_across_cases(spark.createDataFrame(rows, "case_id STRING, phash STRING"))
+    held = {}
+    for case, h in rows:
+        held.setdefault(h, set()).add(case)
+    close = [(a, b, apart(a, b)) for a, b in itertools.product(hexes, hexes)] + [("odd", "odd", 0), ("zz", "zz", 0)]
+    # a row without a case is another case to every row, to itself too
+    want = {(case, a, b, d, others) for a, b, d in close if d <= 8 and b in held for case in held.get(a, ())
+            if (others := len(held[b] - {case} if case else held[b]))}
+    out = [tuple(r) for r in got.collect()]
+    assert len(out) == len(set(out)) and set(out) == want
+    assert "Broadcast" not in final_plan(got)
+
+
 def test_all_malware_patterns_of_the_reference(spark):
     want = {"sekurlsa, then logonPasswords": "mimikatz", "/api/set_agent?id=1&act=log": "lumma_stealer",
             "xor decode_loop": "cobalt_strike", "KernelDriverInstall": "finfisher",
