@@ -160,6 +160,17 @@ def test_similar_hashes_of_other_cases_broadcast_no_rows_of_pairs(spark):
     assert "Broadcast" not in final_plan(got)
 
 
+def test_sparse_hashes_are_compared_without_joins(spark):
+    hexes = sparse_hashes(300)
+    left, right = hexes[:200], hexes[150:]
+    frames = [spark.createDataFrame([(h,) for h in some + some[:9]], "phash STRING") for some in (left, right)]
+    got = similarity.hash_neighbours(*frames)
+    want = {(a, b, apart(a, b)) for a, b in itertools.product(left, right) if apart(a, b) <= 8}
+    out = [tuple(r) for r in got.collect()]
+    assert len(out) == len(set(out)) and set(out) == want and sum(d == 0 for _, _, d in want) == 50
+    assert "Join" not in final_plan(got)  # a join on bands of bits met each pair many times over
+
+
 def test_all_malware_patterns_of_the_reference(spark):
     want = {"sekurlsa, then logonPasswords": "mimikatz", "/api/set_agent?id=1&act=log": "lumma_stealer",
             "xor decode_loop": "cobalt_strike", "KernelDriverInstall": "finfisher",
