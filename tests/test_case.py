@@ -242,6 +242,38 @@ def test_fuzzy_digests_read_the_whole_text(spark):
     assert frozenset((whole, moved)) in got and whole != start
 
 
+def test_digests_of_many_texts_are_those_of_each(spark):
+    rng = random.Random(2)
+    some = [bytes(rng.choices(range(256), k=k)) for k in (0, 1, 6, 7, 90, 700, 5000)] + [b"\0" * 300, b"ab" * 2000]
+    assert similarity._digests(some) == [plain_digest(x) for x in some]
+    texts = [None, "", "x y" * 700, None]
+    assert similarity._text_digests([None if t is None else t.encode() for t in texts]) == [
+        t if t is None else plain_digest(t.encode()) for t in texts]
+    plan = final_plan(similarity.fuzzy_neighbours(similarity.fuzzy_digests(
+        spark.createDataFrame([(t,) for t in texts], "text STRING"))))
+    assert "PythonUDF" not in plan  # a filter on a function's result calls it again
+
+
+def test_a_run_that_many_digests_share_makes_no_joined_rows(spark):
+    rng = random.Random(6)
+
+    def letters(n):
+        return "".join(rng.choices(similarity._BASE64, k=n))
+    digests = {f"{rng.choice([3, 6, 96, 192])}:{letters(rng.randint(0, 50))}SHAREDRUN{letters(rng.randint(0, 5))}:"
+               f"{letters(rng.randint(0, 20))}{rng.choice(['', 'SHAREDRUN'])}" for _ in range(120)}
+    digests |= {f"96:{letters(80)}SHAREDRUN:{letters(5)},more", "96:AAAAAASHAREDRUN:x", "96:AAAASHAREDRUN:x",
+                "96:éSHAREDRUN+:y", "3:short:x", "3:short:x,y"}
+    score = similarity._fuzzy_score.func
+    runs = {h: {(size, s[i:i + 7]) for size, s in zip((b, 2 * b), map(similarity._squeeze, (x, y.split(",")[0])))
+                for i in range(len(s) - 6)} for h in digests for b, x, y in [(int(h.split(":")[0]), *h.split(":")[1:])]}
+    want = {(a, b, s) for a, b in itertools.combinations(sorted(digests), 2) if runs[a] & runs[b]
+            and (s := int(score([a], [b]).iloc[0])) >= 20}
+    got = similarity.fuzzy_neighbours(spark.createDataFrame([(h,) for h in digests], "ssdeep STRING"))
+    out = [(r.hash_a, r.hash_b, r.score) for r in got.collect()]
+    assert len(out) == len(set(out)) and set(out) == want and len(want) > 500
+    assert "[_key" not in "".join(x for x in final_plan(got).split("\n") if "Join" in x)
+
+
 def test_locality_hash_distance(spark):
     def h(length, body):
         return f"T100{length % 16:x}{length // 16:x}00" + body
