@@ -82,11 +82,11 @@ def similar_fuzzy_hashes(spark, sf):
 
 @query("similar_locality_hashes")
 def similar_locality_hashes(spark, sf):
-    q = F.transform("embedding", lambda x: F.when(x < -0.1, 0).when(x < 0, 1).when(
-        x < 0.1, 2).otherwise(3))
-    digit = [F.lower(F.hex((F.get(q, F.lit(2 * i)) * 4 + F.get(q, F.lit(2 * i + 1))).cast("bigint")))
-             for i in range(32)]
-    body = F.concat(*digit, *digit)
+    def level(i):  # of each dimension by itself, as an array of all levels would be made anew for each digit
+        x = F.get("embedding", F.lit(i))
+        return F.when(F.size("embedding") > i, F.when(x < -0.1, 0).when(x < 0, 1).when(x < 0.1, 2).otherwise(3))
+    digit = [F.lower(F.hex((level(2 * i) * 4 + level(2 * i + 1)).cast("bigint"))) for i in range(32)]
+    body = F.repeat(F.concat(*digit), 2)
     d = table(spark, sf, "embeddings").select(
         F.concat(F.lit("T10000"), F.lit("00"), body).alias("tlsh"), "label")
     return similarity.tlsh_neighbours(d, d.filter("label = 0"), 110)

@@ -274,6 +274,46 @@ def test_a_run_that_many_digests_share_makes_no_joined_rows(spark):
     assert "[_key" not in "".join(x for x in final_plan(got).split("\n") if "Join" in x)
 
 
+def plain_locality_distance(a, b):
+    """Distance of two locality hashes, digit by digit."""
+    a, b = (x.lower().removeprefix("t1") for x in (a, b))
+
+    def ring(x, y, size):
+        return min((x - y) % size, (y - x) % size)
+    length = ring(int(a[3] + a[2], 16), int(b[3] + b[2], 16), 256)
+    out = (length if length <= 1 else length * 12) + (a[:2] != b[:2])
+    for i in (4, 5):
+        step = ring(int(a[i], 16), int(b[i], 16), 16)
+        out += step if step <= 1 else (step - 1) * 12
+    for x, y in zip(a[6:], b[6:]):
+        for shift in (0, 2):
+            d = abs((int(x, 16) >> shift & 3) - (int(y, 16) >> shift & 3))
+            out += 6 if d == 3 else d
+    return out
+
+
+def test_locality_hashes_with_equal_headers_are_compared_without_joins(spark):
+    rng = random.Random(9)
+    bases = ["".join(rng.choices("0123456789abcdef", k=64)) for _ in range(3)]
+    hashes = []
+    for i in range(90):
+        body = list(bases[i % 3])
+        for k in rng.sample(range(64), i % 20):
+            body[k] = rng.choice("0123456789abcdef")
+        head = "000000" if i % 2 else f"0{i % 5}{rng.choice(['00', 'ff', '10', '05', 'ef'])}{rng.choice(['0f', 'f1', '00'])}"
+        hashes.append(rng.choice(["T1", "t1", ""]) + head + "".join(body))
+    hashes += [hashes[1].upper(), "T1nothex", None]
+    frame, wanted = (spark.createDataFrame([(h,) for h in some], "tlsh STRING") for some in (hashes + hashes, hashes[::4]))
+    valid = [h for h in dict.fromkeys(hashes) if h and h != "T1nothex"]
+    for limit in (5, 70, 400, 4000):
+        got = similarity.tlsh_neighbours(frame, wanted, limit)
+        want = {(a, b, d) for a in valid for b in hashes[::4] if b in valid and a != b
+                and (d := plain_locality_distance(a, b)) <= limit}
+        out = [tuple(r) for r in got.collect()]
+        assert len(out) == len(set(out)) and set(out) == want and want
+    assert "Join" not in final_plan(got)
+
+
 def test_locality_hash_distance(spark):
     def h(length, body):
         return f"T100{length % 16:x}{length // 16:x}00" + body
