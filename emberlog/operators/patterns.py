@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,6 +13,7 @@ from emberlog import functions as fn
 from emberlog.fixed import patterns as fx
 from emberlog.operators import matching
 from emberlog.operators.common import explode_rows, top_list
+from emberlog.session import ship
 
 NONE = "array<string>"
 
@@ -84,25 +87,60 @@ def word_hits(low: Column, words) -> Column:
                      for w in words})
 
 
+@functools.lru_cache(16)
+def _word_automaton(words: tuple[str, ...]):
+    """Finds all words in one pass, in texts of one character per byte; built once per worker."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w.encode().decode("latin-1"), w)
+    found.make_automaton()
+    return found
+
+
+def _words_in(raw: bytes, words: tuple[str, ...]) -> set[str]:
+    """Words that occur on their own in lower-cased UTF-8 text, as `word_hits` has it."""
+    low, found = raw.decode("latin-1"), set()
+    for end, w in _word_automaton(words).iter(low) if words else ():
+        if w not in found:
+            start = end - len(w.encode())
+            if not ("a" <= low[end + 1:end + 2] <= "z" or start >= 0 and "a" <= low[start] <= "z"):
+                found.add(w)
+    return found
+
+
 def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
                  patterns: dict | None = None) -> DataFrame:
     """Texts with hits in enough categories: hits per category, category count and strength.
 
     Three categories are high; two with three hits, or one with four hits, are medium; the rest is
-    left out. A cheap test for any word comes first, so the whole-word tests run on few texts.
+    left out. All words are looked for in one pass over a text, and a pattern's hits are taken once.
     """
     words = fx.PLANNING_WORDS if words is None else words
     patterns = fx.PLANNING_PATTERNS if patterns is None else patterns
-    gate = fn.any_contains(F.col("_low"), [w for ws in words.values() for w in ws])
-    for p in patterns.values():
-        gate = gate | F.col(text).rlike(p)
-    out = rows.withColumn("_low", F.lower(text)).filter(gate)
+    ship(rows.sparkSession)
+    lists = [list(dict.fromkeys(ws)) for ws in words.values()]
+    every = tuple(dict.fromkeys(w for ws in lists for w in ws))
+    none = [[]] * len(lists)
+
+    @F.pandas_udf("array<array<string>>")
+    def found(lows: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for low, more in zip(lows, hits):
+            here = _words_in(low, every) if low is not None else ()
+            out.append(([[w for w in ws if w in here] for ws in lists] if here else none) + [
+                [] if x is None else list(x) for x in more])
+        return pd.Series(out, dtype=object)
+
+    taken = F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns.values()]).cast(
+        "array<array<string>>")
+    # as Spark would otherwise call it again for the filter on its result
+    once = found.asNondeterministic()
+    out = rows.withColumn("_hits", once(F.lower(text).cast("binary"), taken))
     sizes = []
-    for name, ws in words.items():
-        out = out.withColumn(f"{name}_hits", word_hits(F.col("_low"), ws))
-        sizes.append(F.size(f"{name}_hits"))
-    for name, p in patterns.items():
-        out = out.withColumn(f"{name}_hits", F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    for i, name in enumerate([*words, *patterns]):
+        out = out.withColumn(f"{name}_hits", F.get("_hits", F.lit(i)))
         sizes.append(F.size(f"{name}_hits"))
     total, fired = sizes[0], (sizes[0] > 0).cast("int")
     for s in sizes[1:]:
@@ -111,7 +149,7 @@ def lexicon_hits(rows: DataFrame, text: str = "text", words: dict | None = None,
                 .when((F.col("categories") >= 2) & (F.col("total_hits") >= 3), "medium")
                 .when((F.col("categories") == 1) & (F.col("total_hits") >= 4), "medium"))
     return out.withColumn("total_hits", total).withColumn("categories", fired).withColumn(
-        "strength", strength).filter(F.col("strength").isNotNull()).drop("_low")
+        "strength", strength).filter(F.col("strength").isNotNull()).drop("_hits")
 
 
 def trade_hits(rows: DataFrame, text: str = "text", words=None, specific=(), common=()

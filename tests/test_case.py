@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import uuid
 from datetime import datetime
 
@@ -393,6 +394,27 @@ def test_lexicon_strength(spark):
     assert got == {2: "medium", 3: "high"}
 
 
+def test_lexicon_words_are_found_in_one_pass(spark):
+    words = {"a": ["lone wolf", "the lone wolf", "wolf", "vpn"], "b": ["5.7", "ar-15", "80% lower"], "c": ["kush"]}
+    patterns_ = {"n": r"(?i)\b\d+ rds\b", "m": "z+"}
+    texts = [None, "", "The LONE Wolf, vpn", "xvpn vpns vpn", "évpnß ar-15 5.7", "ar-15s AR-15 80% LOWER wolf 9 RDS 10 rds",
+             "\u212aush vpn the lone wolfs zz z", "a5.7 15.7 vpn wolf wolf", "the lone wolf the lone wolf"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    got = patterns.lexicon_hits(df, words=words, patterns=patterns_)
+
+    def expected(text):
+        low = (text or "").lower()
+        hits = [[w for w in ws if re.search(f"(?<![a-z]){re.escape(w)}(?![a-z])", low)] for ws in words.values()]
+        hits += [re.findall(p, text or "") for p in patterns_.values()]
+        total, fired = sum(map(len, hits)), sum(map(bool, hits))
+        strength = "high" if fired >= 3 else "medium" if (fired, total) >= (2, 3) or fired == 1 and total >= 4 else None
+        return (*hits, total, fired, strength)
+    want = {i: e for i, t in enumerate(texts) if (e := expected(t))[-1]}
+    assert {r[0]: tuple(r[2:]) for r in got.collect()} == want and len(want) >= 3
+    plan = final_plan(got)
+    assert plan.count("lower(") == 1 and plan.count("regexp_extract_all(") == len(patterns_)
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("aab", "172.20.1.1", "foo.co.uk:80", "RE: FW: hi",
                                  "Host-01a-mem", 133485408000000000)],
