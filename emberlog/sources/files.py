@@ -107,6 +107,15 @@ def route_files(listing: DataFrame) -> DataFrame:
 TIME_FIELDS = ["_ts", "Timestamp", "timestamp", "TimeCreated", "Mtime", "ModTime", "EventTime"]
 
 
+def _samples(per: DataFrame, sample: int) -> DataFrame:
+    """For each _artifact the `sample` different values of _row with the least hashes."""
+    least = W.partitionBy("_artifact").orderBy("_h", "_row")
+    few = per.select("_artifact", F.xxhash64("_row").alias("_h"), "_row").withColumn(
+        "_r", F.dense_rank().over(least)).filter(F.col("_r") <= sample).dropDuplicates(["_artifact", "_r"])
+    return few.groupBy("_artifact").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_r", "_row"))), lambda s: s["_row"]).alias("sample"))
+
+
 def _profiled(rows: DataFrame, artifact: str, time: Column, keys: Column, row: Column, sample: int) -> DataFrame:
     """Rows, columns, time range and a sample per artifact, of which all counts are combined map-side.
 
@@ -120,12 +129,7 @@ def _profiled(rows: DataFrame, artifact: str, time: Column, keys: Column, row: C
         F.count("*").alias("columns"))
     out = totals.join(cols, "_artifact", "left")
     if sample:
-        least = W.partitionBy("_artifact").orderBy("_h", "_row")
-        few = per.select("_artifact", F.xxhash64("_row").alias("_h"), "_row").withColumn(
-            "_r", F.dense_rank().over(least)).filter(F.col("_r") <= sample).dropDuplicates(["_artifact", "_r"])
-        kept = few.groupBy("_artifact").agg(F.transform(
-            F.sort_array(F.collect_list(F.struct("_r", "_row"))), lambda s: s["_row"]).alias("sample"))
-        out = out.join(kept, "_artifact", "left")
+        out = out.join(_samples(per, sample), "_artifact", "left")
     return out.withColumnRenamed("_artifact", artifact)
 
 
@@ -137,6 +141,17 @@ def collection_profile(rows: DataFrame, artifact: str = "artifact", sample: int
     return _profiled(rows.filter(doc.isNotNull()), artifact, when, F.json_object_keys("value"), F.col("value"), sample)
 
 
+def _text_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of all files of a tree, whose folders are listed by a few tasks a core; Spark's own way is a task a folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        return spark.read.text(path, recursiveFileLookup=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def csv_profile(spark: SparkSession, path, artifact: Column | None = None, sample: int = 0) -> DataFrame:
     """Rows, columns, time range and sample per artifact of collected CSV files.
 
@@ -146,19 +161,34 @@ def csv_profile(spark: SparkSession, path, artifact: Column | None = None, sampl
     with fewer fields than the header have nulls at the end; quoted fields hold no line feeds. Sample rows
     are maps of column to value as JSON, values cut at 200 characters.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).filter(F.trim("value") != "").select(
+    lines = _text_lines(spark, path).filter(F.trim("value") != "").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"), "value")
-    fields = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    values = F.transform(fields, lambda f: F.when(f.startswith('"'), F.replace(
-        F.regexp_replace(f, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
-    rows = lines.select("path", "start", "at", values.alias("values"))
-    heads = rows.groupBy("path").agg(F.min_by(F.struct("at", "values"), F.struct("start", "at")).alias("head"))
-    both = rows.join(heads, "path").filter(F.col("at") != F.col("head.at"))
-    names = F.col("head.values")
-    row = F.map_from_arrays(names, F.transform(names, lambda n, i: F.get("values", i)))
+
+    def values(line):
+        fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+        return F.transform(fields, lambda f: F.when(f.startswith('"'), F.replace(
+            F.regexp_replace(f, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
+    # a header is taken apart once for its file, not with every line
+    heads = lines.groupBy("path").agg(F.min_by(F.struct("at", "value"), F.struct("start", "at")).alias("head")).select(
+        "path", F.col("head.at").alias("head_at"), values(F.col("head.value")).alias("names"))
+    names = F.col("names")
+    both = lines.join(heads, "path").filter(F.col("at") != F.col("head_at")).select(
+        "path", "names", values(F.col("value")).alias("values"))
     time = F.coalesce(*[F.when(F.array_contains(names, c), F.get("values", F.array_position(names, c) - 1))
                         for c in TIME_FIELDS])
-    shown = F.to_json(F.transform_values(row, lambda k, v: F.substring(v, 1, 200)))
-    of = fn.win_basename(F.col("path")) if artifact is None else artifact
-    return _profiled(both.withColumn("artifact", of), "artifact", fn.parse_iso(time), names, shown, sample)
+    files = both.groupBy("path", "names").agg(F.count("*").alias("_n"), F.min(fn.parse_iso(time)).alias("_first"),
+                                              F.max(fn.parse_iso(time)).alias("_last"))
+    of = (fn.win_basename(F.col("path")) if artifact is None else artifact).alias("artifact")
+    # a file's rows count with the first of its columns
+    columns = files.select(of, F.posexplode("names").alias("_i", "_c"), "_n", "_first", "_last").groupBy(
+        "artifact", "_c").agg(F.sum(F.when(F.col("_i") == 0, F.col("_n")).otherwise(0)).alias("_n"),
+                              F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    out = columns.groupBy("artifact").agg(F.sum("_n").alias("rows"), F.min("_first").alias("first_seen"), F.max(
+        "_last").alias("last_seen"), F.count("*").alias("columns"))
+    if sample:
+        row = F.map_from_arrays(names, F.transform(names, lambda n, i: F.get("values", i)))
+        shown = F.to_json(F.transform_values(row, lambda k, v: F.substring(v, 1, 200)))
+        kept = _samples(both.select(of.alias("_artifact"), shown.alias("_row")), sample)
+        out = out.join(kept.withColumnRenamed("_artifact", "artifact"), "artifact", "left")
+    return out

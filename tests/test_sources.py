@@ -1,6 +1,7 @@
 import gzip
 import json
 
+from pyspark.sql import functions as F
 
 from emberlog.sources import files as sf, json_logs as js, lines as ln
 
@@ -179,3 +180,22 @@ def test_csv_profile_and_samples(spark, tmp_path):
     df = spark.createDataFrame(rows, "artifact string, value string")
     samples = [{r["artifact"]: r["sample"] for r in sf.collection_profile(df.repartition(n), sample=4).collect()} for n in (1, 9)]
     assert samples[0] == samples[1] and len(samples[0]["x"]) == 4 and samples[0]["y"] == ["{}"]
+
+
+def test_csv_profile_reads_lines_twice_and_parses_headers_once(spark, tmp_path):
+    parallelism = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(parallelism)
+    for folder, name, text in (
+            ("a1", "x", "id,Timestamp\n1,2024-01-02T00:00:00Z\n\n2,2024-01-01T00:00:00Z\n"),
+            ("a2", "y", "\n  \nid,EventTime,Timestamp\n3,2024-03-01T00:00:00Z,\n4\n5,2023-05-01T00:00:00Z,2025-01-01T00:00:00Z\n"),
+            ("a3", "z", "only,header,here\n"), ("b", "w", "n,n\n1,2\n1,2\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / f"{name}.csv").write_text(text)
+    artifact = F.regexp_extract("path", "/([a-z])[0-9]*/[a-z].csv", 1)
+    got = sf.csv_profile(spark, str(tmp_path), artifact)
+    assert got.columns == ["artifact", "rows", "first_seen", "last_seen", "columns"]
+    rows = {r["artifact"]: (r["rows"], str(r["first_seen"]), str(r["last_seen"]), r["columns"]) for r in got.collect()}
+    # a header without rows gives no columns; a name that comes twice is one
+    assert rows == {"a": (5, "2024-01-01 00:00:00", "2025-01-01 00:00:00", 3), "b": (2, "None", "None", 1)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert spark.conf.get(parallelism) == before
