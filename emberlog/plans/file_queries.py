@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog.operators.files import magic_mismatches
 from emberlog.plans.adapters import EVENT_K, events, table
 from emberlog.plans.registry import query
-from emberlog.session import scratch_path
+from emberlog.session import scratch_path, ship
 from emberlog.sources import files as sf_
 
 #: Pages, or lines of a log, in one file.
 PER_FILE = 50
 
 
+def _folder_name(name: str | None) -> str:
+    """The folder that Spark's writers give a value of the column `name`."""
+    if not name:
+        return "name=__HIVE_DEFAULT_PARTITION__"
+    return "name=" + "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in name)
+
+
+def _write_files(files: DataFrame, folder: str) -> None:
+    """Each row's value as a file in a folder named after it, below a folder that the driver and all executors see."""
+    os.makedirs(folder)
+    ship(files.sparkSession)
+
+    def work(rows):
+        for name, value in rows:
+            at = f"{folder}/{_folder_name(name)}"
+            os.makedirs(at, exist_ok=True)
+            part = f"{at}/.part-{uuid.uuid4().hex}"
+            with open(part, "wb") as out:
+                out.write(value)
+                out.write(b"\n")
+            # the same from each attempt of a task; empty and null names share a folder
+            os.replace(part, f"{at}/part-{int(name == '')}.txt")
+    files.select("name", F.col("value").cast("binary")).foreachPartition(work)
+
+
 def written(spark, rows: DataFrame, name: Column, order: str, line: Column, sf_name: str) -> str:
     """Folder of text files, one per name, in a folder named after it; a file's rows are bounded by its name."""
     path = scratch_path(spark, sf_name)
     files = rows.groupBy(name.alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct(order, line.alias("line")))), lambda s: s["line"]), "\n").alias("value"))
-    files.write.partitionBy("name").text(path)
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getScheme() == "file":  # there Spark's writer starts a process for the rights of each file
+        _write_files(files, store.makeQualified(to).toUri().getPath())
+    else:
+        files.write.partitionBy("name").text(path)
     return path
 
 

@@ -1,8 +1,10 @@
 import gzip
 import json
+import pathlib
 
 from pyspark.sql import functions as F
 
+from emberlog.plans import file_queries
 from emberlog.sources import files as sf, json_logs as js, lines as ln
 
 
@@ -199,3 +201,20 @@ def test_csv_profile_reads_lines_twice_and_parses_headers_once(spark, tmp_path):
     assert rows == {"a": (5, "2024-01-01 00:00:00", "2025-01-01 00:00:00", 3), "b": (2, "None", "None", 1)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
     assert spark.conf.get(parallelism) == before
+
+
+def test_written_files_are_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_queries, "scratch_path", lambda session, name: str(tmp_path / name))
+    names = ["7-1", "a b.log", "x=1/y:2", "50%", "{[^]}", "\u00e9\u2603", "q\"'*?#\\", "", None, "t\tn"]
+    rows = spark.createDataFrame([(i, n, f"line {i} \u00fc") for i in range(3) for n in names], "id INT, name STRING, line STRING")
+    at = file_queries.written(spark, rows, F.col("name"), "id", F.col("line"), "new")
+    text = "\n".join(f"line {i} \u00fc" for i in range(3))
+    frame = spark.createDataFrame([(n, text) for n in names if n], "name STRING, value STRING")
+    frame.write.partitionBy("name").text(str(tmp_path / "spark"))
+
+    def found(folder):
+        return {f.parent.name: b"".join(x.read_bytes() for x in f.parent.glob("*.txt")) for f in pathlib.Path(folder).rglob("*.txt")}
+    got = found(at)
+    assert len(got.pop("name=__HIVE_DEFAULT_PARTITION__").splitlines()) == 6
+    assert got == found(tmp_path / "spark") and len(got) == 8
+    assert not [f for f in pathlib.Path(at).rglob("*.crc")]  # Spark's writer makes these, and a process for each file
